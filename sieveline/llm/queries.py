@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import minhash_dedup, packing, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -20,11 +20,28 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"), least=1000)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_archives": op3_warc_archives,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_archives": """
+        SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+          CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)""",
+}
