@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, packing, warc
+from . import langid, minhash_dedup, packing, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -20,6 +20,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pieces = vocabulary("piece_bpe_32k.model")
+    langs, p = langid.fit(spark, docs.where(~langid.held_out()), pieces)
+    asked = docs.select("doc_id", "text", langid.held_out().alias("held_out"))
+    return langid.predict(spark, asked, langs, p, pieces).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"), least=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -34,6 +42,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_warc_archives": op3_warc_archives,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
