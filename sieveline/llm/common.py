@@ -134,3 +134,19 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Adds up arrays by block number: rows (block long, n array<double>), of which there are few blocks."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[block] = total.get(block, 0) + n.values.to_numpy()
+        rows = sorted(total)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(rows, pa.int64()), "n": pa.array([total[b] for b in rows], pa.list_(pa.float64()))})
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = parts.repartition(n, "block").mapInArrow(add, "block long, n array<double>").toArrow()
+    return {b: n.values.to_numpy() for b, n in zip(got["block"].to_pylist(), got["n"], strict=True)}

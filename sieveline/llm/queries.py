@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, minhash_dedup, packing, pitman_yor, warc
+from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -33,6 +33,11 @@ def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", "overlap", "contaminated")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digests(line_dedup.deduplicate(spark, docs, least=5, percent=80))
@@ -53,6 +58,7 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_warc_archives": op3_warc_archives,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
