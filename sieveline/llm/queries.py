@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, warc
+from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -43,6 +43,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.deduplicate(spark, docs, least=5, percent=80))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archives": op3_warc_archives,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pitman_yor_scores": op10_pitman_yor_scores,
