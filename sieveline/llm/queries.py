@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, vector_dedup, warc
+from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, secrets, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -28,6 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(spark, asked, langs, p, pieces).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"), least=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,6 +65,7 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_warc_archives": op3_warc_archives,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
