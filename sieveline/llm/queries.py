@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, secrets, vector_dedup, warc
+from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -42,6 +42,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_ids", "overlap", "contaminated")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(spark, table(spark, sf_dir, "documents"), length=50)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.digests(line_dedup.deduplicate(spark, docs, least=5, percent=80))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_warc_archives": op3_warc_archives,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_minhash_dedup": op8_minhash_dedup,
