@@ -9,7 +9,8 @@
    symbols left out, and all pairs under that distance share a key.  (120 symbols in 20 chunks of 6 with one error:
    all pairs up to distance 39; a pair of similarity 0.8 shares no key with probability 5e-10.)
 3. Only components are asked for, so pairs within a group are not all made.  First each row of a key is compared
-   with the key's first row; then only rows of one key that are still in different components are compared.
+   with the key's centre; then rows that keys hold together are compared as far as they are still in different
+   components, nearest signatures first, until links join them.
 4. Pairs within ``reach`` symbols (6 standard deviations beyond the mean at the threshold) are confirmed on
    full sets: 100 * |A and B| >= percent * |A or B|.
 
@@ -107,16 +108,141 @@ def chunk_keys(reps: DataFrame, symbols: int, chunks: int, errors: int) -> DataF
     return reps.select("rep", "n", "sig").mapInArrow(make, "key long, rep long, n long")
 
 
-def within_reach(pairs: DataFrame, reps: DataFrame, reach: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``reach`` symbols."""
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[tuple[tuple, dict[str, np.ndarray], bool]]:
+    """Rows sorted by their first ``keys`` columns -> (key, columns, whether the key goes on) in parts of at most ``limit`` rows."""
+    held: dict[str, np.ndarray] = {}
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= reach))
+    def columns(batch):
+        out = {n: batch.column(i).to_numpy() for i, n in enumerate(batch.schema.names) if n != "sig"}
+        out["sig"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("sig")).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        return out
+
+    names = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, limit):
+            new = columns(batch.slice(at, limit))
+            names = names or batch.schema.names[:keys]
+            held = {n: np.concatenate([held[n], x]) for n, x in new.items()} if held else new
+            change = np.zeros(len(held["sig"]), bool)
+            for n in names:
+                change[1:] |= held[n][1:] != held[n][:-1]
+            starts = [0, *np.flatnonzero(change).tolist()]
+            for s, e in zip(starts, starts[1:], strict=False):
+                yield tuple(held[n][s] for n in names), {n: x[s:e] for n, x in held.items()}, False
+            held = {n: x[starts[-1] :] for n, x in held.items()}
+            while len(held["sig"]) > limit:
+                yield tuple(held[n][0] for n in names), {n: x[:limit] for n, x in held.items()}, True
+                held = {n: x[limit:] for n, x in held.items()}
+    if held:
+        yield tuple(held[n][0] for n in names), held, False
+
+
+def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def star_pairs(members: DataFrame, reach: int, percent: int, limit: int = 4096) -> DataFrame:
+    """Each row of a key with the key's centre: of its first rows, that nearest to their commonest symbols.
+
+    The source that copies were made from agrees with its copies more than they do with each other, so it becomes the centre.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size, centre, last = [], 0, None, None
+        for key, rows, _ in groups_of(batches, 1, limit):
+            sig, rep, n = rows["sig"], rows["rep"], rows["n"]
+            if key != last:
+                if len(rep) > 2:
+                    cells = sig.astype(np.int64) + 256 * np.arange(sig.shape[1])
+                    common = np.bincount(cells.ravel(), minlength=256 * sig.shape[1]).reshape(-1, 256).argmax(axis=1)
+                    k = int((sig != common).sum(axis=1).argmin())
+                else:
+                    k = 0
+                last, centre = key, (sig[k], rep[k], n[k])
+            near = ((sig != centre[0]).sum(axis=1) <= reach) & (rep != centre[1]) & (100 * np.minimum(n, centre[2]) >= percent * np.maximum(n, centre[2]))
+            if near.any():
+                found.append((np.full(near.sum(), centre[1]), rep[near]))
+                size += len(found[-1][1])
+                if size > 50_000:
+                    yield pair_batch(found)
+                    found, size = [], 0
+        if found:
+            yield pair_batch(found)
+
+    return members.select("key", "rep", "n", "sig").mapInArrow(make, "a long, b long")
+
+
+def links_between(rows: DataFrame, k: int, reach: int, percent: int, limit: int = 1000) -> DataFrame:
+    """rows (cluster, rep, n, comp, sig, text) -> confirmed links (a, b) that join the components of each cluster.
+
+    A large cluster is dealt out as pairs of blocks of ``limit`` rows.  Within a pair of blocks, pairs from different components
+    within reach are confirmed on full sets, nearest signatures first; once a link joins two components, other pairs
+    between them are not looked at, so a task gives fewer links than it has rows.
+    """
+    order = Window.partitionBy("cluster").orderBy("rep")
+    blocks = rows.select("cluster", "rep").withColumn("block", F.floor((F.row_number().over(order) - 1) / limit).cast("int"))
+    blocks = blocks.withColumn("most", F.max("block").over(Window.partitionBy("cluster"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    keys = ["cluster", "low", "high"]
+    dealt = blocks.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep").join(rows.drop("cluster"), "rep")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def join(found: dict[str, list], cache: WordHashes) -> tuple[list[int], list[int]]:
+        block, rep, n = (np.array(found[x]) for x in ("block", "rep", "n"))
+        sig = np.frombuffer(b"".join(found["sig"]), np.uint8).reshape(len(rep), -1)
+        names, comp = np.unique(found["comp"], return_inverse=True)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        candidates = []
+        for at in range(0, len(left), 64):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + 64], right, indexing="ij"))
+            maybe = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            maybe &= rep[i] < rep[j] if block.min() == block.max() else True
+            i, j = i[maybe], j[maybe]
+            d = (sig[i] != sig[j]).sum(axis=1).astype(np.int16)
+            near = d <= reach
+            candidates.append((d[near], i[near].astype(np.int32), j[near].astype(np.int32)))
+        d, i, j = (np.concatenate(x) for x in zip(*candidates, strict=True))
+        nearest = np.argsort(d, kind="stable")
+        parent, sets = list(range(len(names))), {}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def full(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_hashes(found["text"][x].lower().split(), k, cache)
+            return sets[x]
+
+        a, b = [], []
+        for x, y in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                both = len(np.intersect1d(full(x), full(y), assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    parent[p] = q
+                    a.append(int(rep[x]))
+                    b.append(int(rep[y]))
+        return a, b
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, found, last = WordHashes(), {}, None
+        for batch in batches:  # sorted by the keys
+            columns = {x: (binary_list(c) if x == "text" else c.to_pylist()) for x, c in zip(batch.schema.names, batch.columns, strict=True)}
+            for r in range(batch.num_rows):
+                now = tuple(columns[x][r] for x in keys)
+                if now != last:
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in join(found, cache)], ["a", "b"])
+                    last, found = now, {x: [] for x in columns}
+                for x, c in columns.items():
+                    found[x].append(c[r])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in join(found, cache)], ["a", "b"])
 
-    signed = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
-    return signed.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+    return dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(make, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -151,23 +277,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     reps = scratch.save(
         made.where("n_shingles > 0 and doc_id is not null").groupBy("seq").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x"))
         .select("seq", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")), "reps")
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     w = Window.partitionBy("key")
     keys = chunk_keys(reps, symbols, chunks, errors).withColumn("first", F.min("rep").over(w)).withColumn("last", F.max("rep").over(w))
-    members = scratch.save(keys.where("first < last").drop("last"), "members")
-    # Round 1: every row of a key against the first one.
-    sizes = reps.select(F.col("rep").alias("a"), F.col("n").alias("m"))
-    star = scratch.save(members.where("rep <> first").groupBy(F.col("first").alias("a"), F.col("rep").alias("b")).agg(F.max("n").alias("n")).join(sizes, "a").where(fits).select("a", "b"), "star")
-    links = scratch.save(confirmed(within_reach(star, reps, reach), docs, k, percent), "links")
+    members = scratch.save(keys.where("first < last").drop("first", "last"), "members")
+    signed = members.join(reps.select("rep", "sig"), "rep")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Round 1: every row of a key against the key's centre.
+    star = star_pairs(signed.repartition(parts, "key").sortWithinPartitions("key", "rep"), reach, percent)
+    star = scratch.save(star.distinct(), "star")
+    links = scratch.save(confirmed(star, docs, k, percent), "links")
     comp = components(scratch, links)
-    # Round 2: rows of one key that are still in different components.
-    placed = members.select("key", "rep", "n").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).where("low < high").drop("low", "high")
-    mixed = scratch.save(mixed, "mixed")
-    x = mixed.select("key", F.col("rep").alias("a"), "n", F.col("comp").alias("ca"))
-    y = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
-    rest = x.join(y, "key").where(f"a < b and ca <> cb and {fits}").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = scratch.save(confirmed(scratch.save(within_reach(rest, reps, reach), "rest"), docs, k, percent), "more")
+    # Round 2: clusters of rows that keys hold together, as far as they are still in different components.
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = placed.withColumn("low", F.min("comp").over(w)).withColumn("high", F.max("comp").over(w)).withColumn("first", F.min("rep").over(w)).where("low < high")
+    mixed = scratch.save(mixed.select("rep", "n", "comp", "first").distinct(), "mixed")
+    cluster = components(scratch, mixed.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    rows = mixed.select("rep", "n", "comp").distinct().join(cluster.select(F.col("node").alias("rep"), F.col("comp").alias("cluster")), "rep").join(reps.select("rep", "sig"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    more = scratch.save(links_between(scratch.save(rows.join(texts, "rep"), "rows"), k, reach, percent), "more")
     comp = components(scratch, links.union(more)) if more.take(1) else comp
     classes = reps.select("seq", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("seq", F.coalesce("comp", "rep").alias("comp"))
     found = made.drop("sig").join(classes, "seq", "left")

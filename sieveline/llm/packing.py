@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,36 +31,67 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, binary_list
 
+LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")  # without characters that normal forms or lower case turn into several
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
-    """White-space-free chunk of text -> its token ids as little-endian unsigned 32-bit bytes; bounded.
+class ChunkIds:
+    """Token ids of texts, through a bounded memory of white-space-free chunks.
 
-    The vocabulary's pre-tokeniser never joins characters across white space, lower-cases, and splits a run of
-    letters from punctuation, so lower case and one closing stop or comma can be peeled off before a look-up.
+    The vocabulary's pre-tokeniser never joins characters across white space, lower-cases, and parts a run of
+    letters from punctuation; so lower case and one closing stop or comma can be peeled off.  A run of Latin letters is a
+    single word, which goes straight to the model; all else takes the whole way.
     """
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.encode = lambda b: np.array(tokenizer.encode(b.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self.marks = {c: self.encode(bytes([c])) for c in b".,"}
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        if b"<|" in chunk:
-            ids = self.encode(chunk)
-        elif (lower := chunk.lower()) != chunk:
-            ids = self[lower]
-        elif len(chunk) > 1 and chunk[-1] in b".," and chunk[-2:-1].isalnum():
-            ids = self[chunk[:-1]] + self.marks[chunk[-1]]
+        self.tokenizer = tokenizer
+        self.known: dict[bytes, bytes] = {}
+        self.model = tokenizer.model
+        # The printable bytes stand for themselves in the vocabulary, the others for the characters from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.byte_names = {b: chr(b if b in printable else next(others)) for b in range(256)}
+        self.marks = {c: self.compute(bytes([c])) for c in b".,"}
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Puts the ids of new chunks, and of what they are without a closing mark, into ``known``."""
+        known, marks, compute = self.known, self.marks, self.compute
+        if len(known) > self.LIMIT:
+            known.clear()
+        for chunk in chunks:
+            if chunk[-1] in marks and chunk[-2:-1].isalnum() and b"<|" not in chunk:
+                stem = chunk[:-1]
+                if (ids := known.get(stem)) is None:
+                    ids = known[stem] = compute(stem)
+                known[chunk] = ids + marks[chunk[-1]]
+            else:
+                known[chunk] = compute(chunk)
+
+    def compute(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            tokens = self.model.tokenize(chunk.lower().decode())
+        elif word := LATIN.fullmatch(text := chunk.decode("utf-8", "replace")):
+            tokens = self.model.tokenize("".join(map(self.byte_names.__getitem__, word[1].lower().encode())))
+            if word[2]:
+                tokens += self.model.tokenize(word[2])
         else:
-            ids = self.encode(chunk)
-        self[chunk] = ids
-        return ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 100):
+            # Lower case is the tokenizer's own first step, but special tokens are found before it.
+            split = [((t or b"") if b"<|" in (t or b"") else (t or b"").lower()).split() for t in texts[at : at + 100]]
+            seen = set().union(*split)
+            if new := seen.difference(self.known):
+                self.learn(new)
+                if len(self.known) < len(seen) + len(new):  # perhaps the memory was cleared
+                    self.learn(seen.difference(self.known))
+            get = self.known.__getitem__
+            for chunks in split:
+                yield b"".join(map(get, chunks))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -68,13 +101,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        get = ChunkIds(Tokenizer.from_file(vocabulary)).__getitem__
+        encode = ChunkIds(Tokenizer.from_file(vocabulary))
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
             ids_out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1)), strict=True):
-                ids = b"".join(map(get, (text or b"").split())) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(binary_list(batch.column(1))), strict=True):
+                ids += end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     rows.append((doc_id, k // width, k // 4, len(part) // 4, zlib.crc32(part)))
