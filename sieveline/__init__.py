@@ -1 +1,8 @@
 """Spark-first engine for auditing and cleaning large training sets."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import values as V
 
@@ -14,7 +15,7 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WHITE_SPACE))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
