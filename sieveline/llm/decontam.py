@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval, with checks of common subsequences and answers.
 
-1. Documents are cut into cells of ``cell`` words (runs of letters and digits, in lower case); two adjacent cells are a passage.
+1. Documents are cut into cells of ``cell`` words (in lower case, without ASCII punctuation); two adjacent cells are a passage.
    TF-IDF runs over the benchmark's words, with document frequencies counted over all cells; words in more than
-   ``common`` of the cells weigh nothing.
+   ``common`` of the cells (and in more than FEW) weigh nothing.
 2. A randomised SVD of all passages with at least two weighing words gives a latent space: Y = A'(A Q) is summed over
    partitions (words x rank numbers each), made orthonormal on the driver, and the top of Q'A'AQ gives the right singular vectors.
-3. A passage is a candidate for an item if the cosine of their latent vectors is at least ``cosine``.
+3. A passage is a candidate for an item if the cosine of their latent vectors is at least ``cosine``.  A space of fixed rank has no
+   room for every item's few rare words, so a passage is one as well if it has ``cover`` of the item's squared weights (of as much of
+   them as fits in a passage), which the words' lists of items tell.
 4. A candidate counts if the longest common subsequence of the item's words and the passage with its surroundings covers
    ``exact`` of the item; or, as a paraphrase, ``loose`` of it when the item's answer (its last sentence with three words at least)
    is there too, to ``answer`` of its words.
@@ -29,8 +31,14 @@ from pyspark.sql import types as T
 
 from .common import Scratch, grouped_runs, summed
 
-WORD = re.compile(r"\w+")
+FEW = 16  # words in so few cells weigh in any corpus
 SENTENCE = re.compile(r"[^.!?\n]+")
+# ASCII letters, digits and all bytes of other characters are parts of words.
+TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(TABLE).split()
 
 
 class Items:
@@ -38,15 +46,15 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [r[0] for r in rows]
-        self.words = [WORD.findall(r[1].lower()) for r in rows]
-        sentences = [[w for w in map(WORD.findall, SENTENCE.findall(r[1].lower())) if len(w) >= 3] for r in rows]
+        self.words = [words_of(r[1]) for r in rows]
+        sentences = [[w for w in map(words_of, SENTENCE.findall(r[1])) if len(w) >= 3] for r in rows]
         self.answers = [s[-1] if s else w for s, w in zip(sentences, self.words, strict=True)]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
 
 
-def cells_of(texts: list[str | None], vocabulary: dict[str, int], cell: int):
+def cells_of(texts: list[str | None], vocabulary: dict[bytes, int], cell: int):
     """All words of some texts: ids (-1: not in the vocabulary) and cells; words and first cell of each text."""
-    split = [WORD.findall(t.lower()) if t else [] for t in texts]
+    split = [words_of(t) if t else [] for t in texts]
     ids = np.concatenate([np.fromiter(map(vocabulary.get, w, repeat(-1)), np.int64, len(w)) for w in split]) if split else np.zeros(0, np.int64)
     sizes = np.array([len(w) for w in split], np.int64)
     first = np.concatenate(([0], np.cumsum(-(-sizes // cell))))
@@ -77,9 +85,9 @@ def vectors(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, weight: np
     return x / np.repeat(norm, sizes)
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows (Hyyro 2004)."""
-    masks: dict[str, int] = {}
+    masks: dict[bytes, int] = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -109,7 +117,7 @@ def weights(docs: DataFrame, items: Items, cell: int, common: float) -> np.ndarr
         yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int64()), "n": pa.array([total], pa.list_(pa.float64()))})
 
     total = summed(docs.select("text").mapInArrow(count, "block long, n array<double>")).get(0, np.zeros(n + 1))
-    return np.where(total[:n] > common * max(total[n], 1), 0, np.log((total[n] + 1) / (total[:n] + 0.5)))
+    return np.where(total[:n] > np.maximum(common * total[n], FEW), 0, np.log((total[n] + 1) / (total[:n] + 0.5)))
 
 
 def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.ndarray, cell: int, rank: int, rounds: int = 2, extra: int = 8) -> np.ndarray:
@@ -153,7 +161,7 @@ def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.
 
 
 def decontaminate(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.02, rank: int = 64, cosine: float = 0.45,
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.001, rank: int = 64, cosine: float = 0.45, cover: float = 0.5,
     exact: float = 0.7, loose: float = 0.5, answer: float = 0.8, block_items: int = 2000, block_words: int = 200_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> its rows with item_ids, overlap and contaminated."""
@@ -161,7 +169,7 @@ def decontaminate(
     found = docs.withColumn("item_ids", F.array().cast("array<long>")).withColumn("overlap", F.lit(0.0))
     rows, blocks, words = [], [], 0
     for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
-        size = len(WORD.findall(r[1]))
+        size = len(words_of(r[1]))
         if rows and (len(rows) >= block_items or words + size > block_words):
             blocks.append(rows)
             rows, words = [], 0
@@ -170,30 +178,37 @@ def decontaminate(
             words += size
     for block in [*blocks, rows]:
         if block:
-            found = search(spark, docs, found, Items(block), cell, common, rank, cosine, exact, loose, answer)
+            found = search(spark, docs, found, Items(block), cell, common, rank, cosine, cover, exact, loose, answer)
     return found.withColumn("contaminated", F.size("item_ids") > 0)
 
 
-def search(spark, docs, found, items: Items, cell, common, rank, cosine, exact, loose, answer) -> DataFrame:
+def search(spark, docs, found, items: Items, cell, common, rank, cosine, cover, exact, loose, answer) -> DataFrame:
     weight = weights(docs, items, cell, common)
     space = latent_space(spark, docs, items, weight, cell, rank).astype(np.float32)
     latent = np.zeros((len(items.ids), space.shape[1]), np.float32)
+    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, item, share of what fits
     for i, w in enumerate(items.words):
         words, counts = np.unique([items.vocabulary[x] for x in w], return_counts=True)
+        squares = weight[words] ** 2
+        if squares.any():
+            lists.append((words, np.full(len(words), i), squares / squares.sum() / min(1, 2 * cell / len(w))))
         latent[i] = ((1 + np.log(counts)) * weight[words]) @ space[words]
+    word, item, share = (np.concatenate(x) for x in zip(*lists, strict=True)) if lists else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    order = np.argsort(word, kind="stable")
+    postings = (np.searchsorted(word[order], np.arange(len(weight) + 1)), item[order], share[order])
     norm = np.linalg.norm(latent, axis=1)
     latent /= np.maximum(norm, 1e-12)[:, None]
-    shared = spark.sparkContext.broadcast((items, weight, space, latent))
+    shared = spark.sparkContext.broadcast((items.ids, items.words, items.answers, items.vocabulary, weight, space, latent, postings))
     names = found.columns
     at_text, at_ids, at_overlap = (names.index(x) for x in ("text", "item_ids", "overlap"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, space, latent = shared.value
+        item_ids, item_words, answers, vocabulary, weight, space, latent, (first_of, item_of, share_of) = shared.value
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             ids_out, overlaps = batch.column(at_ids).to_pylist(), batch.column(at_overlap).to_pylist()
             for at in range(0, len(texts), 200):
-                split, ids, cells, first = cells_of(texts[at : at + 200], items.vocabulary, cell)
+                split, ids, cells, first = cells_of(texts[at : at + 200], vocabulary, cell)
                 passage, sizes, words, counts = passages(ids, cells, first, weight)
                 if not len(sizes):
                     continue
@@ -206,18 +221,25 @@ def search(spark, docs, found, items: Items, cell, common, rank, cosine, exact,
                     y[a:b] = np.add.reduceat(x[s:e, None] * space[words[s:e]], ends[a:b] - sizes[a:b] - s)
                 y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
                 hit, item = np.nonzero(y @ latent.T >= cosine)
+                n = first_of[words + 1] - first_of[words]
+                at_list = np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                pair = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * len(latent) + item_of[at_list]
+                pair, which = np.unique(pair, return_inverse=True)
+                pair = pair[np.bincount(which, share_of[at_list], len(pair)) >= cover] if len(pair) else pair
+                pair = np.union1d(pair, hit * len(latent) + item)
+                hit, item = pair // len(latent), pair % len(latent)
                 doc = np.searchsorted(first, passage[hit], "right") - 1
                 for d, i, c in zip(doc.tolist(), item.tolist(), passage[hit].tolist(), strict=True):
-                    own, w = items.words[i], split[d]
-                    if items.ids[i] in ids_out[at + d]:
+                    own, w = item_words[i], split[d]
+                    if item_ids[i] in ids_out[at + d]:
                         continue
                     start = (c - int(first[d])) * cell
                     around = w[max(0, start - len(own)) : start + 2 * cell + len(own)]
                     share = common_subsequence(own, around) / len(own)
                     if share < loose:
                         continue
-                    if share >= exact or common_subsequence(items.answers[i], around) >= answer * len(items.answers[i]):
-                        ids_out[at + d].append(items.ids[i])
+                    if share >= exact or common_subsequence(answers[i], around) >= answer * len(answers[i]):
+                        ids_out[at + d].append(item_ids[i])
                         overlaps[at + d] = max(overlaps[at + d], share)
             columns = list(batch.columns)
             columns[at_ids] = pa.array([sorted(x) for x in ids_out], pa.list_(pa.int64()))
