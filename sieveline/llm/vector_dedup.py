@@ -6,8 +6,8 @@ If two vectors are within the budget, some block of theirs is within its proport
 dimensions); so the union of the blocks' range joins has every pair, and each candidate is verified on whole vectors in
 double precision.
 
-A block's range join is by reference points: the block's vectors are dealt to the nearest of ``cells`` points (drawn from a
-bounded sample of the block's vectors); with r the range, a vector at distance d from its point lies within r of
+A block's range join is by reference points: a label's vectors are dealt to the nearest of its points, one for ``cell_rows``
+rows and ``cells`` at most (drawn from a bounded sample); with r the range, a vector at distance d from its point lies within r of
 another cell's vectors only if d' - d <= 2 r for that cell's point at distance d' (two triangle inequalities), so it visits just
 those cells.  Within a cell, rows are taken in tiles of ``tile`` rows and compared by matrix products; large cells are dealt
 out as pairs of tiles.  A pair is counted in the first block that finds it, in the home cell of its smaller id, and so
@@ -78,7 +78,7 @@ def deal(classes: DataFrame, dimensions: int, cosine: float, blocks: int, points
                         pa.array(np.full(n, label, np.int64)), pa.array(np.full(n, k, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), ids.take(at), batch.column(2).take(at), batch.column(3).take(at),
                     ], ["label", "block", "cell", "home", "id", "v", "n"])
 
-    return classes.select("id", "label", "v", "n").mapInArrow(make, "label long, block int, cell int, home boolean, id long, v array<double>, n long")
+    return classes.select("id", "label", "v", "n").mapInArrow(make, f"label long, block int, cell int, home boolean, id long, v {dict(classes.dtypes)['v']}, n long")
 
 
 def links(dealt: DataFrame, dimensions: int, cosine: float, blocks: int, tile: int) -> DataFrame:
@@ -150,10 +150,11 @@ def links(dealt: DataFrame, dimensions: int, cosine: float, blocks: int, tile: i
     return tiled.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(make, "id long, root long, degree long")
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, blocks: int = 4, cells: int = 16, sample: int = 2000, tile: int = 2048) -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, blocks: int = 4, cells: int = 64, cell_rows: int = 50_000, sample: int = 2000, tile: int = 8192) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     scratch = Scratch(spark)
-    v = F.col("embedding").cast("array<double>")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = F.col("embedding").cast(kind)
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v")).withColumn("ok", F.coalesce(sound, F.lit(False)))
     common = rows.where("ok").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -162,7 +163,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     dimensions = common["n"]
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dimensions)).withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_json("v").cast("binary"), 256)))
     classes = scratch.save(rows.where("ok").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
-    share = F.lit(min(1.0, 20 * sample / max(1, classes.count())))
+    total = classes.count()
+    share = F.lit(min(1.0, 20 * sample / max(1, total)))
     turn = rotation(dimensions)
     drawn = classes.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) / 1_000_000 <= share).select("label", "v").limit(20 * sample).toPandas()
     points, random = {}, np.random.default_rng(5)
@@ -170,7 +172,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.9
     for label, group in groups.items():
         x = np.array(group["v"].tolist())
         x = x / np.linalg.norm(x, axis=1)[:, None] @ turn
-        points[label] = x[random.permutation(len(x))[: min(cells, max(1, len(x) // 64))]]
+        rows_here = total * len(x) / len(drawn)
+        points[label] = x[random.permutation(len(x))[: max(1, min(cells, int(rows_here / cell_rows), len(x) // 16))]]
     points.setdefault(None, np.zeros((1, dimensions)))
     pairs = scratch.save(links(deal(classes, dimensions, cosine, blocks, points), dimensions, cosine, blocks, tile), "links")
     degree = pairs.groupBy("id").agg(F.sum("degree").alias("degree"))
