@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -42,13 +44,22 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
+        if release:
+            self.release()
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.scratch_path = path
         return saved
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of jobs that are over; it does so when the driver's garbage is collected."""
+        for _ in range(2):  # the second round finds what the first one has let go of
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
+
     def drop(self, *saved: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
@@ -64,6 +75,14 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def worker_cache() -> dict:
+    """What a Python worker process keeps from task to task; users bound what they put in."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_sieveline_worker", types.ModuleType("_sieveline_worker")).__dict__
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,6 +115,31 @@ def hashes_of(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
+SPACES = np.zeros(256, np.int8)
+SPACES[[9, 10, 11, 12, 13, 32]] = 1
+RADIX = 0x9E3779B97F4A7C15
+
+
+def hashed_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a buffer (runs of anything but ASCII white space): 64-bit hashes, starts and ends.
+
+    A word's hash is a mix of its polynomial in an odd radix modulo 2^64, from one running sum over the buffer.
+    """
+    kept, n = worker_cache(), len(buffer)
+    if len(kept.get("powers", ())) < n:
+        size = max(n, 1 << 20)
+        for name, base in (("powers", RADIX), ("inverse powers", pow(RADIX, -1, 1 << 64))):
+            powers = np.full(size, base, np.uint64)
+            powers[:1] = 1
+            kept[name] = np.cumprod(powers)
+    b = np.frombuffer(buffer, np.uint8)
+    change = np.diff(SPACES[b], prepend=np.int8(1), append=np.int8(1))
+    starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * kept["powers"][:n], out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * kept["inverse powers"][starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48)), starts, ends
+
+
 def grouped_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values in a sorted array."""
     if not len(keys):
@@ -113,7 +157,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
     def both(e):
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", release=False)
     nodes = edges
     previous = None
     for _ in range(rounds):
@@ -123,7 +167,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-        following = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        following = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", release=False)
         state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if edges is not nodes:
             scratch.drop(edges)

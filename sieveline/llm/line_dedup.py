@@ -9,9 +9,10 @@ with it, whether or not that earlier line stays.
    Any fixed order gives exact results, so the sketch's size is the same for any corpus.
 2. Equal sets are merged: only the first occurrence goes on, later ones are removed.
 3. Two sets that are similar enough share a word among the first n - ceil(n * percent / 100) + 1 of their order.  Sets that
-   share such a word and pass the length and positional filters are candidates; Jaccard is checked on whole sets.
-4. One earlier match suffices.  So each set is first compared with the earliest set of its prefix words, and only sets without a
-   match so far with all earlier ones.
+   share such a word and pass the length, positional and bitmap filters (a 128-bit parity bitmap bounds the words they can have in
+   common) are candidates; Jaccard is checked on whole sets.
+4. One earlier match suffices.  So sets that many share a word with are first compared with the earliest candidates, and only
+   those without a match then with all.
 
 Results: ``removed_lines`` gives (doc_id, line_no); ``deduplicate`` the documents with the lines left.  Null text stays null.
 Rows with a null doc_id stay as they are; rows that repeat a doc_id are one document.  An empty table gives no rows.
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, binary_list, grouped_runs, hashes_of, mix64
+from .common import Scratch, binary_list, grouped_runs, hashed_words, mix64
 
 CELLS, BLOCK = 1 << 20, 1 << 12
 
@@ -36,13 +37,10 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     """The sketch: how many words fall on each counter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = WordHashes(), np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for text in binary_list(batch.column(0)):
-                words = (text or b"").lower().split()
-                total += np.bincount(cells, minlength=CELLS) if len(cells := cell_of(hashes_of(words, cache))) > CELLS // 8 else 0
-                if len(cells) <= CELLS // 8:
-                    np.add.at(total, cells, 1)
+            for texts in buffers(binary_list(batch.column(0))):
+                total += np.bincount(cell_of(hashed_words(b"\n".join(texts).lower())[0]), minlength=CELLS)
         yield from blocks(total)
 
     def blocks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -65,33 +63,45 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return sketch
 
 
+def buffers(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes]]:
+    """Texts in turn, in lists of about ``size`` bytes."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text or b"")
+        n += len(held[-1])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def cell_of(hashes: np.ndarray) -> np.ndarray:
     return ((hashes >> np.uint64(16)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def line_sets(docs: DataFrame, sketch: np.ndarray, least: int, percent: int) -> DataFrame:
-    """doc_id, line_no, set_id, size, prefix (word keys, rarest first), words (6 bytes each, sorted) of lines long enough."""
+    """doc_id, line_no, set_id, size, prefix (word keys, rarest first) and parity bitmap of lines long enough."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.log2(sketch + 1.0) * 6).astype(np.uint8))  # one byte a counter
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rank = WordHashes(), shared.value
+        rank = shared.value
         for batch in batches:
-            lines: list[tuple[int, int, np.ndarray]] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_list(batch.column(1)), strict=True):
-                for no, line in enumerate((text or b"").lower().split(b"\n")):
-                    words = line.split()
-                    if len(words) >= least:
-                        lines.append((doc_id, no, hashes_of(words, cache)))
-                if len(lines) >= 3500:
-                    for at in range(0, len(lines), 4096):
-                        yield from made(lines[at : at + 4096], rank)
-                    lines = []
-            for at in range(0, len(lines), 4096):
-                yield from made(lines[at : at + 4096], rank)
-
-    def made(lines: list, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-        hashes = np.concatenate([x[2] for x in lines])
-        line = np.repeat(np.arange(len(lines), dtype=np.uint64), [len(x[2]) for x in lines])
+            ids, at = batch.column(0).to_numpy(), 0
+            for texts in buffers(binary_list(batch.column(1)), 1_500_000):
+                buffer = b"\n".join(texts).lower()
+                hashes, starts, _ = hashed_words(buffer)
+                line = np.cumsum(np.frombuffer(buffer, np.uint8) == 10, dtype=np.int32)[starts] if buffer else np.zeros(0, np.int32)
+                sizes = np.array([t.count(b"\n") + 1 for t in texts])
+                doc = np.repeat(ids[at : at + len(texts)], sizes)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at += len(texts)
+                for first in range(0, len(doc), 4096):
+                    a, b = np.searchsorted(line, [first, first + 4096])
+                    if b > a:
+                        yield made(hashes[a:b], (line[a:b] - first).astype(np.uint64), doc[first : first + 4096], number[first : first + 4096], rank)
+
+    def made(hashes: np.ndarray, line: np.ndarray, doc: np.ndarray, number: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
         # All of a line's distinct words, sorted: 12 bits of line, 48 of hash.
         packed = np.sort(line << np.uint64(48) | hashes >> np.uint64(16))
         packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
@@ -104,33 +114,118 @@ def line_sets(docs: DataFrame, sketch: np.ndarray, least: int, percent: int) ->
         prefix = sizes - (sizes * percent + 99) // 100 + 1
         place = np.arange(len(keys)) - np.repeat(starts, sizes)
         keys = (keys & np.uint64((1 << 52) - 1)).astype(np.int64)[place < np.repeat(prefix, sizes)]
-        raw = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 6).astype(np.int32)), pa.py_buffer(raw)])
         prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(prefix))), pa.int32()), pa.array(keys))
+        # Parity bitmaps of 128 bits: two sets differ in at least as many words as their bitmaps in bits.
+        maps = [np.bitwise_xor.reduceat(np.where((word >> np.uint64(6) & np.uint64(1)) == k, np.uint64(1) << (word & np.uint64(63)), np.uint64(0)), starts).astype(np.int64) for k in (0, 1)]
+        found = line[starts].astype(np.int64)
         out = pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in lines], pa.int64()), pa.array([x[1] for x in lines], pa.int32()), pa.array(set_ids.astype(np.int64)), pa.array(sizes.astype(np.int32)), prefixes, words,
-        ], ["doc_id", "line_no", "set_id", "size", "prefix", "words"])
-        yield out.filter(pa.array(sizes >= least))
+            pa.array(doc[found]), pa.array(number[found].astype(np.int32)), pa.array(set_ids.astype(np.int64)), pa.array(sizes.astype(np.int32)), prefixes, *map(pa.array, maps),
+        ], ["doc_id", "line_no", "set_id", "size", "prefix", "even", "odd"])
+        return out.filter(pa.array(sizes >= least))
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        make, "doc_id long, line_no int, set_id long, size int, prefix array<long>, words binary")
+        make, "doc_id long, line_no int, set_id long, size int, prefix array<long>, even long, odd long")
+
+
+def candidates(rows: DataFrame, percent: int, most: int = 4, small: int = 64, held: int = 50_000) -> DataFrame:
+    """Rows (key, doc_id, line_no, set_id, size, pos, even, odd), sorted by the first three within partitions ->
+    pairs (a, b) of a set and an earlier one that pass all filters, and whether b may have further partners.
+
+    A key with more than ``small`` rows gives each row its ``most`` earliest partners; beyond ``held`` rows of one key, rows are
+    compared with the first of these and with those around them.  What that leaves open is told by ``more``.
+    """
+
+    def fits(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = x["size"][i], x["size"][j]
+        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(n - x["pos"][i], m - x["pos"][j]) >= percent * (n + m))
+        differ = sum(np.bitwise_count((x[k][i] ^ x[k][j]).view(np.uint64)).astype(np.int64) for k in ("even", "odd"))
+        return ok & ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)) & (x["set_id"][i] != x["set_id"][j])
+
+    def pairs_of(x: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        starts, sizes = grouped_runs(x["key"])
+        rank = np.arange(len(x["key"])) - np.repeat(starts, sizes)
+        size = np.repeat(sizes, sizes)
+        for d in range(1, int(min(small, sizes.max()))):  # all pairs of small groups, by distance
+            j = np.flatnonzero((rank >= d) & (size <= small))
+            if len(j):
+                j = j[fits(x, j - d, j)]
+                yield x["set_id"][j - d], x["set_id"][j], np.zeros(len(j), bool)
+        for s, z in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+            for at in range(0, z, 256):
+                j = np.arange(s + at, s + min(at + 256, z))
+                count = np.zeros(len(j), np.int64)
+                for low in range(s, int(j[-1]), 8192):
+                    i = np.arange(low, min(low + 8192, int(j[-1])))
+                    ok = np.zeros((len(j), len(i)), bool)
+                    r, c = np.nonzero((i[None, :] < j[:, None]) & (count < most)[:, None])
+                    good = fits(x, i[c], j[r])
+                    ok[r[good], c[good]] = True
+                    order = np.cumsum(ok, axis=1) + count[:, None]
+                    r, c = np.nonzero(ok & (order <= most))
+                    yield x["set_id"][i[c]], x["set_id"][j[r]], np.ones(len(r), bool)
+                    count += ok.sum(axis=1)
+                    if (count >= most).all():
+                        break
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "set_id", "size", "pos", "even", "odd"]
+        left: dict[str, np.ndarray] = {}
+
+        def out(x: dict) -> Iterator[pa.RecordBatch]:
+            found = [p for p in pairs_of(x) if len(p[0])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*found, strict=True)], ["a", "b", "more"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {k: batch.column(batch.schema.get_field_index(k)).to_numpy() for k in names}
+            x = {k: np.concatenate([left[k], new[k]]) for k in names} if left else new
+            last = int(np.searchsorted(x["key"], x["key"][-1])) if (np.diff(x["key"]) >= 0).all() else 0
+            if last:
+                yield from out({k: v[:last] for k, v in x.items()})
+            left = {k: v[last:] for k, v in x.items()}
+            if len(left["key"]) > 2 * held:  # one very large group: keep its first rows to compare others with
+                yield from out(left)
+                beyond = left["set_id"][held:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(left["set_id"][:1], len(beyond))), pa.array(beyond), pa.array(np.ones(len(beyond), bool))], ["a", "b", "more"])
+                left = {k: v[:held] for k, v in left.items()}
+        if left:
+            yield from out(left)
+
+    return rows.mapInArrow(make, "a long, b long, more boolean")
+
+
+def words_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(set_id, words) of the lines asked for by (set_id, doc_id, line_no); texts move once, and only their sets come back."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words = [], []
+            for text, asked in zip(binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                lines = text.lower().split(b"\n")
+                for x in asked:
+                    if x["line_no"] < len(lines):
+                        ids.append(x["set_id"])
+                        words.append(np.unique(hashed_words(lines[x["line_no"]])[0] >> np.uint64(16)).astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary())], ["set_id", "words"])
+
+    grouped = asked.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", "line_no")).alias("asked"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(grouped, "doc_id").select("text", "asked").mapInArrow(find, "set_id long, words binary").dropDuplicates(["set_id"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     """The ids b of pairs (a, b) whose whole sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype("V6")
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a = {*np.frombuffer(x, width).tolist()}
-                both = len(a.intersection(np.frombuffer(y, width).tolist()))
-                ok.append(100 * both >= percent * (len(x) // 6 + len(y) // 6 - both))
+                both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) // 8 + len(y) // 8 - both))
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["b"]).filter(pa.array(ok, pa.bool_()))
 
-    words = sets.select("set_id", "words")
     x = words.select(F.col("set_id").alias("a"), F.col("words").alias("x"))
     y = words.select(F.col("set_id").alias("b"), F.col("words").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("b", "x", "y").mapInArrow(check, "b long").distinct()
@@ -140,26 +235,35 @@ def removed_lines(spark: SparkSession, docs: DataFrame, least: int = 5, percent:
     """docs (doc_id, text) -> (doc_id, line_no) of the lines to remove; line numbers start at 0."""
     scratch = Scratch(spark)
     lines = scratch.save(line_sets(docs, frequencies(docs), least, percent), "lines")
-    firsts = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    keyed = lines.select("set_id", F.struct("doc_id", "line_no").alias("first"), "size", "prefix", "words")
-    sets = scratch.save(firsts.join(keyed, ["set_id", "first"]).dropDuplicates(["set_id"]), "sets")
-    w = Window.partitionBy("key")
-    exploded = sets.select("set_id", "first", "size", F.posexplode("prefix").alias("pos", "key"))
-    shared = exploded.withColumn("top", F.min(F.struct("first", "set_id", "size", "pos")).over(w)).withColumn("low", F.min("set_id").over(w)).withColumn("high", F.max("set_id").over(w))
-    shared = scratch.save(shared.where("low < high").drop("low", "high"), "shared")
-    # Sizes n and m at places p and q of a shared word: what can still be common must reach the overlap that is needed.
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * (1 + least(n - p, m - q) - 1) >= {percent} * (n + m)"
-    star = shared.where("top.set_id <> set_id").select(F.col("top.set_id").alias("a"), F.col("set_id").alias("b"), F.col("top.size").alias("n"), F.col("top.pos").alias("p"), F.col("size").alias("m"), F.col("pos").alias("q"))
-    star = scratch.save(star.where(fits).select("a", "b").distinct(), "star")
-    matched = scratch.save(similar(star, sets, percent), "matched")
-    x = shared.select("key", F.col("set_id").alias("a"), F.col("first").alias("fa"), F.col("size").alias("n"), F.col("pos").alias("p"))
-    y = shared.join(matched.withColumnRenamed("b", "set_id"), "set_id", "left_anti").where("top.set_id <> set_id")
-    y = y.select("key", F.col("set_id").alias("b"), F.col("first").alias("fb"), F.col("size").alias("m"), F.col("pos").alias("q"))
-    rest = x.join(y, "key").where(f"fa < fb and {fits}").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    matched = matched.union(similar(scratch.save(rest, "rest"), sets, percent))
-    judged = sets.select("set_id", "first", "n").join(matched.withColumn("hit", F.lit(True)).withColumnRenamed("b", "set_id"), "set_id", "left").where("n > 1 or hit")
+    firsts = scratch.save(lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "firsts")
+    place = firsts.select("set_id", "first.doc_id", "first.line_no")
+    keyed = lines.join(place, ["set_id", "doc_id", "line_no"]).select(F.posexplode("prefix").alias("pos", "key"), "doc_id", "line_no", "set_id", "size", "even", "odd")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = candidates(keyed.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "line_no"), percent)
+    pairs = scratch.save(found.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+    sets_of = lambda pairs: place.join(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), "set_id")
+    # Sets of words are fetched for candidates only.
+    words = scratch.save(words_of(docs, sets_of(pairs)), "words")
+    matched = scratch.save(similar(pairs, words, percent), "matched")
+    open_sets = scratch.save(pairs.where("more").select("b").distinct().join(matched, "b", "left_anti"), "open")
+    if open_sets.take(1):
+        # Sets of very large groups whose earliest partners were not similar enough: all their partners, by a join.  There are
+        # few such sets as a rule, and then Spark joins them without moving the lines.
+        asked = place.join(open_sets.withColumnRenamed("b", "set_id"), "set_id", "left_semi")
+        y = lines.join(scratch.save(asked, "asked"), ["set_id", "doc_id", "line_no"]).select("set_id", "doc_id", "line_no", "size", "even", "odd", F.posexplode("prefix").alias("pos", "key"))
+        y = scratch.save(y.select("key", F.col("set_id").alias("b"), F.struct("doc_id", "line_no").alias("fb"), F.col("size").alias("m"), F.col("pos").alias("q"), F.col("even").alias("eb"), F.col("odd").alias("ob")), "keys")
+        x = lines.select("set_id", "doc_id", "line_no", "size", "even", "odd", F.posexplode("prefix").alias("pos", "key"))
+        x = x.select("key", F.col("set_id").alias("a"), F.struct("doc_id", "line_no").alias("fa"), F.col("size").alias("n"), F.col("pos").alias("p"), F.col("even").alias("ea"), F.col("odd").alias("oa"))
+        # Sizes n and m at places p and q of a shared word: what can still be common must reach the overlap that is needed.
+        fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and {100 + percent} * least(n - p, m - q) >= {percent} * (n + m) and {100 + percent} * (n + m - bit_count(ea ^ eb) - bit_count(oa ^ ob)) >= {2 * percent} * (n + m)"
+        rest = scratch.save(x.join(y, "key").where(f"a <> b and fa < fb and {fits}").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+        words = scratch.save(words_of(docs, sets_of(rest)), "words")
+        matched = scratch.save(matched.union(similar(rest, words, percent)), "matched")
+    judged = firsts.join(matched.withColumn("hit", F.lit(True)).withColumnRenamed("b", "set_id"), "set_id", "left").where("n > 1 or hit")
     gone = lines.select("set_id", "doc_id", "line_no").join(judged, "set_id").where("hit or first <> struct(doc_id, line_no)")
-    return gone.select("doc_id", "line_no").distinct()
+    gone = scratch.save(gone.select("doc_id", "line_no").distinct(), "gone")
+    scratch.drop(lines)
+    return gone
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, least: int = 5, percent: int = 80) -> DataFrame:
