@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_list
+from .common import Scratch, binary_list, worker_cache
 
 LATIN = re.compile("([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,]?)")  # without characters that normal forms or lower case turn into several
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,7 +101,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = ChunkIds(Tokenizer.from_file(vocabulary))
+        kept = worker_cache()
+        if (name := f"chunk ids of {vocabulary}") not in kept:
+            kept[name] = ChunkIds(Tokenizer.from_file(vocabulary))
+        encode = kept[name]
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows: list[tuple] = []
