@@ -8,8 +8,8 @@
    principle, in some chunk but for ``errors`` symbols.  So each chunk gives a key for each choice of ``errors``
    symbols left out, and all pairs under that distance share a key.  (120 symbols in 20 chunks of 6 with one error:
    all pairs up to distance 39; a pair of similarity 0.8 shares no key with probability 5e-10.)
-3. Only components are asked for, so pairs within a group are not all made.  First each row of a key is compared
-   with the key's centre; then rows that keys hold together are compared as far as they are still in different
+3. Only components are asked for, so pairs within a group are not all made.  First each row is compared with the
+   nearest of its keys' centres; then rows that keys hold together are compared as far as they are still in different
    components, nearest signatures first, until links join them.
 4. Pairs within ``reach`` symbols (6 standard deviations beyond the mean at the threshold) are confirmed on
    full sets: 100 * |A and B| >= percent * |A or B|.
@@ -137,13 +137,9 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Itera
         yield tuple(held[n][0] for n in names), held, False
 
 
-def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
 def star_pairs(members: DataFrame, reach: int, percent: int, limit: int = 4096) -> DataFrame:
-    """Each row of a key with the key's centre: of its first rows, that nearest to their commonest symbols.
+    """Each row with the nearest of its keys' centres, as pairs (a, b); a key's centre is, of its first rows, that nearest to their
+    commonest symbols.
 
     The source that copies were made from agrees with its copies more than they do with each other, so it becomes the centre.
     """
@@ -160,17 +156,23 @@ def star_pairs(members: DataFrame, reach: int, percent: int, limit: int = 4096)
                 else:
                     k = 0
                 last, centre = key, (sig[k], rep[k], n[k])
-            near = ((sig != centre[0]).sum(axis=1) <= reach) & (rep != centre[1]) & (100 * np.minimum(n, centre[2]) >= percent * np.maximum(n, centre[2]))
+            distance = (sig != centre[0]).sum(axis=1)
+            near = (distance <= reach) & (rep != centre[1]) & (100 * np.minimum(n, centre[2]) >= percent * np.maximum(n, centre[2]))
             if near.any():
-                found.append((np.full(near.sum(), centre[1]), rep[near]))
+                found.append((rep[near], distance[near], np.full(near.sum(), centre[1])))
                 size += len(found[-1][1])
                 if size > 50_000:
-                    yield pair_batch(found)
+                    yield batch_of(found)
                     found, size = [], 0
         if found:
-            yield pair_batch(found)
+            yield batch_of(found)
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["rep", "d", "centre"])
 
-    return members.select("key", "rep", "n", "sig").mapInArrow(make, "a long, b long")
+    near = members.select("key", "rep", "n", "sig").mapInArrow(make, "rep long, d long, centre long")
+    best = near.groupBy("rep").agg(F.min(F.struct("d", "centre")).alias("best"))
+    return best.select(F.least("rep", "best.centre").alias("a"), F.greatest("rep", "best.centre").alias("b"))
 
 
 def links_between(rows: DataFrame, k: int, reach: int, percent: int, limit: int = 1000) -> DataFrame:
