@@ -63,7 +63,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return sketch
 
 
-def buffers(texts: list[bytes | None], size: int = 4_000_000) -> Iterator[list[bytes]]:
+def buffers(texts: list[bytes | None], size: int = 1_000_000) -> Iterator[list[bytes]]:
     """Texts in turn, in lists of about ``size`` bytes."""
     held, n = [], 0
     for text in texts:
@@ -88,7 +88,7 @@ def line_sets(docs: DataFrame, sketch: np.ndarray, least: int, percent: int) ->
         rank = shared.value
         for batch in batches:
             ids, at = batch.column(0).to_numpy(), 0
-            for texts in buffers(binary_list(batch.column(1)), 1_500_000):
+            for texts in buffers(binary_list(batch.column(1)), 1_000_000):
                 buffer = b"\n".join(texts).lower()
                 hashes, starts, _ = hashed_words(buffer)
                 line = np.cumsum(np.frombuffer(buffer, np.uint8) == 10, dtype=np.int32)[starts] if buffer else np.zeros(0, np.int32)

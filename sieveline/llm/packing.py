@@ -43,7 +43,7 @@ class ChunkIds:
     single word, which goes straight to the model; all else takes the whole way.
     """
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
