@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval, with checks of common subsequences and answers.
 
 1. Documents are cut into cells of ``cell`` words (in lower case, without ASCII punctuation); two adjacent cells are a passage.
-   TF-IDF runs over the benchmark's words, with document frequencies counted over all cells; words in more than
-   ``common`` of the cells (and in more than FEW) weigh nothing.
+   TF-IDF runs over the benchmark's words, with document frequencies counted over all cells.  Words in more than
+   ``common`` of the cells (and in more than FEW) weigh nothing, unless they are among the RAREST words of an item: these weigh
+   whatever their frequency, so an item that is leaked often is searched like any other.
 2. A randomised SVD of all passages with at least two weighing words gives a latent space: Y = A'(A Q) is summed over
    partitions (words x rank numbers each), made orthonormal on the driver, and the top of Q'A'AQ gives the right singular vectors.
 3. A passage is a candidate for an item if the cosine of their latent vectors is at least ``cosine``.  A space of fixed rank has no
    room for every item's few rare words, so a passage is one as well if it has ``cover`` of the item's squared weights (of as much of
-   them as fits in a passage), which the words' lists of items tell.
+   them as fits in a passage), which the words' lists of items tell.  Weights aside, a place with RUN words of an item in a row (all
+   of them, if it has fewer) is one too, by an exact lookup of runs; so every verbatim copy is judged, however common its words are.
 4. A candidate counts if the longest common subsequence of the item's words and the passage with its surroundings covers
    ``exact`` of the item; or, as a paraphrase, ``loose`` of it when the item's answer (its last sentence with three words at least)
    is there too, to ``answer`` of its words.
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, grouped_runs, summed
+from .common import RADIX, Scratch, grouped_runs, summed
 
 FEW = 16  # words in so few cells weigh in any corpus
+RAREST = 8  # so many distinct words of each item weigh in any corpus
+RUN = 8
 SENTENCE = re.compile(r"[^.!?\n]+")
 # ASCII letters, digits and all bytes of other characters are parts of words.
 TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -50,6 +54,7 @@ class Items:
         sentences = [[w for w in map(words_of, SENTENCE.findall(r[1])) if len(w) >= 3] for r in rows]
         self.answers = [s[-1] if s else w for s, w in zip(sentences, self.words, strict=True)]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.numbers = [np.array([self.vocabulary[w] for w in words], np.int64) for words in self.words]
 
 
 def cells_of(texts: list[str | None], vocabulary: dict[bytes, int], cell: int):
@@ -78,6 +83,42 @@ def passages(ids: np.ndarray, cells: np.ndarray, first: np.ndarray, weight: np.n
     return passage[at][sizes >= 2], sizes[sizes >= 2], (packed & ((1 << 20) - 1))[keep], counts[keep]
 
 
+def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    h = np.zeros(max(len(ids) - n + 1, 0), np.uint64)
+    for k in range(n):
+        h = (h + ids[k : k + len(h)].astype(np.uint64)) * np.uint64(RADIX)
+    return h
+
+
+def item_runs(items: Items) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of run: the length, a bitmap of hashes, the sorted hashes and their items."""
+    by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for i, w in enumerate(items.numbers):
+        by_length.setdefault(min(RUN, len(w)), []).append((np.unique(run_hashes(w, min(RUN, len(w)))), i))
+    out = []
+    for n, found in by_length.items():
+        hashes, item = np.concatenate([h for h, _ in found]), np.repeat([i for _, i in found], [len(h) for h, _ in found])
+        order = np.argsort(hashes, kind="stable")
+        seen = np.zeros(1 << 20, bool)
+        seen[hashes >> np.uint64(44)] = True
+        out.append((n, seen, hashes[order], item[order]))
+    return out
+
+
+def places_of_runs(ids: np.ndarray, runs: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """First words and items of all runs that stand in ``ids``; those across two texts are for the caller to refuse."""
+    places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, seen, hashes, item in runs:
+        h = run_hashes(ids, n)
+        at = np.flatnonzero(seen[h >> np.uint64(44)])
+        low, high = (np.searchsorted(hashes, h[at], side) for side in ("left", "right"))
+        size = high - low
+        places.append(np.repeat(at, size))
+        found.append(item[np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+    return np.concatenate(places), np.concatenate(found)
+
+
 def vectors(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Unit-length TF-IDF values of sparse rows."""
     x = (1 + np.log(counts)) * weight[words]
@@ -100,7 +141,7 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 
 def weights(docs: DataFrame, items: Items, cell: int, common: float) -> np.ndarray:
-    """Inverse document frequencies over all cells; 0 for words that are too common."""
+    """Inverse document frequencies over all cells; 0 for words that are too common and not among the rarest of an item."""
     n = len(items.vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +158,11 @@ def weights(docs: DataFrame, items: Items, cell: int, common: float) -> np.ndarr
         yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int64()), "n": pa.array([total], pa.list_(pa.float64()))})
 
     total = summed(docs.select("text").mapInArrow(count, "block long, n array<double>")).get(0, np.zeros(n + 1))
-    return np.where(total[:n] > np.maximum(common * total[n], FEW), 0, np.log((total[n] + 1) / (total[:n] + 0.5)))
+    weighs = total[:n] <= np.maximum(common * total[n], FEW)
+    for w in items.numbers:
+        w = np.unique(w)
+        weighs[w[np.argsort(total[w], kind="stable")[:RAREST]]] = True
+    return np.where(weighs, np.log((total[n] + 1) / (total[:n] + 0.5)), 0)
 
 
 def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.ndarray, cell: int, rank: int, rounds: int = 2, extra: int = 8) -> np.ndarray:
@@ -188,7 +233,7 @@ def search(spark, docs, found, items: Items, cell, common, rank, cosine, cover,
     latent = np.zeros((len(items.ids), space.shape[1]), np.float32)
     lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, item, share of what fits
     for i, w in enumerate(items.words):
-        words, counts = np.unique([items.vocabulary[x] for x in w], return_counts=True)
+        words, counts = np.unique(items.numbers[i], return_counts=True)
         squares = weight[words] ** 2
         if squares.any():
             lists.append((words, np.full(len(words), i), squares / squares.sum() / min(1, 2 * cell / len(w))))
@@ -198,38 +243,43 @@ def search(spark, docs, found, items: Items, cell, common, rank, cosine, cover,
     postings = (np.searchsorted(word[order], np.arange(len(weight) + 1)), item[order], share[order])
     norm = np.linalg.norm(latent, axis=1)
     latent /= np.maximum(norm, 1e-12)[:, None]
-    shared = spark.sparkContext.broadcast((items.ids, items.words, items.answers, items.vocabulary, weight, space, latent, postings))
+    shared = spark.sparkContext.broadcast((items.ids, items.words, items.answers, items.vocabulary, weight, space, latent, postings, item_runs(items)))
     names = found.columns
     at_text, at_ids, at_overlap = (names.index(x) for x in ("text", "item_ids", "overlap"))
 
+    def pairs_of(ids, cells, first, weight, space, latent, first_of, item_of, share_of) -> np.ndarray:
+        passage, sizes, words, counts = passages(ids, cells, first, weight)
+        if not len(sizes):
+            return np.zeros(0, np.int64)
+        x = vectors(sizes, words, counts, weight).astype(np.float32)
+        y = np.empty((len(sizes), space.shape[1]), np.float32)
+        ends = np.cumsum(sizes)
+        for a in range(0, len(sizes), 20_000):
+            b = min(a + 20_000, len(sizes))
+            s, e = ends[a] - sizes[a], ends[b - 1]
+            y[a:b] = np.add.reduceat(x[s:e, None] * space[words[s:e]], ends[a:b] - sizes[a:b] - s)
+        y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
+        hit, item = np.nonzero(y @ latent.T >= cosine)
+        n = first_of[words + 1] - first_of[words]
+        at_list = np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * len(latent) + item_of[at_list]
+        pair, which = np.unique(pair, return_inverse=True)
+        pair = pair[np.bincount(which, share_of[at_list], len(pair)) >= cover] if len(pair) else pair
+        pair = np.union1d(pair, hit * len(latent) + item)
+        return passage[pair // len(latent)] * len(latent) + pair % len(latent)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, item_words, answers, vocabulary, weight, space, latent, (first_of, item_of, share_of) = shared.value
+        item_ids, item_words, answers, vocabulary, weight, space, latent, (first_of, item_of, share_of), runs = shared.value
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             ids_out, overlaps = batch.column(at_ids).to_pylist(), batch.column(at_overlap).to_pylist()
             for at in range(0, len(texts), 200):
                 split, ids, cells, first = cells_of(texts[at : at + 200], vocabulary, cell)
-                passage, sizes, words, counts = passages(ids, cells, first, weight)
-                if not len(sizes):
-                    continue
-                x = vectors(sizes, words, counts, weight).astype(np.float32)
-                y = np.empty((len(sizes), space.shape[1]), np.float32)
-                ends = np.cumsum(sizes)
-                for a in range(0, len(sizes), 20_000):
-                    b = min(a + 20_000, len(sizes))
-                    s, e = ends[a] - sizes[a], ends[b - 1]
-                    y[a:b] = np.add.reduceat(x[s:e, None] * space[words[s:e]], ends[a:b] - sizes[a:b] - s)
-                y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
-                hit, item = np.nonzero(y @ latent.T >= cosine)
-                n = first_of[words + 1] - first_of[words]
-                at_list = np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pair = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * len(latent) + item_of[at_list]
-                pair, which = np.unique(pair, return_inverse=True)
-                pair = pair[np.bincount(which, share_of[at_list], len(pair)) >= cover] if len(pair) else pair
-                pair = np.union1d(pair, hit * len(latent) + item)
+                place, item = places_of_runs(ids, runs)
+                pair = np.union1d(cells[place] * len(latent) + item, pairs_of(ids, cells, first, weight, space, latent, first_of, item_of, share_of))
                 hit, item = pair // len(latent), pair % len(latent)
-                doc = np.searchsorted(first, passage[hit], "right") - 1
-                for d, i, c in zip(doc.tolist(), item.tolist(), passage[hit].tolist(), strict=True):
+                doc = np.searchsorted(first, hit, "right") - 1
+                for d, i, c in zip(doc.tolist(), item.tolist(), hit.tolist(), strict=True):
                     own, w = item_words[i], split[d]
                     if item_ids[i] in ids_out[at + d]:
                         continue

@@ -228,3 +228,26 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
     langs, p = langid.fit(spark, empty, vocabulary("piece_bpe_32k.model"))
     assert langs == [] and langid.predict(spark, empty, langs, p, vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_items_that_are_leaked_often_or_hold_common_words_only(spark):
+    import random
+
+    r = random.Random(5)
+    filler = [f"w{k}" for k in range(3000)]
+    common = [f"c{k}" for k in range(12)]
+    often, plain, short = " ".join(f"leak{k}" for k in range(30)), " ".join(r.choices(common, k=30)), "c1 c1 c1 x"
+    texts = []
+    for k in range(600):
+        parts = [r.choice(common) if r.random() < 0.5 else r.choice(filler) for _ in range(80)]
+        for x in [x for x, every in ((often, 2), (plain, 5), (short, 7)) if k % every == 0]:
+            at = r.randrange(len(parts))
+            parts[at:at] = [x]
+        texts.append((k, " ".join(parts)))
+    items = spark.createDataFrame([(0, often), (1, plain), (2, short)], "item_id long, text string")
+    found = by_id(decontam.decontaminate(spark, spark.createDataFrame(texts, "doc_id long, text string"), items))
+    norm = lambda t: b" " + b" ".join(decontam.words_of(t)) + b" "
+    want = [[i for i, x in enumerate((often, plain, short)) if norm(x) in norm(t)] for _, t in texts]
+    assert sum(map(len, want)) > 400
+    assert all(set(w) <= set(found[k]["item_ids"]) for k, w in enumerate(want))
+    assert all(found[k]["item_ids"].count(0) == (0 in w) for k, w in enumerate(want))
