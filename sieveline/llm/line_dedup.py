@@ -132,7 +132,8 @@ def candidates(rows: DataFrame, percent: int, most: int = 4, small: int = 64, he
     pairs (a, b) of a set and an earlier one that pass all filters, and whether b may have further partners.
 
     A key with more than ``small`` rows gives each row its ``most`` earliest partners; beyond ``held`` rows of one key, rows are
-    compared with the first of these and with those around them.  What that leaves open is told by ``more``.
+    compared with the first of these and with those around them.  What that leaves open is told by ``more``: all rows beyond the first
+    ``held`` of a key that was cut are flagged, up to its last one.
     """
 
     def fits(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -170,9 +171,13 @@ def candidates(rows: DataFrame, percent: int, most: int = 4, small: int = 64, he
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "set_id", "size", "pos", "even", "odd"]
         left: dict[str, np.ndarray] = {}
+        trimmed = None  # the key of which rows were cut from ``left``, so that later ones have not met them
 
         def out(x: dict) -> Iterator[pa.RecordBatch]:
             found = [p for p in pairs_of(x) if len(p[0])]
+            if x["key"][0] == trimmed:
+                beyond = x["set_id"][held : np.searchsorted(x["key"], trimmed, "right")]
+                found.append((np.repeat(x["set_id"][:1], len(beyond)), beyond, np.ones(len(beyond), bool)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*found, strict=True)], ["a", "b", "more"])
 
@@ -186,9 +191,8 @@ def candidates(rows: DataFrame, percent: int, most: int = 4, small: int = 64, he
                 yield from out({k: v[:last] for k, v in x.items()})
             left = {k: v[last:] for k, v in x.items()}
             if len(left["key"]) > 2 * held:  # one very large group: keep its first rows to compare others with
+                trimmed = left["key"][0]
                 yield from out(left)
-                beyond = left["set_id"][held:]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(left["set_id"][:1], len(beyond))), pa.array(beyond), pa.array(np.ones(len(beyond), bool))], ["a", "b", "more"])
                 left = {k: v[:held] for k, v in left.items()}
         if left:
             yield from out(left)

@@ -251,3 +251,19 @@ def test_items_that_are_leaked_often_or_hold_common_words_only(spark):
     assert sum(map(len, want)) > 400
     assert all(set(w) <= set(found[k]["item_ids"]) for k, w in enumerate(want))
     assert all(found[k]["item_ids"].count(0) == (0 in w) for k, w in enumerate(want))
+
+
+def test_late_lines_of_a_very_common_word_keep_their_chance(spark):
+    rows = [(7, k, 0, k + 100, 10, 0, 0, 0) for k in range(105)] + [(9, 0, 1, 1, 10, 0, 0, 0), (9, 1, 1, 2, 10, 0, 0, 0)]
+    rows[60] = (*rows[60][:4], 100, *rows[60][5:])  # by length the only partner of the last row, in the part that is cut
+    rows[104] = (*rows[104][:4], 100, *rows[104][5:])
+    df = spark.createDataFrame(rows, "key long, doc_id long, line_no int, set_id long, size int, pos int, even long, odd long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        found = line_dedup.candidates(df.coalesce(1).sortWithinPartitions("key", "doc_id", "line_no"), 80, held=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = [r for r in found if r["b"] == 204]
+    assert any(r["a"] == 160 for r in last) or any(r["more"] for r in last)
+    assert {r["b"] for r in found if r["more"]} >= {k + 100 for k in range(20, 105)}
+    assert not any(r["b"] < 100 and r["more"] for r in found)
