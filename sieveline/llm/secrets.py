@@ -3,7 +3,7 @@
 Everything here is DataFrame expressions and Spark ML (JVM code); no row passes through Python.
 
 1. Candidates: words of a text (runs of non-white-space) whose value - what follows a last quote, equals sign or colon -
-   has 12 to 200 characters of base64 or identifier alphabets with a digit among them, or at least 8 of any kind right behind a
+   has 12 or more characters of base64 or identifier alphabets with a digit among them, or at least 8 of any kind right behind a
    credential's name.  A text without any such place is skipped by one pattern over the whole text.
 2. Features of a candidate: its length; shares of digits, capitals, small letters and signs; transitions between character
    classes, and from consonant to vowel; distinct characters; whether it is all hexadecimal or all digits; the share of
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 NAMES = "pass(word|wd|phrase)?|pwd|secret|token|api_?-?key|access_?-?key|private_?-?key|auth|credential|bearer"
 HARMLESS = "commit|sha1|sha256|md5|hash|digest|checksum|uuid|guid|version|build|order|invoice|isbn|doi|card|phone|tel|call|fax|tracking|serial|integrity|example|sample|placeholder|dummy|changeme|ref|id"
 DICTIONARY = "password|passw0rd|secret|token|changeme|example|sample|default|insert|your|here|test|user|admin|login|name|value|config|index|image|file|path|page|node|data|list|item|table|column|report|release|version|build|update|script|style|button|header|footer|content|section|module|service|server|client|public|private|system|module|number|string|object|class|function|method|return|import|export"
-ANY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,199}\d)[A-Za-z0-9+/_-]{12,}"
+ANY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+\d)[A-Za-z0-9+/_-]{12,}"
 NAMED = rf"(?i)({NAMES})\w*[\"']?\s?[=:]\s?[\"']?[^\s\"']{{8,}}"
 
 
@@ -99,6 +99,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(name, F.lit("='"), drawn(alnum + "!@#%^&*-_", length(10, 24), 16), F.lit("'")), text, 1),
         (F.concat(F.lit("sk_live_"), drawn(alnum, 24, 17)), text, 1),
         (drawn(base64, 40, 18), F.concat(name, F.lit(" =")), 1),
+        (F.concat(name, F.lit("=eyJ"), drawn(alnum, length(100, 900), 31), F.lit("."), drawn(alnum + "-_", 43, 32)), text, 1),
+        (F.concat(name, F.lit(":"), drawn(base64, length(201, 1600), 33)), text, 1),
         (drawn("0123456789", length(12, 19), 21), text, 0),
         (drawn(hexa, 40, 22), F.concat(text, F.lit(" "), plain), 0),
         (F.concat(drawn(hexa, 8, 23), F.lit("-"), drawn(hexa, 4, 24), F.lit("-4"), drawn(hexa, 3, 25), F.lit("-"), drawn(hexa, 12, 26)), F.concat(plain, F.lit(" ")), 0),
@@ -106,6 +108,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(name, F.lit("=changeme"), digits), text, 0),
         (F.concat(name, F.lit("=your_"), other, F.lit("_here1")), text, 0),
         (F.concat(F.lit("https://"), term, F.lit(".example/"), other, F.lit("/"), digits, F.lit("/"), term), text, 0),
+        (F.concat(F.lit("data:image/png;base64,"), drawn(base64, length(201, 1600), 34)), F.concat(text, F.lit(" src=")), 0),
+        (F.concat(plain, F.lit("="), drawn(hexa, length(201, 1600), 35)), text, 0),
         (F.concat(F.lit("20"), drawn("012", 2, 27), F.lit("-0"), drawn("123456789", 1, 28), F.lit("-1"), drawn("0123456789", 1, 29), F.lit("T12")), text, 0),
     ]
     kind = F.pmod("id", F.lit(len(rows))) + 1
@@ -131,7 +135,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     name, value = parts(F.col("word"))
     before = F.concat(F.element_at(F.split("before", " "), -1), F.lit(" "), name)
     named = F.concat_ws(" ", "before", name, F.when(F.col("word").rlike("[=:]"), F.lit("="))).rlike(rf"(?i)({NAMES})\w*[\"']?\s*[=:]") & (F.length(value) >= 8) & before.rlike(rf"(?i)({NAMES}|[=:])")
-    return rows.where((value.rlike(r"^(?=.*\d)[A-Za-z0-9+/_-]{12,200}=*$")) | (named & (F.length(value) <= 200)))
+    return rows.where((value.rlike(r"^(?=.*\d)[A-Za-z0-9+/_-]{12,}=*$")) | named)
 
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:

@@ -117,3 +117,13 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     found = components(Scratch(spark), spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x["node"]: x["comp"] for x in found} == {k: root(k) for k in parent} and len(found) == len(parent)
+
+
+def test_long_secrets(spark):
+    r = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = lambda n: "".join(r.choices(alphabet, k=n))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{drawn(400)}.{drawn(43)}"
+    texts = [f"here is token={jwt} and more", f"of api_key:{drawn(900)} the", f'the secret = "{drawn(260)}" in', f"of token={drawn(5000)} the", "x" * 3000 + " plain words only", "the src=data:image/png;base64," + drawn(600) + " of"]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in secrets.scan(spark, docs).collect()) == [0, 1, 2, 3]
