@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir.  Only a local master may leave it unset and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +72,24 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep_apart(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Renames input columns that are called like result columns: ``name`` becomes ``name_input`` (with more _ if that is taken)."""
+    taken = {c.lower() for c in docs.columns}
+    for name in names:
+        if name in docs.columns:
+            new = f"{name}_input"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            docs = docs.withColumnRenamed(name, new)
+    return docs
+
+
+def parts_for(spark: SparkSession, size: float, each: float) -> int:
+    """Partitions for ``size`` (of rows or bytes) at most about ``each`` a partition, but not fewer than the session's setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / each) + 1)
+
+
 def binary_list(column: pa.Array) -> list[bytes | None]:
     """The values of a string column as UTF-8 bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -118,14 +140,30 @@ def hashes_of(words: list[bytes], cache: WordHashes) -> np.ndarray:
 SPACES = np.zeros(256, np.int8)
 SPACES[[9, 10, 11, 12, 13, 32]] = 1
 RADIX = 0x9E3779B97F4A7C15
+SEGMENT, SPACE = 1 << 20, re.compile(rb"[\t-\r ]")
 
 
 def hashed_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of a buffer (runs of anything but ASCII white space): 64-bit hashes, starts and ends.
 
     A word's hash is a mix of its polynomial in an odd radix modulo 2^64, from one running sum over the buffer.
+    Long buffers are taken in segments that end at white space, so memory does not grow with a text.
     """
     kept, n = worker_cache(), len(buffer)
+    if n > 2 * SEGMENT:
+        found, at = [], 0
+        while at < n:
+            space = SPACE.search(buffer, min(at + SEGMENT, n))
+            end = space.end() if space else n
+            h, s, e = segment_words(buffer[at:end], kept)
+            found.append((h, s + at, e + at))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return segment_words(buffer, kept)
+
+
+def segment_words(buffer: bytes, kept: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(buffer)
     if len(kept.get("powers", ())) < n:
         size = max(n, 1 << 20)
         for name, base in (("powers", RADIX), ("inverse powers", pow(RADIX, -1, 1 << 64))):

@@ -48,7 +48,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.digests(line_dedup.deduplicate(spark, docs, least=5, percent=80))
+    return line_dedup.digests(line_dedup.deduplicate(spark, docs, percent=80))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,11 +75,11 @@ def test_lines(docs, rows, spark):
         out, n = [], 0
         for line in (t or "").split("\n"):
             s = set(line.encode().lower().split())
-            if len(s) >= 5 and any(100 * len(s & x) >= 80 * len(s | x) for x in seen):
+            if s and any(100 * len(s & x) >= 80 * len(s | x) for x in seen):
                 n += 1
             else:
                 out.append(line)
-            if len(s) >= 5:
+            if s:
                 seen.append(s)
         kept[i], gone[i] = ("\n".join(out) if t is not None else None), n
     found = line_dedup.deduplicate(spark, docs)
@@ -253,17 +253,32 @@ def test_items_that_are_leaked_often_or_hold_common_words_only(spark):
     assert all(found[k]["item_ids"].count(0) == (0 in w) for k, w in enumerate(want))
 
 
-def test_late_lines_of_a_very_common_word_keep_their_chance(spark):
-    rows = [(7, k, 0, k + 100, 10, 0, 0, 0) for k in range(105)] + [(9, 0, 1, 1, 10, 0, 0, 0), (9, 1, 1, 2, 10, 0, 0, 0)]
-    rows[60] = (*rows[60][:4], 100, *rows[60][5:])  # by length the only partner of the last row, in the part that is cut
-    rows[104] = (*rows[104][:4], 100, *rows[104][5:])
-    df = spark.createDataFrame(rows, "key long, doc_id long, line_no int, set_id long, size int, pos int, even long, odd long")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
-    try:
-        found = line_dedup.candidates(df.coalesce(1).sortWithinPartitions("key", "doc_id", "line_no"), 80, held=20).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    last = [r for r in found if r["b"] == 204]
-    assert any(r["a"] == 160 for r in last) or any(r["more"] for r in last)
-    assert {r["b"] for r in found if r["more"]} >= {k + 100 for k in range(20, 105)}
-    assert not any(r["b"] < 100 and r["more"] for r in found)
+@pytest.mark.parametrize(("most", "hot"), [(1, 40), (4, 50_000), (2, 300)])
+def test_lines_of_few_words_that_many_share(spark, most, hot):
+    import random
+
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(14)]
+    rows = []
+    for k in range(150):
+        line = lambda: " ".join(r.choices(words, k=r.choice([1, 2, 6, 9, 12])))
+        rows.append((k * 2, "\n".join(line() for _ in range(r.randint(0, 6))) + r.choice(["", "\nRead more here", "\n \n"])))
+    seen, want = [], set()
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            s = set(x.lower().split())
+            if s and any(100 * len(s & y) >= 80 * len(s | y) for y in seen):
+                want.add((i, k))
+            if s:
+                seen.append(s)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = line_dedup.removed_lines(spark, df, most=most, hot=hot).collect()
+    assert len(found) == len(want) > 100 and {tuple(x) for x in found} == want
+
+
+def test_lines_keep_clashing_columns_and_null_ids(spark):
+    text = "a line of some words\na line of some words"
+    df = spark.createDataFrame([(None, text, 1, 2), (5, text, 1, 2), (5, text, 3, 4), (6, None, 1, 2)], "doc_id long, text string, n_removed int, gone int")
+    found = line_dedup.deduplicate(spark, df)
+    assert found.columns == ["doc_id", "text", "n_removed_input", "gone", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_removed"], r["gone"]) for r in found.collect() if r["text"]) == [(0, text, 0, 2), (5, text[:20], 1, 2), (5, text[:20], 1, 4)]
