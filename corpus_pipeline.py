@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines similar to earlier ones, and documents of which nothing is left by that."""
-    found = line_dedup.deduplicate(spark, docs.select(COLUMNS), least=5, percent=80)
+    found = line_dedup.deduplicate(spark, docs.select(COLUMNS), percent=80)
     kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
