@@ -6,10 +6,11 @@ which a forward recursion gives; a text's is the product over its words.  The pi
 round a forward-backward pass shares every word's count among its segmentations.
 
 Fitting uses at most about ``sample_docs`` labelled documents per language (a documented bound; which ones follows from a
-hash of doc_id); every text is then scored whole.  Characters without a piece have a fixed small probability;
-runs of more than 64 letters are scored in blocks of 64.
+hash of doc_id); every text is then scored whole.  Characters without a piece have a fixed small probability.
+Runs of letters may have any length: beyond ``PLAIN`` letters the recursions are rescaled as they go.
 
-Results, one row per input row: doc_id, lang_pred, score (the posterior of that language, 0 to 1).  Null text, text without a
+Results, one row per input row: its columns, lang_pred and score (the posterior of that language, 0 to 1); input columns of these two
+names become lang_pred_input and score_input.  Null text, text without a
 letter, or nothing to learn from: ``und``, score 0.  Ties go to the alphabetically first language.  Rows with a null doc_id are
 scored like others; they are never learned from.
 """
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix64
+from .common import Scratch, keep_apart, mix64, worker_cache
 
 LETTERS = re.compile(r"[^\W\d_]+")
-MARK, BLOCK, SCALE, UNKNOWN = "▁", 64, 30.0, 1e-7
+MARK, PLAIN, SCALE, UNKNOWN = "▁", 40, 30.0, 1e-7
 
 
 def words_of(text: str | None) -> list[str]:
@@ -81,13 +82,22 @@ class Pieces:
                 break
         return out
 
+    @classmethod
+    def kept(cls, vocabulary: str) -> Pieces:
+        """The worker process's own copy."""
+        cache, name = worker_cache(), f"pieces of {vocabulary}"
+        if name not in cache:
+            cache[name] = cls(vocabulary)
+        return cache[name]
+
     def lattices(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[list[np.ndarray]]]]:
         """By word length: (which words, ids[end][l - 1] of the pieces of length l that stop at end)."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(lengths):
             which = np.flatnonzero(lengths == n)
-            for at in range(0, len(which), 20_000):
-                some = which[at : at + 20_000]
+            step = max(1, min(20_000, 2_000_000 // int(n)))
+            for at in range(0, len(which), step):
+                some = which[at : at + step]
                 text = np.frombuffer("".join(MARK + words[i] for i in some).encode("utf-32-le"), "<u4").reshape(len(some), n + 1).astype(np.uint64) + np.uint64(1)
                 ids: list[list[np.ndarray]] = [[] for _ in range(n + 2)]
                 h = np.zeros((len(some), n + 1), np.uint64)
@@ -118,11 +128,32 @@ def scaled(p: np.ndarray, pieces: Pieces) -> np.ndarray:
     return np.vstack([p * SCALE**size, np.full((1, p.shape[1]), UNKNOWN * SCALE), np.zeros((1, p.shape[1]))])
 
 
+def passed(ids: list[list[np.ndarray]], weight, backward: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The forward sums alpha[end] (or backward ones), rescaled at each position, and the logs of what they were divided by.
+
+    weight: turns an array of pieces into their probabilities.
+    """
+    n = len(ids) - 1
+    first = np.ones_like(weight(ids[1][0]))
+    values, logs = [first] * (n + 1), [np.zeros_like(first)] * (n + 1)
+    for step in range(1, n + 1):
+        here = n - step if backward else step
+        if backward:
+            steps = [(here + size, weight(ids[here + size][size - 1])) for size in range(1, n - here + 1) if size <= len(ids[here + size])]
+        else:
+            steps = [(here - size, weight(found)) for size, found in enumerate(ids[here], 1)]
+        most = np.max([logs[k] for k, _ in steps], axis=0)
+        total = sum(values[k] * np.exp(np.maximum(logs[k] - most, -700)) * w for k, w in steps)
+        values[here], logs[here] = np.where(total > 0, 1.0, 0.0), np.where(total > 0, most + np.log(np.maximum(total, 1e-300)), -1e300)
+    return values, logs
+
+
 def log_scores(words: list[str], p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Log likelihood of each word under each language."""
     out = np.zeros((len(words), p.shape[1]))
     for which, ids in pieces.lattices(words):
-        out[which] = np.log(forward(ids, p)[-1]) - (len(ids) - 1) * np.log(SCALE)
+        last = np.log(forward(ids, p)[-1]) if len(ids) <= PLAIN + 2 else passed(ids, p.__getitem__)[1][-1]
+        out[which] = last - (len(ids) - 1) * np.log(SCALE)
     return out
 
 
@@ -133,6 +164,12 @@ def expected(words: list[str], language: np.ndarray, counts: np.ndarray, p: np.n
     for which, ids in pieces.lattices(words):
         lang = language[which]
         at = [[found.astype(np.int64) * k + lang for found in x] for x in ids]
+        if len(ids) > PLAIN + 2:
+            ahead, behind = passed(at, flat.__getitem__)[1], passed(at, flat.__getitem__, backward=True)[1]
+            for end in range(1, len(ids)):
+                for s, f in enumerate(at[end], 1):
+                    np.add.at(out, f, counts[which] * flat[f] * np.exp(np.minimum(ahead[end - s] + behind[end] - ahead[-1], 700)))
+            continue
         alpha = [np.ones(len(which))]
         for end in range(1, len(ids)):
             alpha.append(sum(alpha[end - s] * flat[f] for s, f in enumerate(at[end], 1)))
@@ -148,10 +185,6 @@ def expected(words: list[str], language: np.ndarray, counts: np.ndarray, p: np.n
     return out.reshape(n, k)[: pieces.n]
 
 
-def blocks(words: list[str]) -> list[str]:
-    return [b for w in words for b in ([w] if len(w) <= BLOCK else [w[i : i + BLOCK] for i in range(0, len(w), BLOCK)])]
-
-
 def fit(spark: SparkSession, labelled: DataFrame, vocabulary: str, sample_docs: int = 2500, rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """labelled (doc_id, text, lang) -> languages in order, piece probabilities (pieces, languages)."""
     labelled = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
@@ -169,7 +202,7 @@ def fit(spark: SparkSession, labelled: DataFrame, vocabulary: str, sample_docs:
         for batch in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(blocks(words_of(text)))
+                found.setdefault(lang, Counter()).update(words_of(text))
             rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -179,7 +212,7 @@ def fit(spark: SparkSession, labelled: DataFrame, vocabulary: str, sample_docs:
         table = scaled(p, pieces)
 
         def share_out(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
-            own, number, total = Pieces(vocabulary), {x: i for i, x in enumerate(langs)}, 0
+            own, number, total = Pieces.kept(vocabulary), {x: i for i, x in enumerate(langs)}, 0
             for batch in batches:
                 if batch.num_rows:
                     language = np.array([number[x] for x in batch.column(0).to_pylist()])
@@ -200,13 +233,11 @@ def fit(spark: SparkSession, labelled: DataFrame, vocabulary: str, sample_docs:
 def predict(spark: SparkSession, docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str) -> DataFrame:
     """docs (doc_id, text, ...) -> its columns with lang_pred and score."""
     shared = spark.sparkContext.broadcast(p)  # pieces x languages, whatever the corpus
+    docs = keep_apart(docs, ["lang_pred", "score"])
     names, at = docs.columns, docs.columns.index("text")
-    if clash := {"lang_pred", "score"} & set(names):
-        docs = docs.drop(*clash)
-        names, at = docs.columns, docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = Pieces.kept(vocabulary)
         table = scaled(shared.value, pieces)
         seen: dict[str, int] = {}
         rows = np.zeros((1 << 17, len(langs)))
@@ -214,7 +245,7 @@ def predict(spark: SparkSession, docs: DataFrame, langs: list[str], p: np.ndarra
             best, certain = [], []
             texts = batch.column(at).to_pylist()
             for a in range(0, len(texts), 100):
-                docs_words = [blocks(words_of(t)) if langs else [] for t in texts[a : a + 100]]
+                docs_words = [words_of(t) if langs else [] for t in texts[a : a + 100]]
                 new = {w for words in docs_words for w in words if w not in seen}
                 if len(seen) + len(new) > 400_000:
                     seen.clear()

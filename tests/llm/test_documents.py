@@ -183,6 +183,31 @@ def test_language(docs, rows, spark):
             assert math.isclose(math.log(total(langid.MARK + w, k)), scores[i, k], rel_tol=1e-9)
 
 
+def test_long_runs_of_letters(spark, docs):
+    import numpy as np
+
+    name = vocabulary("piece_bpe_32k.model")
+    langs, p = langid.fit(spark, docs.where(~langid.held_out()), name)
+    own = langid.Pieces(name)
+    table = langid.scaled(p, own)
+    for word in ("thereingthe" * 3, "verkeitundüber" * 2 + "漢字"):  # plain and rescaled recursions agree, in scores and in expected counts
+        plain, counts = langid.log_scores([word], table, own), langid.expected([word], np.array([1]), np.array([2.0]), table, own)
+        kept, langid.PLAIN = langid.PLAIN, 3
+        try:
+            assert np.allclose(plain, langid.log_scores([word], table, own), rtol=1e-9)
+            assert np.allclose(counts, langid.expected([word], np.array([1]), np.array([2.0]), table, own), rtol=1e-9)
+        finally:
+            langid.PLAIN = kept
+    texts = ["ꙮ" * 64, "ꙮ" * 5000, "the of er " * 3 + "漢" * 700, "x" * 20000, None, "12 !"]
+    asked = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    found = by_id(langid.predict(spark, asked, langs, p, name))
+    assert all(0 < found[k]["score"] <= 1 and found[k]["lang_pred"] in langs for k in range(4)) and found[2]["lang_pred"] == "en"
+    assert [(found[k]["lang_pred"], found[k]["score"], found[k]["score_input"]) for k in (4, 5)] == [("und", 0.0, "own")] * 2
+    # A text that learning meets, too.
+    again, q = langid.fit(spark, spark.createDataFrame([(1, "ꙮ" * 3000 + " the", "en"), (2, "über", "de")], "doc_id long, text string, lang string"), name)
+    assert again == ["de", "en"] and np.isfinite(q).all() and np.allclose(q.sum(axis=0), 1)
+
+
 def test_language_model(docs, rows, spark):
     tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t, *_ in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
