@@ -1,24 +1,25 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
-Vectors are scaled to unit length, so a cosine of at least ``cosine`` is a squared distance of at most 2 - 2 * cosine.  A fixed
-random rotation spreads the distance over all dimensions, and the vector is split into ``blocks`` of low dimension.
-If two vectors are within the budget, some block of theirs is within its proportional part, budget * (block's dimensions) / (all
-dimensions); so the union of the blocks' range joins has every pair, and each candidate is verified on whole vectors in
-double precision.
-
-A block's range join is by reference points: a label's vectors are dealt to the nearest of its points, one for ``cell_rows``
-rows and ``cells`` at most (drawn from a bounded sample); with r the range, a vector at distance d from its point lies within r of
-another cell's vectors only if d' - d <= 2 r for that cell's point at distance d' (two triangle inequalities), so it visits just
-those cells.  Within a cell, rows are taken in tiles of ``tile`` rows and compared by matrix products; large cells are dealt
-out as pairs of tiles.  A pair is counted in the first block that finds it, in the home cell of its smaller id, and so
-once; what leaves a pair of tiles is each row's number of links there and a link to its smallest partner by
-steps, not the pairs.
+Vectors of one label and one length are compared.  They are scaled to unit length, so a cosine of at least ``cosine`` is a squared
+distance of at most 2 - 2 * cosine.  A fixed random rotation spreads the distance over all dimensions.  The dimensions are split into
+blocks of ``width`` (4) dimensions, which form ``parts`` groups for dealing out.  If two vectors are within the budget, their squared
+distance in some group, and in some block of that group, is within its proportional part, budget * (its dimensions) / (all
+dimensions); so the union of the blocks' range joins has every pair.  A candidate then has to keep within its group's part
+and within the whole budget, and is verified on whole vectors in double precision.
+
+Dealing out goes by reference points in each group's dimensions, about one for ``cell_rows`` rows (drawn from a bounded sample): with r
+the group's range, a vector at distance d from its nearest point lies within r of another cell's vectors only if d' - d <= 2 r
+for that cell's point at distance d' (two triangle inequalities), so it visits just those cells.  A large cell is dealt out as
+pairs of tiles by a hash of the id.  There, each block's range join goes over the leaves of two k-d trees: pairs of leaves whose boxes
+are farther apart than the range are left out.  A pair is counted in the first block that finds it, in the home cell of its
+smaller id, and so once; what leaves a pair of tiles is each row's number of links there and a link to its smallest partner
+by steps, not the pairs.
 
 Equal vectors of a label are merged first and counted by weight, so copies never meet as pairs.
 
-Results, one row per input row: vec_id, n_links, component_id, kept.  Vectors that are null, zero, of another length than most
-or hold null or non-finite components, and rows without a label, link with nothing.  Repeated rows
-with one vec_id are one vector each for n_links.  An empty table gives no rows.
+Results, one row per input row: vec_id, n_links, component_id, kept.  Vectors that are null, empty, zero or hold null or
+non-finite components, and rows without a label or an id, link with nothing.  Repeated rows with one vec_id are one vector each for
+n_links.  Vectors of different lengths are never linked.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +28,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, grouped_runs, mix64, worker_cache
 
+MOST_ROTATED = 2048  # longer vectors are split as they are: any rotation gives exact results
 
-def rotation(dimensions: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(64).standard_normal((dimensions, dimensions)))
-    return q * np.sign(np.diag(r))
+
+def rotated(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to unit length and rotated."""
+    v = v / np.abs(v).max(axis=1)[:, None]  # so that squares stay in range
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    n = v.shape[1]
+    if n > MOST_ROTATED:
+        return v
+    kept, name = worker_cache(), f"rotation of {n}"
+    if name not in kept:
+        q, r = np.linalg.qr(np.random.default_rng(64).standard_normal((n, n)))
+        kept[name] = q * np.sign(np.diag(r))
+    return v @ kept[name]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -44,84 +57,132 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row by row, in double precision."""
+    x, y = (v / np.abs(v).max(axis=1)[:, None] for v in (x, y))
     return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
 
 
-def block_slices(dimensions: int, blocks: int) -> list[slice]:
-    ends = np.linspace(0, dimensions, min(blocks, dimensions) + 1).astype(int)
-    return [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
-
-
-def deal(classes: DataFrame, dimensions: int, cosine: float, blocks: int, points: dict) -> DataFrame:
-    """classes (id, label, v, n) -> (label, block, cell, home, id, v, n): each in its home cell and those that it must visit."""
-    shared = classes.sparkSession.sparkContext.broadcast(points)  # labels x blocks x cells points: a bounded sample
+def blocks_of(dimensions: int, parts: int, width: int) -> list[tuple[slice, list[slice]]]:
+    """The groups of dimensions, each with its blocks."""
+
+    def cut(first: int, last: int, n: int) -> list[slice]:
+        ends = np.linspace(first, last, n + 1).astype(int).tolist()
+        return [slice(i, j) for i, j in zip(ends, ends[1:], strict=False)]
+
+    return [(g, cut(g.start, g.stop, -(-(g.stop - g.start) // width))) for g in cut(0, dimensions, min(parts, dimensions))]
+
+
+def leaves(x: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x in the leaves of a k-d tree (-1: none), and the leaves' boxes."""
+    n, d = x.shape
+    levels = max(0, int(np.ceil(np.log2(n / leaf)))) if n else 0
+    size = -(-n // (1 << levels))
+    order = np.append(np.arange(n), np.full((size << levels) - n, -1))
+    far = np.vstack([x, np.full((1, d), np.inf)])
+    for level in range(levels):
+        order = order.reshape(1 << level, -1)
+        order = np.take_along_axis(order, np.argsort(far[order, level % d], axis=1), axis=1)
+    order = order.reshape(1 << levels, size)
+    low = far[order].min(axis=1)
+    return order, low, np.where(order[:, :, None] < 0, -np.inf, far[order]).max(axis=1)
+
+
+def range_join(x: np.ndarray, y: np.ndarray, share: float, leaf: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of x and y, of few dimensions, whose squared distance is at most ``share``."""
+    a, a_low, a_high = leaves(x, leaf)
+    b, b_low, b_high = leaves(y, leaf)
+    gap = np.maximum(0, np.maximum(a_low[:, None] - b_high[None], b_low[None] - a_high[:, None]))
+    some, other = np.nonzero((gap * gap).sum(axis=2) <= share)
+    for at in range(0, len(some), 64):
+        p, q = a[some[at : at + 64]], b[other[at : at + 64]]
+        u, v = x[p], y[q]
+        d = (u * u).sum(axis=2)[:, :, None] + (v * v).sum(axis=2)[:, None, :] - 2 * u @ v.transpose(0, 2, 1)
+        k, i, j = np.nonzero(d <= share)
+        i, j = p[k, i], q[k, j]
+        ok = (i >= 0) & (j >= 0)
+        yield i[ok], j[ok]
+
+
+def deal(classes: DataFrame, cosine: float, parts: int, width: int, points: dict) -> DataFrame:
+    """classes (id, label, v, n) -> (label, length, part, cell, low, high, tile, home, id, v, n): each in its home cell and those
+    that it must visit, there in all pairs of its tile with another one.
+
+    points: by label and length, for each group of dimensions the points of its cells and the cells' tiles.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(points)  # no more points than a bounded sample has rows
+    names = ["label", "length", "part", "cell", "low", "high", "tile", "home", "id", "v", "n"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, slices = rotation(dimensions), block_slices(dimensions, blocks)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, labels, v = batch.column(0), batch.column(1).to_numpy(), matrix(batch.column(2))
-            u = v / np.linalg.norm(v, axis=1)[:, None] @ turn
-            for label in np.unique(labels):
-                rows = np.flatnonzero(labels == label)
-                centres = shared.value.get(int(label), shared.value[None])
-                for k, s in enumerate(slices):
-                    x, c = u[rows, s], centres[:, s]
+            ids, labels, length = batch.column(0), batch.column(1).to_numpy(), pc.list_value_length(batch.column(2)).to_numpy()
+            for label, size in sorted({*zip(labels.tolist(), length.tolist(), strict=True)}):
+                rows = np.flatnonzero((labels == label) & (length == size))
+                u = rotated(matrix(batch.column(2).take(pa.array(rows))))
+                known = shared.value.get((label, size))
+                for k, (s, _) in enumerate(blocks_of(size, parts, width)):
+                    c, tiles = known[k] if known else (np.zeros((1, s.stop - s.start)), np.ones(1, np.int64))
+                    x = u[:, s]
                     d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
                     home = d.argmin(axis=1)
-                    reach = np.sqrt((2 - 2 * cosine) * (s.stop - s.start) / dimensions)
+                    reach = np.sqrt((2 - 2 * cosine) * (s.stop - s.start) / size + 2e-9)
                     row, cell = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * reach + 1e-9)
-                    at = pa.array(rows[row])
-                    n = len(row)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, label, np.int64)), pa.array(np.full(n, k, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), ids.take(at), batch.column(2).take(at), batch.column(3).take(at),
-                    ], ["label", "block", "cell", "home", "id", "v", "n"])
-
-    return classes.select("id", "label", "v", "n").mapInArrow(make, f"label long, block int, cell int, home boolean, id long, v {dict(classes.dtypes)['v']}, n long")
-
-
-def links(dealt: DataFrame, dimensions: int, cosine: float, blocks: int, tile: int) -> DataFrame:
+                    tile = (mix64(ids.take(pa.array(rows[row])).to_numpy().astype(np.uint64)) % tiles[cell].astype(np.uint64)).astype(np.int64)
+                    other, _ = grouped_runs(np.repeat(np.arange(len(row)), tiles[cell]))
+                    other = np.arange(int(tiles[cell].sum())) - np.repeat(other, tiles[cell])
+                    row, cell, tile = (np.repeat(z, tiles[cell]) for z in (row, cell, tile))
+                    for at in range(0, len(row), 4096):
+                        r, c_, t, o = (z[at : at + 4096] for z in (row, cell, tile, other))
+                        take, m = pa.array(rows[r]), len(r)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(m, label, np.int64)), pa.array(np.full(m, size, np.int32)), pa.array(np.full(m, k, np.int32)), pa.array(c_.astype(np.int32)), pa.array(np.minimum(t, o).astype(np.int32)), pa.array(np.maximum(t, o).astype(np.int32)),
+                            pa.array(t.astype(np.int32)), pa.array(home[r] == c_), ids.take(take), batch.column(2).take(take), batch.column(3).take(take),
+                        ], names)
+
+    kind = dict(classes.dtypes)["v"]
+    return classes.select("id", "label", "v", "n").mapInArrow(make, f"label long, length int, part int, cell int, low int, high int, tile int, home boolean, id long, v {kind}, n long")
+
+
+def links(dealt: DataFrame, cosine: float, parts: int, width: int) -> DataFrame:
     """Of each pair of tiles, rows (id, root, degree): rows linked there, the smallest id reached there, copies linked."""
-    key = ["label", "block", "cell"]
-    w = Window.partitionBy(*key)
-    tiled = dealt.withColumn("tile", F.floor((F.row_number().over(w.orderBy("id")) - 1) / tile).cast("int")).withColumn("most", F.max("tile").over(w))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    tiled = tiled.select(*key, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "home", "id", "v", "n")
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*key, "low", "high"]
+    keys = ["label", "length", "part", "cell", "low", "high"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, slices = rotation(dimensions), block_slices(dimensions, blocks)
-        budget = 2 - 2 * cosine
-        shares = [budget * (s.stop - s.start) / dimensions + 1e-9 for s in slices]
-
         def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            block, low, high = (table[x][0].as_py() for x in ("block", "low", "high"))
+            size, part, low, high = (table[x][0].as_py() for x in ("length", "part", "low", "high"))
             at, home, ids, n = (table[x].to_numpy() for x in ("tile", "home", "id", "n"))
+            groups = blocks_of(size, parts, width)
+            budget = 2 - 2 * cosine
+            share = lambda s: budget * (s.stop - s.start) / size + 1e-9
             degree, root = np.zeros(len(ids), np.int64), ids.copy()
-            pairs = []
             v = matrix(table["v"].combine_chunks())
-            u = v / np.linalg.norm(v, axis=1)[:, None] @ turn
+            u = rotated(v)
             left, right = np.flatnonzero(at == low), np.flatnonzero(at == high)
-            s = slices[block]
-            for a in range(0, len(left), 512):
-                i = left[a : a + 512]
-                x, y = u[i, s], u[right, s]
-                i, j = np.nonzero((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T <= shares[block])
-                i, j = left[a + i], right[j]
-                # Tiles go by id, so left ids are the smaller ones; the pair is made in the smaller one's home cell.
-                ok = (ids[i] < ids[j]) & home[i]
-                i, j = i[ok], j[ok]
-                ok = cosines(v[i], v[j]) >= cosine
-                i, j = i[ok], j[ok]
-                difference = (u[i] - u[j]) ** 2
-                for k in range(block):  # not if an earlier block has it
-                    ok = difference[:, slices[k]].sum(axis=1) > shares[k]
-                    i, j, difference = i[ok], j[ok], difference[ok]
-                degree += np.bincount(i, n[j], len(ids)).astype(np.int64) + np.bincount(j, n[i], len(ids)).astype(np.int64)
-                pairs.append((i, j))
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (left[:0], left[:0])
+            group, blocks = groups[part]
+            distance = lambda i, j, s: ((u[i, s] - u[j, s]) ** 2).sum(axis=1)
+            pairs = [(left[:0], left[:0])]
+            for k, s in enumerate(blocks):
+                for i, j in range_join(u[left, s], u[right, s], share(s) + 1e-9):
+                    i, j = left[i], right[j]
+                    ok = np.where(ids[i] < ids[j], home[i], home[j]) & ((ids[i] < ids[j]) if low == high else (ids[i] != ids[j]))
+                    i, j = i[ok], j[ok]
+                    sum_ = distance(i, j, s)
+                    ok = sum_ <= share(s)
+                    i, j, sum_ = i[ok], j[ok], sum_[ok]
+                    for other in [*blocks[k + 1 :], *blocks[:k]]:  # within the group's part
+                        sum_ += distance(i, j, other)
+                        ok = sum_ <= share(group)
+                        i, j, sum_ = i[ok], j[ok], sum_[ok]
+                    ok = cosines(v[i], v[j]) >= cosine
+                    i, j = i[ok], j[ok]
+                    for other, earlier in [*zip(blocks[:k], [None] * k, strict=True), *groups[:part]]:  # not if an earlier block has it
+                        found = distance(i, j, other) <= share(other)
+                        if earlier:
+                            found &= np.any([distance(i, j, e) <= share(e) for e in earlier], axis=0)
+                        i, j = i[~found], j[~found]
+                    degree += np.bincount(i, n[j], len(ids)).astype(np.int64) + np.bincount(j, n[i], len(ids)).astype(np.int64)
+                    pairs.append((i, j))
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
             while (root[i] != root[j]).any():
                 low_id = np.minimum(root[i], root[j])
                 np.minimum.at(root, i, low_id)
@@ -147,35 +208,42 @@ def links(dealt: DataFrame, dimensions: int, cosine: float, blocks: int, tile: i
         if held:
             yield from join(pa.Table.from_batches(held))
 
-    return tiled.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(make, "id long, root long, degree long")
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(make, "id long, root long, degree long")
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, blocks: int = 4, cells: int = 64, cell_rows: int = 50_000, sample: int = 2000, tile: int = 8192) -> DataFrame:
+def reference_points(classes: DataFrame, total: int, parts: int, width: int, cell_rows: int, sample: int, tile: int, cosine: float) -> dict:
+    """For labels and lengths in a sample of about ``sample`` rows: the points of each group's cells, and how many tiles a cell takes."""
+    share = F.lit(min(1.0, sample / max(1, total)))
+    drawn = classes.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) / 1_000_000 <= share).select("label", "v").limit(2 * sample).toArrow()
+    length = pc.list_value_length(drawn["v"].combine_chunks()).to_numpy() if len(drawn) else []
+    labels = drawn["label"].to_numpy() if len(drawn) else []
+    points, random = {}, np.random.default_rng(5)
+    for label, size in sorted({*zip(map(int, labels), map(int, length), strict=True)}):
+        rows = np.flatnonzero((labels == label) & (length == size))
+        u = rotated(matrix(drawn["v"].combine_chunks().take(pa.array(rows))))
+        each = total / len(drawn)  # rows that a drawn one stands for
+        chosen = u[random.permutation(len(u))[: max(1, min(int(each * len(u) / cell_rows), len(u) // 16))]]
+        points[label, size] = []
+        for s, _ in blocks_of(size, parts, width):
+            x, c = u[:, s], chosen[:, s]
+            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0))
+            visits = (d <= d.min(axis=1)[:, None] + 2 * np.sqrt((2 - 2 * cosine) * (s.stop - s.start) / size)).sum(axis=0)
+            points[label, size].append((c, (each * visits // tile + 1).astype(np.int64)))
+    return points
+
+
+def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = 0.93, parts: int = 4, width: int = 4, cell_rows: int = 50_000, sample: int = 20_000, tile: int = 8192) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     scratch = Scratch(spark)
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     v = F.col("embedding").cast(kind)
     sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v")).withColumn("ok", F.coalesce(sound, F.lit(False)))
-    common = rows.where("ok").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dimensions = common["n"]
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dimensions)).withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_json("v").cast("binary"), 256)))
+    rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.to_json("v").cast("binary"), 256)))
     classes = scratch.save(rows.where("ok").groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
-    total = classes.count()
-    share = F.lit(min(1.0, 20 * sample / max(1, total)))
-    turn = rotation(dimensions)
-    drawn = classes.where(F.pmod(F.xxhash64("digest"), F.lit(1_000_000)) / 1_000_000 <= share).select("label", "v").limit(20 * sample).toPandas()
-    points, random = {}, np.random.default_rng(5)
-    groups = {None: drawn, **{int(k): g for k, g in drawn.groupby("label")}} if len(drawn) else {}
-    for label, group in groups.items():
-        x = np.array(group["v"].tolist())
-        x = x / np.linalg.norm(x, axis=1)[:, None] @ turn
-        rows_here = total * len(x) / len(drawn)
-        points[label] = x[random.permutation(len(x))[: max(1, min(cells, int(rows_here / cell_rows), len(x) // 16))]]
-    points.setdefault(None, np.zeros((1, dimensions)))
-    pairs = scratch.save(links(deal(classes, dimensions, cosine, blocks, points), dimensions, cosine, blocks, tile), "links")
+    points = reference_points(classes, classes.count(), parts, width, cell_rows, sample, tile, cosine)
+    pairs = scratch.save(links(deal(classes, cosine, parts, width, points), cosine, parts, width), "links")
     degree = pairs.groupBy("id").agg(F.sum("degree").alias("degree"))
     comp = components(scratch, pairs.select(F.col("id").alias("a"), F.col("root").alias("b")))
     described = classes.drop("v").join(degree, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left").select(

@@ -11,7 +11,7 @@ from sieveline.llm import secrets, vector_dedup, warc
 from sieveline.llm.common import Scratch, components
 
 
-@pytest.mark.parametrize("options", [{}, {"blocks": 8, "tile": 16}, {"cell_rows": 40, "tile": 8}])
+@pytest.mark.parametrize("options", [{}, {"parts": 8, "width": 1, "tile": 16}, {"cell_rows": 40, "tile": 8, "width": 2}, {"parts": 1, "width": 3, "tile": 30}])
 def test_vectors(spark, options):
     r = np.random.default_rng(3)
     base = r.standard_normal((40, 12))
@@ -19,13 +19,13 @@ def test_vectors(spark, options):
     for k in range(260):
         v = base[k % 40] + r.standard_normal(12) * r.choice([0.0, 0.05, 0.3])
         rows.append((k * 2, v.tolist(), int(k % 3), 1))
-    rows += [(1000, None, 1, 1), (1001, [0.0] * 12, 1, 1), (1002, [float("nan")] + [1.0] * 11, 1, 1), (1003, [None] + [1.0] * 11, 1, 1), (1004, base[0].tolist(), None, 1), (1005, [1.0], 1, 1)]
+    rows += [(1000, None, 1, 1), (1001, [0.0] * 12, 1, 1), (1002, [float("nan")] + [1.0] * 11, 1, 1), (1003, [None] + [1.0] * 11, 1, 1), (1004, base[0].tolist(), None, 1), (1005, [1.0], 1, 1), (1006, [2.0], 1, 1), (1007, [-2.0], 1, 1), (1008, [1.0, 0.1], 2, 1), (1009, [1e200, 1e199], 2, 1), (1010, [], 1, 1), (None, [1.0, 0.1], 2, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n int")
-    links: dict[int, set] = {i: set() for i, *_ in rows}
-    good = [(i, np.array(v), lab) for i, v, lab, _ in rows[:260]]
+    links: dict[int, set] = {i: set() for i, *_ in rows if i is not None}
+    good = [(i, np.array(v), lab) for i, v, lab, _ in [*rows[:260], *rows[265:269], (1009, [1.0, 0.1], 2, 1)]]
     for i, x, a in good:
         for j, y, b in good:
-            if i != j and a == b and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
+            if i != j and a == b and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
                 links[i].add(j)
 
     def reach(i):
@@ -36,10 +36,22 @@ def test_vectors(spark, options):
                 todo.append(j)
         return min(seen)
 
-    found = vector_dedup.near_duplicates(spark, df, **options).collect()
+    found = vector_dedup.near_duplicates(spark, df, **options).where("vec_id is not null").collect()
+    assert links[1005] == {1006} and links[1008] == {1009}
     assert {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in found} == {i: (len(links[i]), reach(i), reach(i) == i) for i in links}
 
 
+def test_range_joins_have_every_pair_and_few_others():
+    r = np.random.default_rng(1)
+    x, y = r.standard_normal((3000, 4)) / 8, r.standard_normal((1111, 4)) / 8
+    share = 0.14 / 16
+    found = [p for i, j in vector_dedup.range_join(x, y, share) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    i, j = np.nonzero(((x[:, None] - y[None]) ** 2).sum(axis=2) <= share)
+    assert sorted(found) == list(zip(i.tolist(), j.tolist(), strict=True)) and len(found) < 0.02 * len(x) * len(y)
+    one, two = np.zeros((1, 2)), np.ones((1, 2))
+    assert [len(i) for i, _ in vector_dedup.range_join(one, one, 0.1)] == [1] and not list(vector_dedup.range_join(one, two, 0.1))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vector_dedup.near_duplicates(spark, df).count() == 0
