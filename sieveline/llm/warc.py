@@ -112,7 +112,7 @@ def parse(raw: bytes) -> dict:
 
 
 def write(spark: SparkSession, pages: DataFrame, folder: str, dictionary: bytes, least: int = 1000, archive_bytes: int = 24_000_000, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """Writes the archives into ``folder``, a URI that all executors reach; returns rows (archive, records)."""
+    """Writes the archives into ``folder``, a URI that all executors reach; returns rows (archive, folder, records)."""
     html = F.coalesce("html", F.lit(""))
     sized = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     # One row per payload, made with partial sums; a hot payload only repeats on the other side, which AQE splits.
@@ -134,12 +134,12 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, dictionary: bytes,
         def close():
             out.close()
             store.move(temporary, name)  # only whole archives are ever visible
-            return pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([n], pa.int64())})
+            return pa.RecordBatch.from_pydict({"archive": [name], "folder": [folder], "records": pa.array([n], pa.int64())})
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_list(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if out is None:
-                    name = f"{root}/part-{task.partitionId():06d}-{k:05d}.warc.zst"
+                    name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{k:05d}.warc.zst"  # an attempt's own names
                     temporary = f"{root}/_{task.taskAttemptId()}-{k:05d}"
                     out, size, n, k = store.open_output_stream(temporary), 0, 0, k + 1
                     out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
@@ -151,7 +151,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, dictionary: bytes,
         if out is not None:
             yield close()
 
-    return rows.mapInArrow(put, "archive string, records long")
+    return rows.mapInArrow(put, "archive string, folder string, records long")
 
 
 def records_of(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:
@@ -184,8 +184,20 @@ def records_of(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None
             return
 
 
-def read(spark: SparkSession, folder: str, on_error: str = "raise", payloads: bool = True) -> DataFrame:
-    """The records of all archives in ``folder``, as RECORD says; payloads=False leaves payloads out of the rows."""
+def read(spark: SparkSession, archives: str | DataFrame, on_error: str = "raise", payloads: bool = True) -> DataFrame:
+    """The records of archives, as RECORD says; payloads=False leaves payloads out of the rows.
+
+    archives: a folder, all of whose archives are read; or rows (archive) with paths and the folder's URI as ``write`` gives them
+    (so what a lost task has left in the folder is not read).
+    """
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as source:
+                    yield from get([pa.RecordBatch.from_arrays([pa.array([path]), pa.array([source.read()], pa.binary())], ["path", "content"])])
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +220,10 @@ def read(spark: SparkSession, folder: str, on_error: str = "raise", payloads: bo
                 if rows:
                     yield to_batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content").mapInArrow(get, RECORD)
+    if isinstance(archives, DataFrame):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return archives.select("archive", "folder").distinct().repartition(n, "archive").mapInArrow(opened, RECORD)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(archives).select("path", "content").mapInArrow(get, RECORD)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,6 +238,4 @@ def round_trip(spark: SparkSession, pages: DataFrame, least: int = 1000) -> Data
     scratch = Scratch(spark)
     folder = scratch.path("archives")
     written = scratch.save(write(spark, pages, folder, train(pages), least), "manifest")
-    if not written.take(1):
-        return spark.createDataFrame([], RECORD)
-    return read(spark, folder, payloads=False)
+    return read(spark, written, payloads=False)

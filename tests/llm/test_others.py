@@ -76,6 +76,14 @@ def test_archives_round_trip(spark, pages):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_only_archives_of_the_manifest_are_read(spark, pages, tmp_path):
+    folder = f"file://{tmp_path}/b"
+    written = Scratch(spark).save(warc.write(spark, pages, folder, warc.train(pages)), "manifest")
+    for path in list((tmp_path / "b").glob("*.warc.zst")):
+        (tmp_path / "b" / f"left-{path.name}").write_bytes(path.read_bytes())
+    assert warc.read(spark, written).count() == pages.count() == warc.read(spark, folder).count() / 2
+
+
 def test_damaged_archives_are_refused(spark, pages, tmp_path):
     folder = f"file://{tmp_path}/a"
     warc.write(spark, pages.coalesce(1), folder, warc.train(pages)).collect()
