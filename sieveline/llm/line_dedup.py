@@ -271,7 +271,7 @@ def entries(lines: DataFrame, dups: DataFrame, hot: dict[int, int], buckets: int
                 some = asked[cell_of(keys)]
                 keys, row, pos = keys[some], row[some], pos[some]
             index, bucket, group, block = places_of(keys, owner_of(x["doc"], x["line"])[row], hot, buckets)
-            order = np.lexsort((group, bucket))
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
             index, bucket, group, block = index[order], bucket[order], group[order], block[order]
             row, pos = row[index], pos[index]
             starts, sizes = grouped_runs(bucket)
@@ -298,32 +298,36 @@ def candidates(rows: DataFrame, percent: int, buckets: int, most: int | None, sm
     names = ["bucket", "kind", "key", "block", "doc", "line", "size", "pos", "even", "odd"]
 
     def fits(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs pass, cheap filters first; index arrays of the same size."""
         n, m = x["size"][i], x["size"][j]
-        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(n - x["pos"][i], m - x["pos"][j]) >= percent * (n + m))
-        ok &= (x["rank"][i] < x["rank"][j]) & ((x["block"][i] == 0) | (x["block"][i] != x["block"][j]))
-        at = np.flatnonzero(ok)
-        i, j = i[at], j[at]
+        at = np.flatnonzero((100 + percent) * np.minimum(n - x["pos"][i], m - x["pos"][j]) >= percent * (n + m))
+        i, j, n, m = i[at], j[at], n[at], m[at]
         differ = sum(np.bitwise_count(x[k][i] ^ x[k][j]).astype(np.int64) for k in ("even", "odd"))
-        ok[at] = (100 + percent) * (n[at] + m[at] - differ) >= 2 * percent * (n[at] + m[at])
-        return ok
+        ok = ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        at, i, j = at[ok], i[ok], j[ok]
+        ok = (x["block"][i] == 0) | (x["block"][i] != x["block"][j])
+        return at[ok & ((x["doc"][i] != x["doc"][j]) | (x["line"][i] != x["line"][j]))]
 
-    def both_ways(x: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        early = x["rank"][i] < x["rank"][j]
-        return np.where(early, i, j), np.where(early, j, i)
+    def earlier(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (x["doc"][i] < x["doc"][j]) | (x["doc"][i] == x["doc"][j]) & (x["line"][i] < x["line"][j])
 
     def pairs_of(x: dict, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """x sorted by key, then size."""
         starts, sizes = grouped_runs(x["key"])
         place = np.arange(len(x["key"])) - np.repeat(starts, sizes)
-        size = np.repeat(sizes, sizes)
-        few = np.flatnonzero(size <= small)
-        for d in range(1, int(min(small, sizes.max(initial=0)))):  # all pairs of small groups, by distance
+        few = np.flatnonzero(np.repeat(sizes, sizes) <= small)
+        for d in range(1, small):  # all pairs of small groups, by distance; beyond a shorter set there are only shorter ones
             few = few[place[few] >= d]
-            i, j = both_ways(x, few - d, few)
-            ok = fits(x, i, j)
+            few = few[100 * x["size"][few - d] >= percent * x["size"][few]]
+            if not len(few):
+                break
+            at = fits(x, few - d, few)
+            i, j = few[at] - d, few[at]
+            early = earlier(x, i, j)
+            i, j = np.where(early, i, j), np.where(early, j, i)
             if wanted is not None:
-                ok &= wanted[j]
-            yield i[ok], j[ok], np.zeros(int(ok.sum()), bool)
+                i, j = i[wanted[j]], j[wanted[j]]
+            yield i, j, np.zeros(len(i), bool)
         for s, z in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
             n = x["size"][s : s + z]
             rows = np.arange(s, s + z) if wanted is None else s + np.flatnonzero(wanted[s : s + z])
@@ -337,6 +341,8 @@ def candidates(rows: DataFrame, percent: int, buckets: int, most: int | None, sm
                     r, c = np.nonzero(np.broadcast_to(True if most is None else (count < most)[:, None], (len(j), len(i))))
                     good = fits(x, i[c], j[r])
                     r, c = r[good], c[good]
+                    good = earlier(x, i[c], j[r])
+                    r, c = r[good], c[good]
                     if most is None:
                         yield i[c], j[r], np.zeros(len(r), bool)
                         continue
@@ -356,18 +362,17 @@ def candidates(rows: DataFrame, percent: int, buckets: int, most: int | None, sm
             if not found:
                 continue
             x = {k: np.concatenate([r[k] for r in found]) for k in names[2:]}
-            order = np.lexsort((x["line"], x["doc"]))
-            x["rank"] = np.empty(len(order), np.int64)
-            new = np.concatenate(([False], (x["doc"][order][1:] != x["doc"][order][:-1]) | (x["line"][order][1:] != x["line"][order][:-1])))
-            x["rank"][order] = np.cumsum(new)
-            order = np.lexsort((x["size"], x["key"]))
-            x = {k: v[order] if k in ("even", "odd", "key") else v[order].astype(np.int64) for k, v in x.items()}
+            # Sorted by group and size at once: 48 bits of the group's hash are enough, since candidates are verified.
+            x["key"] = x["key"] >> np.uint64(16) << np.uint64(16)
+            order = np.argsort(x["key"] | np.minimum(x["size"], 65535).astype(np.uint64))
+            x = {k: v[order] for k, v in x.items()}
+            x["size"] = x["size"].astype(np.int64)
             wanted = None
             if most is None:
                 wanted = np.isin(owner_of(x["doc"], x["line"]), owner_of(*(np.concatenate([r[k] for r in asked]) for k in ("doc", "line"))))
             for i, j, more in pairs_of(x, wanted):
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(x["doc"][i]), pa.array(x["line"][i].astype(np.int32)), pa.array(x["doc"][j]), pa.array(x["line"][j].astype(np.int32)), pa.array(more)], ["a_doc", "a_line", "b_doc", "b_line", "more"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x["doc"][i]), pa.array(x["line"][i]), pa.array(x["doc"][j]), pa.array(x["line"][j]), pa.array(more)], ["a_doc", "a_line", "b_doc", "b_line", "more"])
 
     found = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(make, out_schema)
     return found.groupBy("a_doc", "a_line", "b_doc", "b_line").agg(F.max("more").alias("more"))
