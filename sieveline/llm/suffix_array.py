@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, with the scans done a bucket at a time in array operations."""
+"""Suffix arrays by recursive induced sorting (Nong, Zhang and Chan 2009), with scans done in array operations."""
 
 from __future__ import annotations
 
@@ -83,31 +83,64 @@ def induce(t: np.ndarray, s: np.ndarray, sigma: int, seeds: np.ndarray) -> np.nd
     return np.concatenate([x for c in range(sigma) for x in (*large[c], *small[c])])
 
 
-def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string with many symbols, by prefix doubling up to ``depth`` symbols."""
-    rank, h = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while h < depth:
-        following = np.zeros(len(rank), np.int64)
-        following[:-h] = rank[h:] + 1 if h < len(rank) else 0
-        key = rank * (rank.max() + 2) + following
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty_like(rank)
-        rank[order] = new
-        if new[-1] == len(rank) - 1:
-            break
-        h *= 2
+def induce_ranges(t: np.ndarray, s: np.ndarray, sigma: int, seeds: np.ndarray) -> np.ndarray:
+    """``induce`` for strings of many symbols, whose buckets are small: ranges of the suffix array are scanned at once.
+
+    A range ends before the first place that one of its own entries fills, so what is scanned is always known.
+    """
+    n = len(t)
+    sizes = np.bincount(t, minlength=sigma)
+    ends = np.cumsum(sizes)
+    order = np.full(n, -1, np.int32)
+
+    def in_turn(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A stable order by symbol, the symbols in it, starts of their runs, and ranks within these."""
+        packed = np.sort(symbols.astype(np.int64) << 32 | np.arange(len(symbols)))
+        by, symbols = packed & 0xFFFFFFFF, packed >> 32
+        first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+        return by, symbols, first, np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+
+    by, symbols, _, rank = in_turn(t[seeds])
+    places = ends[symbols] - np.bincount(symbols, minlength=sigma)[symbols] + rank
+    order[places] = seeds[by]
+    for forward in (True, False):
+        if not forward:  # seeds are induced anew, but for the sentinel
+            order[places] = -1
+            order[0] = n - 1
+        free = ends - sizes if forward else ends.copy()
+        done, width = 0, 1024
+        while done < n:
+            width = min(width, n - done)
+            p = order[done : done + width] if forward else order[n - done - width : n - done][::-1]
+            at = np.flatnonzero(p > 0)
+            q = p[at] - 1
+            wanted = s[q] != forward
+            at, q = at[wanted], q[wanted]
+            if not len(q):
+                done, width = done + width, min(2 * width, 1 << 16)
+                continue
+            by, symbols, first, rank = in_turn(t[q])
+            place = free[symbols] + (rank if forward else -1 - rank)
+            near = int(place.min()) - done if forward else n - done - 1 - int(place.max())  # of the scan, where the first one lands
+            known = at[by] < near
+            order[place[known]] = q[by][known]
+            free[symbols[first]] += np.add.reduceat(known, first, dtype=np.int64) * (1 if forward else -1)
+            done, width = done + min(near, width), min(2 * width, 1 << 16) if near >= width else max(256, 2 * near)
     return order
 
 
-def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
-    """The suffixes of t in order of their first ``depth`` symbols at least; t ends with a sentinel 0 that is nowhere else."""
+def suffix_array(t: np.ndarray, sigma: int, bytewise: bool = True) -> np.ndarray:
+    """The order of the suffixes of t, which ends with a sentinel 0 that is nowhere else.
+
+    Leftmost S-type substrings are sorted by inducing, named in their order, and the string of their names is sorted the same way
+    (by ranges, as it has many symbols) until all names differ; then the order of all suffixes is induced.
+    """
     if len(t) == 1:
         return np.zeros(1, np.int32)
+    by = induce if bytewise else induce_ranges
     s = classify(t)
     seeds = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)  # leftmost S-type positions
-    order = induce(t, s, sigma, seeds)
+    order = by(t, s, sigma, seeds)
     is_seed = np.zeros(len(t), bool)
     is_seed[seeds] = True
     ranked = order[is_seed[order]]  # their substrings, up to the next one, are in order now
@@ -126,24 +159,34 @@ def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
         d += 1
     names = np.concatenate(([0], np.cumsum(~same)))
     if names[-1] < len(seeds) - 1:
-        name_of = np.empty(len(t), np.int64)
+        name_of = np.empty(len(t), np.int32)
         name_of[ranked] = names
-        reduced = name_of[seeds]  # ends with the sentinel's name, 0
-        # The sentinel is the smallest and unique, so the reduced string is such a string again.
-        small = int(names[-1]) + 1 <= 1024
-        ranked = seeds[suffix_array(reduced, int(names[-1]) + 1, -(-depth // 2)) if small else doubled(reduced, -(-depth // 2) + 1)]
-    return induce(t, s, sigma, ranked)
+        # The sentinel's name is the smallest and unique, so the reduced string is such a string again.
+        ranked = seeds[suffix_array(name_of[seeds], int(names[-1]) + 1, bytewise=False)]
+    return by(t, s, sigma, ranked)
+
 
+def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """For the positions of some stretches of t: the common prefix with the suffix before it in the order, up to ``most`` symbols.
 
-def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the common prefix with the suffix before it in the order, up to ``most`` symbols."""
+    In text order a common prefix is at most one symbol shorter than that of the position before (Kasai et al. 2001), so each
+    stretch is walked with what is already known; all stretches are walked at once.
+    """
     out = np.zeros(len(t), np.int16)
-    a, b = order[:-1], order[1:]
-    alive = np.arange(len(a))
-    padded = np.concatenate([t, np.full(most, 0, t.dtype)])
-    d = 0
-    while len(alive) and d < most:
-        alive = alive[(padded[a[alive] + d] == padded[b[alive] + d])]
-        d += 1
-        out[b[alive]] = d
+    before = np.full(len(t), -1, np.int32)
+    before[order[1:]] = order[:-1]
+    by = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[by].astype(np.int64), sizes[by]
+    common = np.zeros(len(starts), np.int64)
+    for k in range(int(sizes.max(initial=0))):
+        m = int(np.searchsorted(-sizes, -k, "left"))  # stretches that have a position k
+        p, length = starts[:m] + k, np.maximum(common[:m] - 1, 0)
+        f = before[p].astype(np.int64)
+        alive = np.flatnonzero((f >= 0) & (length < most))
+        while len(alive):
+            alive = alive[t[p[alive] + length[alive]] == t[f[alive] + length[alive]]]
+            length[alive] += 1
+            alive = alive[length[alive] < most]
+        common[:m] = length
+        out[p] = length
     return out

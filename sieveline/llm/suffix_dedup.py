@@ -225,8 +225,8 @@ def least_documents(strings: list[bytes], documents: np.ndarray, length: int) ->
     t[: len(joined)] = np.frombuffer(joined, np.uint8).astype(np.uint16) + np.uint16(2)
     t[at[1:] - 1] = 1  # between strings
     t[len(joined)] = 1
-    order = suffix_array(t, 258, length)
-    common = permuted_common_prefixes(t, order, length)
+    order = suffix_array(t, 258)
+    common = permuted_common_prefixes(t, order, at, size - length + 1, length)
     window = np.full(len(t), -1, np.int64)  # the string of each position where a window starts
     index = np.repeat(at, size - length + 1) + np.arange((size - length + 1).sum()) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
     window[index] = np.repeat(np.arange(len(strings)), size - length + 1)
@@ -356,6 +356,7 @@ def repeated_spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, lengt
     # Bucketed by doc_id, so that neither join below moves the texts again.
     kept.write.bucketBy(n, "doc_id").option("compression", "zstd").option("path", path).saveAsTable(name)
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the catalog as it was; the files, which texts goes on reading, are the scratch folder's
     found = scratch.save(repeated(anchors(texts, length, anchor, buckets := 4 * n).repartition(n, "bucket")), "repeated")
     shared = scratch.save(by_document(found.repartition(n, "batch"), buckets), "shared")
     total = shared.agg(F.sum(F.octet_length("shared") / 8)).first()[0] or 0
