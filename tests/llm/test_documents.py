@@ -95,9 +95,9 @@ def test_suffix_array_is_the_order_of_suffixes():
     r = random.Random(1)
     for _ in range(200):
         t = np.array([r.randint(1, r.choice([1, 2, 4, 9])) for _ in range(r.randint(1, 50))] + [0], np.uint16)
-        order = suffix_array(t, int(t.max()) + 1, len(t) + 1)
-        assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
-        plcp = permuted_common_prefixes(t, order, 100)
+        order = suffix_array(t, int(t.max()) + 1)
+        assert order.tolist() == suffix_array(t.astype(np.int32), int(t.max()) + 1, bytewise=False).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        plcp = permuted_common_prefixes(t, order, np.array([0, len(t) // 2]), np.array([len(t) // 2, len(t) - len(t) // 2]), 100)
         for a, b in zip(order, order[1:], strict=False):
             n = 0
             while max(a, b) + n < len(t) and t[a + n] == t[b + n]:
@@ -105,6 +105,22 @@ def test_suffix_array_is_the_order_of_suffixes():
             assert plcp[b] == n
 
 
+def test_suffix_array_of_many_names():
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    words = [bytes(r.choices(b"abcdefgh", k=r.randint(3, 9))) for _ in range(4000)]
+    raw = b" ".join(r.choices(words, k=12_000)) + b" " + b"ab" * 800 + b"z" * 900
+    t = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16) + np.uint16(2), np.uint16(0))
+    order = suffix_array(t, 258)
+    assert order[0] == len(raw) and order[1:].tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    # The reduced string has far more than 1,024 names.
+    names = len({raw[i : i + 6] for i in range(len(raw))})
+    assert names > 10_000
+
+
 def test_repeated_bytes(docs, rows, spark):
     first, want = {}, {}
     for i, t, *_ in unique(rows):
@@ -222,12 +238,93 @@ def test_language_model(docs, rows, spark):
     assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept)
 
 
-def test_language_model_probabilities_sum_to_one(docs, spark):
-    model, totals, _ = pitman_yor.fit(spark, docs)
-    rows = model.collect()
-    for u in (0, 5, 77):
-        seen = sum(10 ** r["lp"][r["u"].index(u)] if u in r["u"] else totals.back_off[u] * r["p0"] for r in rows)
-        assert abs(seen + totals.back_off[u] * totals.unseen - 1) < 0.1  # sampled tables, totals of the last sweep
+def bigrams(rows):
+    for i, t, *_ in rows:
+        words = [*(t or "").encode().lower().split(), b"\n"]
+        yield i, list(zip([b"\n", *words], words, strict=False))
+
+
+def test_language_model_against_its_own_numbers(docs, rows, spark):
+    """Every score is the sum of what the model's tables say of each token, and these sum to 1 over the vocabulary."""
+    import numpy as np
+
+    model = pitman_yor.fit(spark, docs.where(~pitman_yor.held_out()), heavy=50, often=200)
+    hashed = lambda w: pitman_yor.END if w == b"\n" else pitman_yor.hashed_words(w)[0][0]
+    get = lambda r, c: np.frombuffer(r[c], pitman_yor.KINDS[c])
+    lp0 = dict(zip(model.bins.frequent.tolist(), model.lp0.tolist(), strict=True))
+    pairs, left = {}, {}
+    for r in model.words.collect():
+        lp0.update(zip(get(r, "word").tolist(), get(r, "p0").tolist(), strict=True))
+        pairs.update(zip(get(r, "pair").tolist(), get(r, "lp").tolist(), strict=True))
+    for r in model.contexts.collect():
+        left.update(zip(get(r, "asked").tolist(), get(r, "new").tolist(), strict=True))
+    assert abs(sum(10**x for x in lp0.values()) + 10**model.unseen - 1) < 1e-9
+    key = lambda w, u: int(pitman_yor.pair_keys(np.array([w]), np.array([u]) >> np.uint64(24))[0])
+
+    def lp(w, u):
+        return pairs.get(key(w, u), left.get(int(u), 0.0) + lp0.get(int(w), model.unseen))
+
+    for u in [*sorted(left)[:25], int(pitman_yor.END)]:
+        u = np.uint64(u)
+        assert abs(sum(10 ** lp(np.uint64(w), u) for w in lp0) + 10 ** lp(np.uint64(12345), u) - 1) < 1e-6
+    found = {}
+    for r in pitman_yor.scores(spark, docs, ~pitman_yor.held_out(), heavy=50, often=200, chunk_tokens=300).collect():
+        found.setdefault(r["doc_id"], r)
+    for i, some in bigrams(rows):
+        want = sum(lp(hashed(w), hashed(u)) for u, w in some)
+        assert math.isclose(found[i]["score"], want, rel_tol=1e-5, abs_tol=1e-3), i
+
+
+def test_language_model_beats_smoothed_bigrams_on_held_out_texts(spark):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    follow = {w: r.choices(words, weights=[1 / (k + 1) for k in range(400)], k=6) for w in words}
+    rows = []
+    for i in range(700):
+        t = [r.choice(words)]
+        while len(t) < 40:
+            t.append(r.choice(follow[t[-1]]) if r.random() < 0.85 else r.choice(words))
+        rows.append((i, " ".join(t)))
+    found = pitman_yor.scores(spark, spark.createDataFrame(rows, "doc_id long, text string"), ~pitman_yor.held_out()).collect()
+    held = {x["doc_id"]: x for x in found if x["held_out"]}
+    one, two, total = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, some in bigrams(rows):
+        if i not in held:
+            one.update(w for _, w in some)
+            two.update(some)
+            total.update(u for u, _ in some)
+    n, v = sum(one.values()), len(one)
+    unigram = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    smoothed = sum(math.log10((two[u, w] + 10 * unigram(w)) / (total[u] + 10)) for i, some in bigrams(rows) if i in held for u, w in some)
+    score, base = sum(x["score"] for x in held.values()), sum(x["base_score"] for x in held.values())
+    assert score > 0.97 * smoothed and score > 0.85 * base  # scores are negative
+
+
+def test_gibbs_seating_has_the_processes_own_distribution():
+    """Tables of one dish after many sweeps follow P(t) in proportion to S(c, t) (generalised Stirling numbers) times weights of new tables."""
+    import numpy as np
+
+    c, d, fresh, more, m = 9, 0.4, 0.3, 0.15, 20_000
+    stirling = np.zeros((c + 1, c + 1))
+    stirling[1, 1] = 1
+    for n in range(2, c + 1):
+        for t in range(1, n + 1):
+            stirling[n, t] = stirling[n - 1, t - 1] + (n - 1 - d * t) * stirling[n - 1, t]
+    want = np.array([stirling[c, t] * np.prod([fresh + more * k for k in range(1, t)]) for t in range(1, c + 1)])
+    want /= want.sum()
+    random = np.random.default_rng(0)
+    count, tables = np.full(m, c), np.ones(m, np.int64)
+    sizes = np.full(m, c)
+    for _ in range(60):
+        tables, sizes = pitman_yor.reseat(count, tables, sizes, np.full(m, fresh), np.full(m, more), d, 4, random)
+    assert len(sizes) == tables.sum() and (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all() and sizes.min() > 0
+    assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / m - want).max() < 0.015
+    kept = pitman_yor.reseat(np.full(m, c + 5), tables, sizes, np.full(m, fresh), np.full(m, more), d, 0, random)
+    assert (np.add.reduceat(kept[1], np.cumsum(kept[0]) - kept[0]) == c + 5).all()
+    spread = pitman_yor.spread(count, tables, d, random)
+    assert (np.add.reduceat(spread, np.cumsum(tables) - tables) == c).all() and spread.min() > 0
 
 
 def test_contamination(docs, rows, spark):
