@@ -12,12 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
 from ..functions import values as V
-from ..operators.records import complete
+from ..operators.records import complete, identifier_rows
 from . import molecule as M
 
 KERNEL = (
     "raw_smiles string, message string, warning string, recovered boolean, canonical_smiles string, inchikey string, fp_bits array<int>, heavy int, parts int, charge int, metal boolean, "
-    "centres int, stereo_bonds int, has_carbon boolean, tautomer_key string, fragments array<struct<smiles:string,key:string,heavy:int,mass:double,inchikey:string,metal_atom:boolean>>"
+    "centres int, stereo_bonds int, has_carbon boolean, fragments array<struct<smiles:string,key:string,heavy:int,mass:double,inchikey:string,metal_atom:boolean>>"
 )
 
 
@@ -29,9 +29,10 @@ class Settings:
     max_train_test_similarity: float = 1.0
     fingerprint_radius: int = 2
     fingerprint_bits: int = 2048
+    tautomer_standardisation: bool = False
 
 
-def describe(raw: str, radius: int, bits: int) -> dict:
+def describe(raw: str, radius: int, bits: int, tautomers: bool = False) -> dict:
     """What the kernel says of one string; ``message`` is the reason if it cannot be read."""
     out = {"raw_smiles": raw, "recovered": False}
     white = "".join(V.WHITE_SPACE)
@@ -43,6 +44,9 @@ def describe(raw: str, radius: int, bits: int) -> dict:
                 raise
             mol = M.parse(raw.strip(white))
             out["recovered"] = "|" in raw
+        if tautomers:
+            warning, mol = mol.warning, M.canonical_tautomer(mol)
+            mol.warning = warning
         fragments = []
         for atoms in mol.fragments():
             part = mol.part(atoms)
@@ -56,7 +60,7 @@ def describe(raw: str, radius: int, bits: int) -> dict:
         out |= {
             "warning": mol.warning, "canonical_smiles": M.write(mol), "inchikey": key, "fp_bits": M.fingerprint(mol, radius, bits), "heavy": M.heavy(mol), "parts": len(fragments),
             "charge": sum(a.charge for a in mol.atoms), "metal": any(a.symbol in V.METALS for a in mol.atoms), "centres": centres, "stereo_bonds": bonds,
-            "has_carbon": any(a.symbol == "C" for a in mol.atoms), "tautomer_key": key.split("-")[0], "fragments": fragments}
+            "has_carbon": any(a.symbol == "C" for a in mol.atoms), "fragments": fragments}
     except M.SmilesError as e:
         out["message"] = str(e)
     except Exception as e:  # a row never fails the job
@@ -68,12 +72,12 @@ def fragment_keys(smiles: list[str]) -> list[str]:
     return sorted({M.write(M.neutralised(M.parse(s)), stereo=False) for s in smiles})
 
 
-def kernel(distinct: DataFrame, radius: int, bits: int) -> DataFrame:
+def kernel(distinct: DataFrame, radius: int, bits: int, tautomers: bool = False) -> DataFrame:
     arrow = to_arrow_schema(distinct.sparkSession.createDataFrame([], KERNEL).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([describe(s, radius, bits) for s in batch.column(0).to_pylist()], schema=arrow)
+            yield pa.RecordBatch.from_pylist([describe(s, radius, bits, tautomers) for s in batch.column(0).to_pylist()], schema=arrow)
 
     return distinct.mapInArrow(run, KERNEL)
 
@@ -86,7 +90,7 @@ def enrich(pool: DataFrame, settings: Settings | None = None) -> DataFrame:
     settings = settings or Settings()
     raw = pool.withColumn("raw_smiles", F.coalesce("raw_smiles", F.lit("")))
     gated = raw.where((text.strip(F.col("raw_smiles")) != "") & ~text.has_embedded_control_characters(F.col("raw_smiles")))
-    said = kernel(gated.select("raw_smiles").distinct(), settings.fingerprint_radius, settings.fingerprint_bits)
+    said = kernel(gated.select("raw_smiles").distinct(), settings.fingerprint_radius, settings.fingerprint_bits, settings.tautomer_standardisation)
     counterions, solvents, small = (fragment_keys(x) for x in (V.COUNTERIONS, V.SOLVENTS, V.SMALL_MOLECULES))
     kind = lambda f: F.when(f["metal_atom"] | f["key"].isin(counterions), "counterion").when(f["key"].isin(solvents), "solvent").otherwise("unknown")
     rows = raw.join(said, "raw_smiles", "left").withColumn("fragments", F.transform("fragments", lambda f: F.struct(f["heavy"].alias("heavy"), f["mass"].alias("mass"), f["smiles"].alias("smiles"), f["key"].alias("key"), f["inchikey"].alias("inchikey"), kind(f).alias("kind"))))
@@ -107,16 +111,40 @@ def enrich(pool: DataFrame, settings: Settings | None = None) -> DataFrame:
     error = F.when(blank, "Empty or non-string SMILES value").when(control, "SMILES contains control characters").otherwise(F.col("message"))
     category = F.when(F.col("message").startswith("Processing failed"), "processing").otherwise(text.parse_failure_category(F.col("raw_smiles"), F.col("message")))
     bits = F.col("fp_bits")
-    words = F.transform(F.sequence(F.lit(0), F.lit(settings.fingerprint_bits // 64 - 1)), lambda w: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))))
+    words = F.transform(F.sequence(F.lit(0), F.lit((settings.fingerprint_bits + 63) // 64 - 1)), lambda w: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))))
     ids = F.transform_values("raw_identifiers", lambda _, v: text.normalise_identifier(v, settings.case_insensitive_identifiers))
     whole = F.size("others") == 0
     return complete(rows.select(
         "row_seq", "pool", "source_file", "row_index", "raw_smiles", "raw_identifiers", ids.alias("identifiers"), error.alias("parse_error"), F.when(error.isNotNull(), category).alias("parse_error_category"),
         F.col("warning").alias("rdkit_warning"), F.coalesce("recovered", no).alias("smiles_whitespace_recovered"), "canonical_smiles", "inchikey", F.when(bits.isNotNull(), words).alias("fp"), F.size(bits).alias("fp_n"),
-        F.when(whole, F.col("canonical_smiles")).otherwise(F.col("parent.key")).alias("parent_smiles"), F.when(whole, F.col("parent.inchikey")).otherwise(F.col("parent.inchikey")).alias("parent_inchikey"), "tautomer_key",
+        F.when(whole, F.col("canonical_smiles")).otherwise(F.col("parent.key")).alias("parent_smiles"), F.when(whole, F.col("parent.inchikey")).otherwise(F.col("parent.inchikey")).alias("parent_inchikey"),
         F.transform("others", lambda f: F.struct(f["smiles"].alias("smiles"), f["kind"].alias("kind"))).alias("stripped_fragments"), F.col("heavy").alias("heavy_atom_count"), F.col("parts").alias("num_fragments"),
-        F.col("charge").alias("net_charge"), F.col("raw_smiles").contains(".").alias("has_dot"), F.coalesce("metal", no).alias("contains_metal"),
+        F.col("charge").alias("net_charge"), (error.isNull() & F.col("raw_smiles").contains(".")).alias("has_dot"), F.coalesce("metal", no).alias("contains_metal"),
         F.coalesce(error.isNull() & (F.col("raw_smiles").contains(".") | (F.col("parts") > 1)), no).alias("is_mixture"), (F.coalesce("metal", no) | salt).alias("is_salt_or_metal"), salt.alias("is_salt_or_solvate"),
         multi.alias("is_multi_component"), dimer.alias("is_homodimer_without_counterion"), F.coalesce((F.size("others") > 0) & ~salt & ~dimer & ~multi, no).alias("is_unclassified_mixture"),
         F.coalesce("centres", F.lit(0)).alias("undefined_stereocentres"), F.coalesce("stereo_bonds", F.lit(0)).alias("undefined_stereo_bonds"),
         F.coalesce((F.col("heavy") <= 3) & ~F.col("parent.key").isin(small) & (F.col("has_carbon") | (F.col("heavy") <= 1)), no).alias("is_suspicious_fragment")))
+
+
+def tautomer_key(smiles: str | None) -> str | None:
+    """The skeleton block of a structure's preferred tautomer."""
+    try:
+        return M.structure_key(M.canonical_tautomer(M.parse(smiles))).split("-")[0] if smiles else None
+    except Exception:  # a structure that the search fails on has no key
+        return None
+
+
+def with_tautomer_keys(records: DataFrame, strip_salts: bool = True) -> DataFrame:
+    """Fills tautomer_key, for the structures of conflicting identifiers only, since the search for tautomers is costly."""
+    smiles = F.coalesce("parent_smiles", "canonical_smiles") if strip_salts else F.col("canonical_smiles")
+    ids = identifier_rows(records).where("identifier is not null and parse_error is null").withColumn("drawn", smiles)
+    several = ids.groupBy("id_column", "identifier").agg(F.count_distinct("canonical_smiles", "inchikey").alias("n")).where("n > 1")
+    asked = ids.join(several.select("id_column", "identifier"), ["id_column", "identifier"], "left_semi").select("drawn").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(tautomer_key, batch.column(0).to_pylist()), pa.string())], ["drawn", "key"])
+
+    found = asked.mapInArrow(run, "drawn string, key string")
+    rows = records.drop("tautomer_key").withColumn("drawn", smiles).join(found, "drawn", "left").withColumnRenamed("key", "tautomer_key")
+    return rows.select(*records.columns)

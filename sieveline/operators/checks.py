@@ -6,7 +6,7 @@ are only built by the functions that return them, for reports of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -28,8 +28,12 @@ def reportable(groups: DataFrame) -> DataFrame:
     return groups.where(~coarse(F.col("representation")) | (F.col("structures") > 1))
 
 
+def overlapping(long: DataFrame) -> DataFrame:
+    return reportable(overlap_groups(long, ["representation", "value"]))
+
+
 def exact_overlap(records: DataFrame) -> DataFrame:
-    return reportable(overlap_groups(representations(records), ["representation", "value"]))
+    return overlapping(representations(records))
 
 
 def identifier_overlap(records: DataFrame) -> DataFrame:
@@ -56,14 +60,21 @@ def leaked_rows(records: DataFrame, overlaps: DataFrame | None = None) -> DataFr
 # Duplicates
 
 
+def repeated(long: DataFrame) -> DataFrame:
+    groups = long.groupBy("pool", "representation", "value").agg(F.count("*").alias("rows"), distinct_with_null("inchikey").alias("structures"))
+    return reportable(groups.where("rows > 1"))
+
+
 def duplicate_structures(records: DataFrame) -> DataFrame:
-    groups = representations(records).groupBy("pool", "representation", "value").agg(F.count("*").alias("rows"), distinct_with_null("inchikey").alias("structures")).where("rows > 1")
-    return reportable(groups)
+    return repeated(representations(records))
+
+
+def repeated_identifiers(ids: DataFrame) -> DataFrame:
+    return ids.groupBy("pool", "id_column", "identifier").agg(F.count("*").alias("rows")).where("rows > 1")
 
 
 def duplicate_identifiers(records: DataFrame) -> DataFrame:
-    rows = identifier_rows(records).where("identifier is not null")
-    return rows.groupBy("pool", "id_column", F.col("identifier").alias("value")).agg(F.count("*").alias("rows")).where("rows > 1")
+    return repeated_identifiers(identifier_rows(records).where("identifier is not null")).withColumnRenamed("identifier", "value")
 
 
 # Identifier namespace
@@ -80,8 +91,12 @@ def all_equal(c: Column | str) -> Column:
 
 
 def one_id_multiple_structures(records: DataFrame, strip_salts: bool = True) -> DataFrame:
+    return conflicting_identifiers(identifier_rows(records).where("identifier is not null"), strip_salts)
+
+
+def conflicting_identifiers(ids: DataFrame, strip_salts: bool = True) -> DataFrame:
     """Identifiers with several structures among parsed rows, and what tells these apart."""
-    rows = identifier_rows(records).where(is_parsed() & F.col("identifier").isNotNull()).withColumn("compound_key", compound_key(strip_salts))
+    rows = ids.where(is_parsed()).withColumn("compound_key", compound_key(strip_salts))
     kind = (
         F.when(all_equal("inchikey"), "tautomer")
         .when(F.lit(strip_salts) & all_equal("parent_inchikey"), "salt_form")
@@ -94,8 +109,12 @@ def one_id_multiple_structures(records: DataFrame, strip_salts: bool = True) ->
 
 
 def one_structure_multiple_ids(records: DataFrame, strip_salts: bool = True) -> DataFrame:
+    return shared_compounds(identifier_rows(records).where("identifier is not null"), strip_salts)
+
+
+def shared_compounds(ids: DataFrame, strip_salts: bool = True) -> DataFrame:
     """Compounds under several identifiers; named by their first row in input order."""
-    rows = identifier_rows(records).where(is_parsed() & F.col("identifier").isNotNull()).withColumn("compound_key", compound_key(strip_salts)).where("compound_key is not null")
+    rows = ids.where(is_parsed()).withColumn("compound_key", compound_key(strip_salts)).where("compound_key is not null")
     one = distinct_with_null("canonical_smiles", "inchikey") == 1
     kind = F.when(one, "same_structure").when(F.lit(strip_salts) & all_equal("parent_inchikey"), "salt_form").otherwise("stereo")
     first = F.min(F.struct("row_seq", "canonical_smiles", "inchikey"))
@@ -105,7 +124,7 @@ def one_structure_multiple_ids(records: DataFrame, strip_salts: bool = True) ->
 
 def identifier_whitespace(records: DataFrame) -> DataFrame:
     rows = identifier_rows(records)
-    return rows.where(F.col("raw_value") != text.strip(F.col("raw_value"))).select("id_column", "pool", "source_file", "row_index", "raw_value", F.col("identifier").alias("value"))
+    return rows.where(F.col("raw_value") != text.strip(F.col("raw_value"))).select("id_column", "pool", "source_file", "row_index", "raw_smiles", "raw_value", F.col("identifier").alias("value"))
 
 
 def near_duplicate_identifiers(records: DataFrame, unicode: bool = True) -> DataFrame:
@@ -114,8 +133,11 @@ def near_duplicate_identifiers(records: DataFrame, unicode: bool = True) -> Data
 
 
 def broken_rows_by_identifier(records: DataFrame) -> DataFrame:
+    return broken_identifiers(identifier_rows(records).where("identifier is not null"))
+
+
+def broken_identifiers(rows: DataFrame) -> DataFrame:
     """Identifiers that unparsed and parsed rows share: how many rows lack a structure or have a broken one, and the candidates."""
-    rows = identifier_rows(records).where("identifier is not null")
     missing = ~is_parsed() & (F.col("parse_error_category") == "empty")
     groups = rows.groupBy("id_column", "identifier").agg(
         F.count_if(missing).alias("missing"), F.count_if(~is_parsed() & ~missing).alias("broken"),
@@ -134,14 +156,16 @@ def inconsistent_forms(records: DataFrame) -> DataFrame:
 
 
 def unparseable(records: DataFrame, id_columns: list[str]) -> DataFrame:
-    """Unparsed rows with their category and the first identifier column that leads to a valid structure."""
-    bad = records.where(~is_parsed()).select("row_seq", *[f"{c}" for c in ("pool", "source_file", "row_index", "raw_smiles", "parse_error")], F.coalesce("parse_error_category", F.lit("other")).alias("category"))
+    """Unparsed rows with their category; for empty ones, the first identifier column that leads to exactly one structure."""
+    where = ["row_seq", "pool", "source_file", "row_index", "raw_smiles", "parse_error"]
+    bad = records.where(~is_parsed()).select(*where, F.coalesce("parse_error_category", F.lit("other")).alias("category"))
     if not id_columns:
         return bad.withColumn("resolvable_via_identifier", F.lit(None).cast("string"))
     rank = F.create_map(*[F.lit(x) for i, c in enumerate(id_columns) for x in (c, i)])
     rows = identifier_rows(records).where("identifier is not null")
-    valid = rows.where(is_parsed()).select("id_column", "identifier").distinct()
-    best = rows.where(~is_parsed()).join(valid, ["id_column", "identifier"], "left_semi").groupBy("row_seq").agg(F.min_by("id_column", rank[F.col("id_column")]).alias("resolvable_via_identifier"))
+    one = broken_identifiers(rows).where("missing > 0 and not ambiguous").select("id_column", "identifier")
+    empty = rows.where(~is_parsed() & (F.col("parse_error_category") == "empty"))
+    best = empty.join(one, ["id_column", "identifier"], "left_semi").groupBy("row_seq").agg(F.min_by("id_column", rank[F.col("id_column")]).alias("resolvable_via_identifier"))
     return bad.join(best, "row_seq", "left")
 
 
@@ -158,28 +182,3 @@ def quality_flags(records: DataFrame) -> DataFrame:
     return records.select(
         F.explode(hits).alias("category"), "row_seq", "pool", "source_file", "row_index", "raw_smiles", F.col("net_charge").alias("charge"),
         F.col("undefined_stereocentres").alias("stereocentres"), F.col("undefined_stereo_bonds").alias("stereo_bonds"), F.col("rdkit_warning").alias("warning"))
-
-
-def fragment_classes(fragments: DataFrame, min_heavy: int = 6) -> DataFrame:
-    """Rows (id, smiles, key, heavy, mass) of fragments -> per id the mixture flags.
-
-    The parent is the largest fragment of unknown kind (or of all, if none is unknown) by heavy atoms, mass and SMILES.
-    """
-    kind = F.when(F.col("key").isin(V.COUNTERIONS) | F.col("key").isin(V.METALS), "counterion").when(F.col("key").isin(V.SOLVENTS), "solvent").otherwise("unknown")
-    rows = fragments.withColumn("kind", kind)
-    order = Window.partitionBy("id").orderBy(F.desc(F.col("kind") == "unknown"), F.desc("heavy"), F.desc("mass"), F.desc("smiles"))
-    rows = rows.withColumn("place", F.row_number().over(order))
-    parent = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("parent", F.first("smiles").over(parent)).withColumn("parent_kind", F.first("kind").over(parent))
-    rows = rows.withColumn("kind", F.when((F.col("place") > 1) & (F.col("parent_kind") == "unknown") & (F.col("smiles") == F.col("parent")), "parent_copy").otherwise(F.col("kind")))
-    other = F.col("place") > 1
-    sums = rows.groupBy("id").agg(
-        F.min("parent").alias("parent"), F.min("parent_kind").alias("parent_kind"), F.count_if(other).alias("others"), F.count_if(other & F.col("kind").isin("counterion", "solvent")).alias("known"),
-        F.count_if(other & (F.col("kind") == "parent_copy")).alias("copies"), F.count_if(other & (F.col("kind") == "unknown")).alias("strange"),
-        F.count_distinct(F.when(F.col("kind").isin("unknown", "parent_copy") & (F.col("heavy") >= min_heavy), F.col("smiles"))).alias("large"))
-    salt = (F.col("parent_kind") == "unknown") & (F.col("strange") == 0) & (F.col("known") > 0)
-    dimer = (F.col("others") > 0) & (F.col("copies") == F.col("others"))
-    multi = F.col("large") >= 2
-    return sums.select("id", "parent", salt.alias("is_salt_or_solvate"), dimer.alias("is_homodimer_without_counterion"), multi.alias("is_multi_component"), ((F.col("others") > 0) & ~salt & ~dimer & ~multi).alias("is_unclassified_mixture"))
-
-

@@ -1,4 +1,7 @@
-"""All findings as one relation (finding_type, pool, rows), tiered, reduced to maximal row sets and summed up."""
+"""All findings as one long relation (finding_type, pool, sid, row), tiered, reduced to maximal row sets and summed up.
+
+A finding's rows stay rows: no list of them is ever built, so a finding may be about any number of rows.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.shared import materialise
 from . import checks
-from .records import identifier_rows, is_parsed, representations
+from .records import identifier_rows, is_parsed, representations, row_key
 
 ROW = "struct<pool:string,source_file:string,row_index:bigint>"
+SET = ["severity", "finding_type"]
 
 
 def severity(similarity: float = 1.0) -> Column:
@@ -23,85 +28,94 @@ def severity(similarity: float = 1.0) -> Column:
         .when(t.isin(V.FAIL_IN_TEST) & F.col("pool").isNotNull(), F.when(F.col("pool") == "test", "FAIL").otherwise("WARN")))
 
 
-def finding(df: DataFrame, kind: Column | str, rows: Column, pool: Column | None = None) -> DataFrame:
-    return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("finding_type"), (F.lit(None).cast("string") if pool is None else pool).alias("pool"), F.array_sort(F.array_distinct(rows)).cast(f"array<{ROW}>").alias("rows"))
+def members(rows: DataFrame, kind: Column | str, keys: list[Column | str], row: Column, pool: Column | None = None) -> DataFrame:
+    """Rows of findings; all rows with the same kind, pool and keys are of one finding."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    pool = F.lit(None).cast("string") if pool is None else pool
+    named = [F.coalesce(F.col(k) if isinstance(k, str) else k, F.lit("")).cast("string") for k in keys]
+    sid = F.md5(F.concat_ws("\x01", kind, pool, *named))
+    return rows.select(kind.alias("finding_type"), pool.alias("pool"), sid.alias("sid"), row.cast(ROW).alias("row"))
 
 
 def named(kinds: dict[str, str], otherwise: str) -> Column:
     return reduce(lambda c, kv: c.when(F.col("representation") == kv[0], kv[1]), kinds.items(), F.when(F.lit(False), "")).otherwise(otherwise)
 
 
-def collect(records: DataFrame, id_columns: list[str], strip_salts: bool = True, similar: DataFrame | None = None) -> DataFrame:
+def collect(records: DataFrame, strip_salts: bool = True, similar: DataFrame | None = None) -> DataFrame:
     """Every finding of every check with the rows that it is about."""
-    row = F.struct("pool", "source_file", "row_index")
     loc = F.struct("loc.pool", "loc.source_file", "loc.row_index")
-    long, ids = representations(records), identifier_rows(records).where("identifier is not null")
-    compound = checks.compound_key(strip_salts)
-    bad = ~is_parsed()
-
-    def gather(groups: DataFrame, rows: DataFrame, keys: list[str], kind, pool=None, own: Column = row) -> DataFrame:
-        lists = rows.groupBy(*keys).agg(F.collect_list(own).alias("own_rows"))
-        return finding(groups.join(lists, keys), kind, F.col("own_rows"), pool)
-
-    overlap = checks.exact_overlap(records)
-    repeated = checks.duplicate_structures(records)
-    conflicts = checks.one_id_multiple_structures(records, strip_salts)
-    shared = checks.one_structure_multiple_ids(records, strip_salts)
-    broken = checks.broken_rows_by_identifier(records)
-    parsed_ids = ids.where(is_parsed())
+    row, own = row_key(), ["pool", "source_file", "row_index"]
+    long = materialise(representations(records).select("loc", "pool", "inchikey", "representation", "value"))
+    ids = materialise(identifier_rows(records).where("identifier is not null").select(
+        "id_column", "identifier", *own, "row_seq", "parse_error", "parse_error_category", "canonical_smiles", "inchikey", "parent_inchikey", "tautomer_key"))
+    bad, empty = ~is_parsed(), F.col("parse_error_category") == "empty"
+    parsed = ids.where(is_parsed())
     flags = checks.quality_flags(records).where(~F.col("category").isin(V.QUALITY_TOTALS))
     names = F.create_map(*[F.lit(x) for kv in V.QUALITY_FINDINGS.items() for x in kv])
     near = ids.withColumn("key", checks.text.near_duplicate_key(F.col("identifier")))
+    broken = checks.broken_identifiers(ids)
+    by_id, by_value = ["id_column", "identifier"], ["representation", "value"]
+
+    def of(groups: DataFrame, rows: DataFrame, keys: list[str], kind: Column | str, row: Column = row, pool: Column | None = None) -> DataFrame:
+        return members(rows.join(groups, keys), kind, keys, row, pool)
+
+    conflict = F.when(F.col("conflict_type") == "different_compound", "one_id_multiple_structures").otherwise("one_id_structure_variants")
     found = [
-        finding(records.where(bad), "unparseable_smiles", F.array(row)),
-        gather(checks.inconsistent_forms(records).select("inchikey"), records.where(is_parsed()), ["inchikey"], "inconsistent_smiles"),
-        gather(overlap, long, ["representation", "value"], named(V.OVERLAP_FINDINGS, "exact_overlap"), own=loc),
-        gather(checks.identifier_overlap(records).withColumnRenamed("value", "identifier"), ids, ["id_column", "identifier"], "identifier_overlap"),
-        gather(repeated, long, ["pool", "representation", "value"], named(V.DUPLICATE_FINDINGS, "duplicate_structure"), F.col("pool"), loc),
-        gather(checks.duplicate_identifiers(records).withColumnRenamed("value", "identifier"), ids, ["pool", "id_column", "identifier"], "duplicate_identifier", F.col("pool")),
-        finding(flags, names[F.col("category")], F.array(row), F.col("pool")),
-        gather(conflicts, parsed_ids, ["id_column", "identifier"], F.when(F.col("conflict_type") == "different_compound", "one_id_multiple_structures").otherwise("one_id_structure_variants")),
-        gather(shared.select("id_column", "compound_key"), parsed_ids.withColumn("compound_key", compound), ["id_column", "compound_key"], "one_structure_multiple_ids"),
-        finding(checks.identifier_whitespace(records), "identifier_whitespace", F.array(row)),
-        gather(checks.near_duplicate_identifiers(records), near, ["id_column", "key"], "identifier_near_duplicate"),
-        gather(broken.where("broken > 0"), ids.where(is_parsed() | (F.col("parse_error_category") != "empty")), ["id_column", "identifier"], "id_with_unparseable_and_valid_structures"),
-        gather(broken.where("missing > 0"), ids.where(bad & (F.col("parse_error_category") == "empty")), ["id_column", "identifier"], "missing_structure_resolvable_by_id"),
+        members(records.where(bad), "unparseable_smiles", own, row),
+        of(checks.inconsistent_forms(records).select("inchikey"), records.where(is_parsed()), ["inchikey"], "inconsistent_smiles"),
+        of(checks.overlapping(long).select(*by_value), long, by_value, named(V.OVERLAP_FINDINGS, "exact_overlap"), loc),
+        of(checks.overlap_groups(ids, by_id).select(*by_id), ids, by_id, "identifier_overlap"),
+        of(checks.repeated(long).select("pool", *by_value), long, ["pool", *by_value], named(V.DUPLICATE_FINDINGS, "duplicate_structure"), loc, F.col("pool")),
+        of(checks.repeated_identifiers(ids).select("pool", *by_id), ids, ["pool", *by_id], "duplicate_identifier", row, F.col("pool")),
+        members(flags, names[F.col("category")], own, row, F.col("pool")),
+        of(checks.conflicting_identifiers(ids, strip_salts).select(*by_id, "conflict_type"), parsed, by_id, conflict),
+        of(checks.shared_compounds(ids, strip_salts).select("id_column", "compound_key"), parsed.withColumn("compound_key", checks.compound_key(strip_salts)), ["id_column", "compound_key"], "one_structure_multiple_ids"),
+        members(checks.identifier_whitespace(records), "identifier_whitespace", ["id_column", *own], row),
+        of(near.groupBy("id_column", "key").agg(F.count_distinct("identifier").alias("n")).where("n > 1").select("id_column", "key"), near, ["id_column", "key"], "identifier_near_duplicate"),
+        of(broken.where("broken > 0").select(*by_id), ids.where(is_parsed() | ~empty), by_id, "id_with_unparseable_and_valid_structures"),
+        of(broken.where("missing > 0").select(*by_id), ids.where(bad & empty), by_id, "missing_structure_resolvable_by_id"),
     ]
     if similar is not None:  # rows train and test are structs of row identity
-        found.append(finding(similar, "tanimoto_similarity", F.array("train", "test")))
+        both = similar.select(F.to_json(F.struct("train", "test")).alias("pair"), F.explode(F.array("train", "test")).alias("side"))
+        found.append(members(both, "tanimoto_similarity", ["pair"], F.col("side")))
     return reduce(DataFrame.unionByName, found)
 
 
-def tiered(findings: DataFrame, similarity: float = 1.0) -> DataFrame:
-    return findings.withColumn("severity", severity(similarity)).select("severity", "finding_type", "rows").distinct()
+def tiered(found: DataFrame, similarity: float = 1.0) -> DataFrame:
+    """(severity, finding_type, sid, row) of distinct row sets: of findings of one tier and type with equal rows one stays.
+
+    Sets are told by their number of rows and a 128-bit digest of these.
+    """
+    rows = found.withColumn("severity", severity(similarity)).select(*SET, "sid", "row").distinct()
+    digest = [F.bit_xor(F.xxhash64("row", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+    sets = rows.groupBy(*SET, "sid").agg(F.count("*").alias("n"), *digest)
+    first = sets.groupBy(*SET, "n", "h1", "h2").agg(F.min("sid").alias("sid"))
+    return rows.join(first.select(*SET, "sid"), [*SET, "sid"], "left_semi")
 
 
-def maximal(sets: DataFrame) -> DataFrame:
-    """Of (severity, finding_type, rows), rows sorted and distinct: those that no other set of the type contains.
+def maximal(rows: DataFrame) -> DataFrame:
+    """Of the sets of (severity, finding_type, sid, row), distinct ones: the rows of those that no other set of the type contains.
 
-    A set can only be contained in one that has the set's least frequent row, so the join is on one row of each set, and
-    sets that share none of their rows never meet.
+    A set can only be contained in a larger one that has the set's least frequent row.  These pairs of set ids are the candidates; a
+    candidate holds the set if as many of the set's rows are in it as the set has.
     """
-    keys = ["severity", "finding_type"]
-    sized = sets.withColumn("n", F.size("rows"))
-    members = sized.select(*keys, "n", "rows", F.explode("rows").alias("row"))
-    often = members.groupBy(*keys, "row").agg(F.count("*").alias("sets"), F.max("n").alias("most"))
-    # Where a row is in one set only, or the row's largest set is this one's size, nothing larger holds the set.
-    rare = members.join(often, [*keys, "row"]).groupBy(*keys, "rows").agg(F.min(F.struct("sets", "most", "row")).alias("rare"), F.first("n").alias("n"))
-    small = rare.where("rare.sets > 1").select(*keys, "rows", "n", F.col("rare.row").alias("row"))
-    big = members.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("n").alias("b_n"), F.col("rows").alias("b_rows"), F.col("row").alias("b_row"))
-    within = (F.col("severity") == F.col("b_severity")) & (F.col("finding_type") == F.col("b_finding_type")) & (F.col("row") == F.col("b_row")) & (F.col("b_n") > F.col("n")) & (F.size(F.array_except("rows", "b_rows")) == 0)
-    kept = small.join(big, within, "left_anti").select(*keys, "rows")
-    return rare.where("rare.sets = 1").select(*keys, "rows").union(kept)
+    sized = rows.join(rows.groupBy(*SET, "sid").agg(F.count("*").alias("n")), [*SET, "sid"])
+    often = sized.groupBy(*SET, "row").agg(F.count("*").alias("sets"), F.max("n").alias("most"))
+    rare = sized.join(often, [*SET, "row"]).groupBy(*SET, "sid", "n").agg(F.min(F.struct("sets", "most", "row")).alias("rare"), F.min("most").alias("most"))
+    # Where some row's largest set has this one's size, nothing larger holds the set.
+    asked = rare.where("most > n").select(*SET, "sid", "n", F.col("rare.row").alias("row"))
+    larger = sized.select(*SET, F.col("sid").alias("big"), F.col("n").alias("m"), "row")
+    pairs = asked.join(larger, [*SET, "row"]).where("m > n").select("sid", "big", "n")
+    mine, theirs = rows.select("sid", "row").join(pairs, "sid"), rows.select(F.col("sid").alias("big"), "row")
+    within = mine.join(theirs, ["big", "row"]).groupBy("sid", "big", "n").agg(F.count("*").alias("common")).where("common = n")
+    return rows.join(within.select("sid").distinct(), "sid", "left_anti")
 
 
 def tier_summary(kept: DataFrame) -> DataFrame:
     """Findings and distinct rows per tier and type, and per tier (finding_type null: the union of its rows)."""
-    sets = kept.groupBy("severity", "finding_type").agg(F.count("*").alias("findings"))
-    rows = kept.select("severity", "finding_type", F.explode("rows").alias("row"))
-    by_type = rows.groupBy("severity", "finding_type").agg(F.count_distinct("row").alias("rows"))
-    by_tier = rows.groupBy("severity").agg(F.count_distinct("row").alias("rows")).join(sets.groupBy("severity").agg(F.sum("findings").alias("findings")), "severity")
-    return sets.join(by_type, ["severity", "finding_type"]).unionByName(by_tier.withColumn("finding_type", F.lit(None).cast("string")))
+    counts = [F.count_distinct("sid").alias("findings"), F.count_distinct("row").alias("rows")]
+    by_type = kept.groupBy(*SET).agg(*counts)
+    return by_type.unionByName(kept.groupBy("severity").agg(*counts).withColumn("finding_type", F.lit(None).cast("string")))
 
 
 def status(kept: DataFrame) -> DataFrame:

@@ -5,51 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def tanimoto(common: Column, n: Column, m: Column) -> Column:
     return common / (n + m - common)
 
 
+def bits_of(words: Column) -> Column:
+    """The places of the bits set in an array of longs."""
+    place = lambda w, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(w, b) == 1), lambda b: i * 64 + b)
+    return F.flatten(F.transform(words, place))
+
+
 def identical(left: DataFrame, right: DataFrame, key: str = "bits") -> DataFrame:
     """Threshold 1: equal bit sets, an equi-join.  Sides have (a) and (b) with ``key``."""
     return left.join(right, key).select("a", "b")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """left (a, bits), right (b, bits: distinct, sorted) -> pairs (a, b) with common and union, similarity >= threshold.
+def candidates(left: DataFrame, right: DataFrame, threshold: float, within: list[str]) -> DataFrame:
+    """Ids (a, b) of sets, equal in the columns ``within``, that may reach the threshold, by exact prefix filtering.
 
-    Exact prefix filtering: with bits ordered rarest first, two sets that are similar enough share one of the first
-    n - ceil(threshold * n) + 1; only pairs that do, and whose sizes and places allow it, are verified.  Threshold 0 asks
-    for all pairs and is refused.
+    With bits ordered rarest first, two sets that are similar enough share one of the first n - ceil(threshold * n) + 1; only pairs
+    that do, and whose sizes and places allow it, are candidates.  Bits travel as single numbers, sets as ids.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold must be above 0 and at most 1")
-    left, right = (df.where(F.size("bits") > 0) for df in (left, right))
     every = left.select(F.explode("bits").alias("bit")).union(right.select(F.explode("bits").alias("bit")))
     frequency = every.groupBy("bit").agg(F.count("*").alias("f"))
 
-    def prefixes(df: DataFrame, key: str, n: str, place: str, bits: str) -> DataFrame:
-        ranked = df.select(F.col(key), F.col("bits").alias(bits), F.size("bits").alias(n), F.explode("bits").alias("bit")).join(frequency, "bit")
-        w = Window.partitionBy(key).orderBy("f", "bit")
+    def prefixes(df: DataFrame, key: str, n: str, place: str) -> DataFrame:
+        ranked = df.select(*within, key, F.size("bits").alias(n), F.explode("bits").alias("bit")).join(frequency, "bit")
+        w = Window.partitionBy(*within, key).orderBy("f", "bit")
         ranked = ranked.withColumn(place, F.row_number().over(w) - 1)
-        return ranked.where(F.col(place) < F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - F.lit(1e-9)) + 1).select(key, bits, n, "bit", place)
+        return ranked.where(F.col(place) < F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - F.lit(1e-9)) + 1).select(*within, key, n, "bit", place)
 
-    x, y = prefixes(left, "a", "n", "p", "x"), prefixes(right, "b", "m", "q", "y")
+    x, y = prefixes(left, "a", "n", "p"), prefixes(right, "b", "m", "q")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - F.lit(1e-9))
     fits = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - F.lit(1e-9)) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= need)
-    pairs = x.join(y, "bit").where(fits).groupBy("a", "b").agg(F.first("x").alias("x"), F.first("y").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    counted = pairs.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
-    return counted.where(F.col("common") / F.col("union") >= threshold)
+    return x.join(y, [*within, "bit"]).where(fits).select(*within, "a", "b").distinct()
 
 
-def max_similarity(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """rows (group, key, bits) -> per group the largest similarity of two members, as common and union; none under two members."""
-    x = rows.select(group, F.col(key).alias("a"), F.col("bits").alias("x"))
-    y = rows.select(group, F.col(key).alias("b"), F.col("bits").alias("y"))
+def counted(pairs: DataFrame, left: DataFrame, right: DataFrame, within: list[str]) -> DataFrame:
+    """Pairs with the sizes of their sets' intersection and union."""
+    sets = pairs.join(left.select(*within, "a", F.col("bits").alias("x")), [*within, "a"]).join(right.select(*within, "b", F.col("bits").alias("y")), [*within, "b"])
     common = F.size(F.array_intersect("x", "y"))
-    pairs = x.join(y, group).where("a < b").select(group, common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
-    best = pairs.groupBy(group).agg(F.max(F.struct((F.col("common") / F.col("union")).alias("s"), "common", "union")).alias("best"))
-    return best.select(group, (F.col("best.common") / F.col("best.union")).alias("max_similarity"))
+    return sets.select(*within, "a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("union"))
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left (a, bits), right (b, bits: distinct, sorted) -> pairs (a, b) with common and union, similarity >= threshold.
+
+    Threshold 0 asks for all pairs of sets and gets them: the right side is then sent to every block of the left one.
+    """
+    if not 0 <= threshold <= 1:
+        raise ValueError("the threshold must be from 0 to 1")
+    left, right = (df.where(F.size("bits") > 0) for df in (left, right))
+    if threshold == 0:
+        n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        x = left.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(n)).cast("int"))
+        y = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return counted(x.join(y.select("b", "part"), "part").select("a", "b"), left, right, [])
+    return counted(candidates(left, right, threshold, []), left, right, []).where(F.col("common") / F.col("union") >= threshold)
 
 
+def max_similarity(rows: DataFrame, group: str, key: str, steps: tuple[float, ...] = (0.9, 0.75, 0.6, 0.45, 0.3, 0.15, 1e-6)) -> DataFrame:
+    """rows (group, key, bits) -> per group the largest similarity of two members; none under two members with bits.
+
+    A search for the best pair: a prefix join at a high threshold settles every group that has so similar a pair; the others go on
+    with lower ones.  Groups that share no bits at all have 0.
+    """
+    rows = materialise(rows.where(F.size("bits") > 0).select(group, F.col(key).alias("key"), "bits"))
+    groups = materialise(rows.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").select(group))
+    best = None
+    for t in steps:
+        some = rows.join(groups, group, "left_semi")
+        x, y = some.withColumnRenamed("key", "a"), some.withColumnRenamed("key", "b")
+        pairs = candidates(x, y, t, [group]).where("a < b")
+        found = counted(pairs, x, y, [group]).withColumn("s", F.col("common") / F.col("union")).where(F.col("s") >= t)
+        found = materialise(found.groupBy(group).agg(F.max("s").alias("max_similarity")))
+        best = found if best is None else best.unionByName(found)
+        groups = materialise(groups.join(found, group, "left_anti"))
+        if not groups.take(1):
+            return best
+    return best.unionByName(groups.withColumn("max_similarity", F.lit(0.0)))

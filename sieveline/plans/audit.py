@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import json
-from datetime import UTC, datetime
-from pathlib import Path
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chem import enrich as chem
 from ..functions import text
-from ..functions import values as V
-from ..operators import checks, findings, similarity
-from ..operators.records import identifier_rows, in_order, location, representations
+from ..operators import similarity
+from ..operators.records import location
 from ..sources.shared import materialise
 from ..sources.tables import load_pool
+from . import report as reports
 from .config import Config, settings_of
 
+LOG = logging.getLogger(__name__)
+MANY_PAIRS = 100_000_000
+
 
 def similar(records: DataFrame, threshold: float, strip_salts: bool) -> DataFrame:
     """Train and test rows with similar fingerprints that no structure key has matched already."""
@@ -27,88 +28,18 @@ def similar(records: DataFrame, threshold: float, strip_salts: bool) -> DataFram
     if threshold >= 1.0:  # equal bit sets: an equi-join
         pairs = train.alias("a").join(test.alias("b"), F.col("a.fp") == F.col("b.fp")).select(F.col("a.row_seq").alias("a"), F.col("b.row_seq").alias("b"), F.lit(1.0).alias("similarity"))
     else:
-        bits = F.expr("flatten(transform(fp, (w, i) -> transform(filter(sequence(0, 63), b -> (shiftrightunsigned(w, b) & 1L) = 1L), b -> i * 64 + b)))")
-        left, right = train.select(F.col("row_seq").alias("a"), bits.alias("bits")), test.select(F.col("row_seq").alias("b"), bits.alias("bits"))
-        pairs = similarity.similar_pairs(left, right, max(threshold, 1e-6)).select("a", "b", (F.col("common") / F.col("union")).alias("similarity"))
+        counts = {r["pool"]: r["count"] for r in rows.groupBy("pool").count().collect()}
+        if (asked := counts.get("train", 0) * counts.get("test", 0)) > MANY_PAIRS:
+            LOG.warning("%d pairs of train and test rows are to be compared at a similarity of %s; that may be slow", asked, threshold)
+        bits = similarity.bits_of(F.col("fp")).alias("bits")
+        pairs = similarity.similar_pairs(train.select(F.col("row_seq").alias("a"), bits), test.select(F.col("row_seq").alias("b"), bits), threshold)
+        pairs = pairs.select("a", "b", (F.col("common") / F.col("union")).alias("similarity"))
     x = train.select(F.col("row_seq").alias("a"), F.col("key").alias("train"), F.col("skeleton").alias("sa"), F.col("parent_inchikey").alias("pa"), F.col("loc").alias("la"))
     y = test.select(F.col("row_seq").alias("b"), F.col("key").alias("test"), F.col("skeleton").alias("sb"), F.col("parent_inchikey").alias("pb"), F.col("loc").alias("lb"))
     joined = pairs.join(x, "a").join(y, "b").where(~F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)))
     return joined.where(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))) if strip_salts else joined
 
 
-def plain(rows: list) -> list[dict]:
-    return [r.asDict(recursive=True) for r in rows]
-
-
-def build_report(records: DataFrame, config: Config, id_columns: list[str], resolved: dict[str, list[str]]) -> dict:
-    """The nested report; lists are collected for the report alone, findings stay a table for anything larger."""
-    s, check = config.settings, config.is_check
-    long, ids = representations(records), identifier_rows(records).where("identifier is not null")
-    pools = ["dataset"] if check else ["train", "test"]
-    pairs = materialise(similar(records, s.max_train_test_similarity, s.strip_salts)) if not check else None
-    found = materialise(findings.collect(records, id_columns, s.strip_salts, pairs))
-    tiers = materialise(findings.maximal(findings.tiered(found, s.max_train_test_similarity)))
-    summary = {r["severity"] + "/" + (r["finding_type"] or ""): {"findings": r["findings"], "rows": r["rows"]} for r in findings.tier_summary(tiers).collect()}
-
-    def tier(name: str) -> dict:
-        whole = summary.get(f"{name}/", {"findings": 0, "rows": 0})
-        return {**whole, "by_type": {k.partition("/")[2]: v for k, v in sorted(summary.items()) if k.startswith(f"{name}/") and not k.endswith("/")}}
-
-    def listed(groups: DataFrame, rows: DataFrame, keys: list[str], loc=None) -> list:
-        lists = rows.groupBy(*keys).agg(in_order(F.collect_list(location() if loc is None else loc)).alias("occurrences"))
-        return plain(groups.select(*keys, *[c for c in groups.columns if c not in keys and c in ("conflict_type", "identifiers", "forms")]).join(lists, keys).orderBy(*keys).collect())
-
-    flags = plain(checks.quality_flags(records).orderBy("row_seq").collect())
-    extra = {"net_charge": ["charge"], "undefined_stereo": ["stereocentres", "stereo_bonds"], "rdkit_warnings": ["warning"]}
-    quality = {p: {q: [{k: f[k] for k in ("pool", "source_file", "row_index", "raw_smiles", *extra.get(q, []))} for f in flags if f["pool"] == p and f["category"] == q] for q in V.QUALITY_FLAGS} for p in pools}
-    repeated = listed(checks.duplicate_structures(records), long, ["pool", "representation", "value"], F.col("loc"))
-    same_ids = listed(checks.duplicate_identifiers(records).withColumnRenamed("value", "identifier"), ids, ["pool", "id_column", "identifier"])
-    duplicates = {p: {**{r: [{"value": d["value"], "occurrences": d["occurrences"]} for d in repeated if (d["pool"], d["representation"]) == (p, r)] for r in V.REPRESENTATIONS},
-                      "identifiers": {c: [{"value": d["identifier"], "occurrences": d["occurrences"]} for d in same_ids if (d["pool"], d["id_column"]) == (p, c)] for c in id_columns}} for p in pools}
-    parsed = ids.where("parse_error is null")
-    conflicts = listed(checks.one_id_multiple_structures(records, s.strip_salts), parsed, ["id_column", "identifier"])
-    shared = listed(checks.one_structure_multiple_ids(records, s.strip_salts), parsed.withColumn("compound_key", checks.compound_key(s.strip_salts)), ["id_column", "compound_key"])
-    near = listed(checks.near_duplicate_identifiers(records), ids.withColumn("key", text.near_duplicate_key(F.col("identifier"))), ["id_column", "key"])
-    white = plain(checks.identifier_whitespace(records).collect())
-    broken = plain(checks.broken_rows_by_identifier(records).orderBy("id_column", "identifier").collect())
-    of = lambda rows, c: [{k: v for k, v in r.items() if k != "id_column"} for r in rows if r["id_column"] == c]
-    namespace = {c: {
-        "one_id_multiple_structures": of(conflicts, c), "one_structure_multiple_ids": of(shared, c), "identifier_whitespace": of(white, c), "near_duplicates": of(near, c),
-        "id_with_unparseable_and_valid_structures": [b for b in of(broken, c) if b["broken"]], "missing_structure_resolvable_by_id": [b for b in of(broken, c) if b["missing"]]} for c in id_columns}
-    bad = plain(checks.unparseable(records, id_columns).orderBy("row_seq").drop("row_seq").collect())
-    forms = listed(checks.inconsistent_forms(records), records.where("parse_error is null"), ["inchikey"])
-    rows = {r["pool"]: r["count"] for r in records.groupBy("pool").count().collect()}
-    status = "FAIL" if tier("FAIL")["findings"] else "WARN" if tier("WARN")["findings"] else "PASS"
-    totals: dict = {"status": status, "blocking": tier("FAIL"), "flagged": tier("WARN"), "total_unparseable": len(bad), "total_inconsistent_smiles": len(forms)}
-    totals |= {f"total_{p}_rows" if not check else "total_rows": rows.get(p, 0) for p in pools}
-    totals["total_unparseable_by_category"] = {c: sum(b["category"] == c for b in bad) for c in V.PARSE_ERRORS}
-    totals["total_resolvable_via_identifier"] = sum(b["resolvable_via_identifier"] is not None for b in bad)
-    totals["total_quality_flags"] = {p: {q: len(quality[p][q]) for q in V.QUALITY_FLAGS} for p in pools}
-    totals["total_internal_duplicates"] = {p: {r: len(duplicates[p][r]) for r in V.REPRESENTATIONS} for p in pools}
-    report: dict = {
-        "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "mode": "check" if check else "audit",
-        "config": {"sources": {p: [str(x) if isinstance(x, str | Path) else type(x).__name__ for x in (config.files if check else getattr(config, p))] for p in pools}, "smiles_column": config.smiles_column, "resolved_columns": resolved, "identifier_columns": id_columns, "settings": vars(s)},
-        "summary": totals, "unparseable_smiles": bad, "inconsistent_smiles": forms,
-    }
-    if not check:
-        overlap = listed(checks.exact_overlap(records), long, ["representation", "value"], F.col("loc"))
-        by_id = listed(checks.identifier_overlap(records).withColumnRenamed("value", "identifier"), ids, ["id_column", "identifier"])
-        split = lambda d: {"train_occurrences": [o for o in d["occurrences"] if o["pool"] == "train"], "test_occurrences": [o for o in d["occurrences"] if o["pool"] == "test"]}
-        report["train_test_leakage"] = {
-            "exact": {r: [{"value": d["value"], **split(d)} for d in overlap if d["representation"] == r] for r in V.REPRESENTATIONS},
-            "identifiers": {c: [{"value": d["identifier"], **split(d)} for d in by_id if d["id_column"] == c] for c in id_columns},
-            "tanimoto_similarity": plain(pairs.orderBy(F.desc("similarity"), "a", "b").select(F.col("la").alias("train"), F.col("lb").alias("test"), "similarity").collect()),
-        }
-        totals["total_exact_overlap"] = {r: len(v) for r, v in report["train_test_leakage"]["exact"].items()}
-        totals["total_identifier_overlap"] = {c: len(v) for c, v in report["train_test_leakage"]["identifiers"].items()}
-        totals["total_tanimoto_similarity"] = len(report["train_test_leakage"]["tanimoto_similarity"])
-        totals["leaked_rows"] = {f"{r['pool']}_{r['kind']}": r["count"] for r in checks.leaked_rows(records).groupBy("pool", "kind").count().collect()}
-    report["internal_duplicates"] = duplicates["dataset"] if check else duplicates
-    report["identifier_namespace_issues"] = namespace
-    report["quality_flags"] = quality["dataset"] if check else quality
-    return report
-
-
 def run(spark: SparkSession, config: Config) -> dict:
     pools, ids, resolved, first = [], [], {}, 0
     for name, sources in (("dataset", config.files),) if config.is_check else (("train", config.train), ("test", config.test)):
@@ -119,11 +50,14 @@ def run(spark: SparkSession, config: Config) -> dict:
         first += 1 << 60
     rows = pools[0] if len(pools) == 1 else pools[0].unionByName(pools[1])
     s = config.settings
-    records = materialise(chem.enrich(rows, chem.Settings(s.strip_salts, s.identifier_case_insensitive, s.multi_component_min_heavy_atoms, s.max_train_test_similarity, s.fp_radius, s.fp_n_bits)))
-    report = build_report(records, config, [c for c in config.identifier_columns if c in ids], resolved)
+    settings = chem.Settings(s.strip_salts, s.identifier_case_insensitive, s.multi_component_min_heavy_atoms, s.max_train_test_similarity, s.fp_radius, s.fp_n_bits, s.tautomer_standardisation)
+    records = materialise(chem.enrich(rows, settings))
+    records = materialise(chem.with_tautomer_keys(records, s.strip_salts))
+    pairs = None if config.is_check else materialise(similar(records, s.max_train_test_similarity, s.strip_salts))
+    made = reports.build(records, config, [c for c in config.identifier_columns if c in ids], resolved, pairs)
     if config.report_output:
-        save(report, config.report_output, s.report_format)
-    return report
+        reports.save(made, config.report_output, s.report_format)
+    return made
 
 
 def listed_sources(x) -> list:
@@ -138,44 +72,3 @@ def audit(spark: SparkSession, train, test, smiles_column: str = "SMILES", ident
 def check(spark: SparkSession, data, smiles_column: str = "SMILES", identifier_columns: list[str] | None = None, report_output: str | None = None, **settings) -> dict:
     """Checks one dataset."""
     return run(spark, Config([], [], listed_sources(data), smiles_column, list(identifier_columns or []), settings_of(settings, report_output, True), report_output))
-
-
-def render(report: dict) -> str:
-    """The report as text: status, tiers, then every section that has entries."""
-    lines = [f"{report['mode']} report, {report['generated_at']}", f"Status: {report['summary']['status']}"]
-    for name, label in (("blocking", "FAIL"), ("flagged", "WARN")):
-        t = report["summary"][name]
-        lines.append(f"[{label}] {t['findings']} findings over {t['rows']} rows")
-        lines += [f"  {k}: {v['findings']} findings, {v['rows']} rows" for k, v in t["by_type"].items()]
-
-    def place(o: dict) -> str:
-        return f"[{o['pool']}] {o['source_file']} (row {o['row_index']}): {o['raw_smiles']!r}"
-
-    def section(title: str, value, depth: int = 0) -> None:
-        pad = "  " * depth
-        if isinstance(value, dict) and "row_index" in value and "raw_smiles" in value:
-            more = ", ".join(f"{k} {v:+d}" if k == "charge" else f"{k} {v}" for k, v in value.items() if k not in ("pool", "source_file", "row_index", "raw_smiles", "row_seq") and v is not None)
-            lines.append(f"{pad}{place(value)}{' - ' + more if more else ''}")
-        elif isinstance(value, dict):
-            if any(value.values()):
-                lines.append(f"{pad}{title}:")
-                for k, v in value.items():
-                    section(k, v, depth + 1)
-        elif isinstance(value, list):
-            if value:
-                lines.append(f"{pad}{title} ({len(value)}):")
-                for v in value:
-                    section("-", v, depth + 1)
-        elif value is not None:
-            lines.append(f"{pad}{title}: {value}")
-
-    for key in ("unparseable_smiles", "inconsistent_smiles", "train_test_leakage", "internal_duplicates", "identifier_namespace_issues", "quality_flags"):
-        if key in report:
-            section(key, report[key])
-    return "\n".join(lines) + "\n"
-
-
-def save(report: dict, output: str | Path, kind: str) -> None:
-    path = Path(output)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(render(report) if kind == "txt" else json.dumps(report, indent=2, default=str))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, findings, similarity
+from ..operators import checks, similarity
 from ..operators.records import complete
-from ..sources.shared import materialise
+from . import molecules
 
 MOL = """
   SELECT row_index, pool, source_file, name_id, code_id,
@@ -61,19 +61,7 @@ conflicts AS (SELECT id_column, identifier, count(*) AS rows, count(DISTINCT (ca
       WHEN count(DISTINCT split_part(parent_inchikey, '-', 1)) = 1 THEN 'stereo' ELSE 'different_compound' END AS conflict_type
   FROM found WHERE category IS NULL GROUP BY 1, 2 HAVING count(DISTINCT (canonical_smiles, inchikey)) > 1),
 near AS (SELECT id_column, regexp_replace(lower(identifier), '[-_]', '', 'g') AS key, count(DISTINCT identifier) AS identifiers, count(*) AS rows
-  FROM found GROUP BY 1, 2 HAVING count(DISTINCT identifier) > 1),
-sets AS (
-  SELECT 'FAIL' AS severity, 'unparseable_smiles' AS finding_type, list(DISTINCT row_index) AS members FROM rec WHERE category IS NOT NULL GROUP BY row_index
-  UNION ALL SELECT CASE WHEN kind = 'stereo_overlap' THEN 'WARN' ELSE 'FAIL' END, kind, members FROM (SELECT CASE o.representation WHEN 'parent_inchikey' THEN 'salt_form_overlap'
-    WHEN 'inchikey_connectivity' THEN 'stereo_overlap' ELSE 'exact_overlap' END AS kind, list(DISTINCT row_index) AS members FROM over o JOIN reps USING (representation, value) GROUP BY o.representation, o.value)
-  UNION ALL SELECT CASE WHEN kind = 'duplicate_stereoisomer' OR pool <> 'test' THEN 'WARN' ELSE 'FAIL' END, kind, members FROM (SELECT d.pool, CASE d.representation WHEN 'parent_inchikey' THEN 'duplicate_salt_form'
-    WHEN 'inchikey_connectivity' THEN 'duplicate_stereoisomer' ELSE 'duplicate_structure' END AS kind, list(DISTINCT row_index) AS members FROM dups d JOIN reps USING (pool, representation, value) GROUP BY d.pool, d.representation, d.value)
-  UNION ALL SELECT CASE WHEN conflict_type = 'different_compound' THEN 'FAIL' ELSE 'WARN' END, CASE WHEN conflict_type = 'different_compound' THEN 'one_id_multiple_structures' ELSE 'one_id_structure_variants' END, members
-    FROM (SELECT c.id_column, c.identifier, conflict_type, list(DISTINCT row_index) AS members FROM conflicts c JOIN found USING (id_column, identifier) WHERE category IS NULL GROUP BY 1, 2, 3)
-  UNION ALL SELECT 'WARN', 'identifier_whitespace', list(DISTINCT row_index) FROM ids WHERE raw_value <> trim(raw_value, {WS}) GROUP BY row_index, id_column
-  UNION ALL SELECT 'WARN', 'identifier_near_duplicate', list(DISTINCT row_index) FROM near n JOIN found f ON n.id_column = f.id_column AND n.key = regexp_replace(lower(f.identifier), '[-_]', '', 'g') GROUP BY n.id_column, n.key),
-sorted AS (SELECT DISTINCT severity, finding_type, list_sort(members) AS members FROM sets),
-kept AS (SELECT * FROM sorted a WHERE NOT EXISTS (SELECT 1 FROM sorted b WHERE a.severity = b.severity AND a.finding_type = b.finding_type AND len(b.members) > len(a.members) AND list_has_all(b.members, a.members)))
+  FROM found GROUP BY 1, 2 HAVING count(DISTINCT identifier) > 1)
 """
 
 
@@ -144,51 +132,33 @@ def max_similarity_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.max_similarity(sign_bits(spark, sf_dir), "label", "vec_id").select("label", F.round("max_similarity", 9).alias("max_similarity"))
 
 
-def unparsed_resolvable(records: DataFrame) -> DataFrame:
-    bad = checks.unparseable(records, ["code_id", "name_id"])
-    return bad.select("row_index", "category", "resolvable_via_identifier")
-
-
 def conflicts_by_type(records: DataFrame) -> DataFrame:
     return checks.one_id_multiple_structures(records).groupBy("id_column", "conflict_type").agg(F.count("*").alias("identifiers"))
 
 
-def fragment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mol(spark, sf_dir).where("raw_smiles like '%.%'").select(F.col("row_index").alias("id"), F.explode(F.split("raw_smiles", r"\.")).alias("smiles"))
-    key = F.replace(F.replace("smiles", F.lit("[NH3+]"), F.lit("N")), F.lit("[Cl-]"), F.lit("Cl"))
-    made = rows.select("id", "smiles", key.alias("key"), F.length(key).alias("heavy"), F.lit(0.0).alias("mass"))
-    return checks.fragment_classes(made)
-
-
-def audit_sets(records: DataFrame) -> DataFrame:
-    """The finding types that the SQL version spells out."""
-    kinds = ["unparseable_smiles", "exact_overlap", "salt_form_overlap", "stereo_overlap", "duplicate_structure", "duplicate_salt_form", "duplicate_stereoisomer", "one_id_multiple_structures", "one_id_structure_variants", "identifier_whitespace", "identifier_near_duplicate"]
-    found = findings.collect(materialise(records), ["code_id", "name_id"])
-    return materialise(findings.maximal(materialise(findings.tiered(found.where(F.col("finding_type").isin(kinds))))))
-
-
-def maximal_row_sets(records: DataFrame) -> DataFrame:
-    kept = audit_sets(records).withColumn("n", F.size("rows")).withColumn("total", F.aggregate("rows", F.lit(0).cast("long"), lambda a, x: a + x["row_index"]))
-    return kept.groupBy("severity", "finding_type", "n", "total").agg(F.count("*").alias("sets"))
-
-
-def tier_summary(records: DataFrame) -> DataFrame:
-    return findings.tier_summary(audit_sets(records)).select("severity", F.coalesce("finding_type", F.lit("all")).alias("finding_type"), "findings", "rows")
-
-
-def overall_status(records: DataFrame) -> DataFrame:
-    return findings.status(audit_sets(records))
-
-
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole benchmark item: candidates share the item's second word, then containment is checked."""
+    """Documents that hold a whole benchmark item: candidates share whole words, then containment is checked.
+
+    All but an item's first and last words stand whole in any text that holds it.  Items of five words or more are looked up by words
+    two to four, of three or four words by word two; shorter ones, which hold no whole word for sure, by their first four characters
+    (or all of them) at every place of a text.
+    """
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    # Words two to four stand whole in any text that holds the item of five words or more.
-    words = F.split("text", " ")
+    words, own = F.split("text", " "), F.split("item", " ")
     three = F.arrays_zip(words.alias("x"), F.slice(words, 2, 1 << 30).alias("y"), F.slice(words, 3, 1 << 30).alias("z"))
-    grams = docs.where(F.size(words) >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(three, lambda x: F.xxhash64(F.concat_ws(" ", x["x"], x["y"], x["z"]))))).alias("gram"))
-    keyed = items.where(F.size(F.split("item", " ")) >= 5).select("item_id", "item", F.xxhash64(F.array_join(F.slice(F.split("item", " "), 2, 3), " ")).alias("gram"))
-    pairs = grams.join(keyed, "gram").select("doc_id", "item_id", "item")
+    hashed = lambda n, *c: F.xxhash64(F.lit(n), F.concat_ws(" ", *c))
+    keyed = items.where("item <> ''").select("item_id", "item", F.size(own).alias("n"), F.length("item").alias("size")).withColumn("kind", F.when(F.col("n") >= 5, 3).when(F.col("n") >= 3, 1).otherwise(-F.least("size", F.lit(4))))
+    keyed = keyed.withColumn("gram", F.when(F.col("kind") == 3, hashed(3, F.array_join(F.slice(own, 2, 3), " "))).when(F.col("kind") == 1, hashed(1, F.get(own, F.lit(1)))).otherwise(F.xxhash64("kind", F.substring("item", 1, 4))))
+    kinds = [r[0] for r in keyed.select("kind").distinct().collect()]  # at most six
+    places = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
+    grams = {
+        3: F.transform(three, lambda x: hashed(3, x["x"], x["y"], x["z"])), 1: F.transform(words, lambda w: hashed(1, w)),
+        **{-m: F.transform(places, lambda i, m=m: F.xxhash64(F.lit(-m), F.substr("text", i, F.lit(m)))) for m in range(1, 5)},
+    }
+    if not kinds:
+        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
+    found = docs.where("text <> ''").select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[grams[k] for k in kinds])))).alias("gram"))
+    pairs = found.join(keyed.select("gram", "item_id", "item"), "gram").select("doc_id", "item_id", "item").distinct()
     return pairs.join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
 
 
@@ -205,19 +175,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "id_near_duplicate": drawn(partial(checks.near_duplicate_identifiers, unicode=False)),
     "id_whitespace": drawn(checks.identifier_whitespace, "id_column", "row_index", "raw_value", "value"),
     "parse_failure_category": drawn(lambda r: r.where("parse_error is not null").groupBy("parse_error_category").agg(F.count("*").alias("rows"))),
-    "unparsed_resolvable_by_id": drawn(unparsed_resolvable),
     "broken_rows_by_identifier": drawn(checks.broken_rows_by_identifier),
     "inconsistent_forms": drawn(checks.inconsistent_forms, "inchikey", "forms", "rows"),
     "quality_flags_long": drawn(checks.quality_flags, "category", "row_index"),
-    "fragment_classes": fragment_classes,
     "tanimoto_threshold": tanimoto_threshold,
     "tanimoto_identical": tanimoto_identical,
     "max_similarity_in_group": max_similarity_in_group,
     "benchmark_contamination": benchmark_contamination,
-    "maximal_row_sets": drawn(maximal_row_sets),
-    "tier_summary": drawn(tier_summary),
-    "overall_status": drawn(overall_status),
 }
+QUERIES |= molecules.QUERIES
 
 SIGNS = "signs AS (SELECT vec_id, label, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings), bits AS (SELECT vec_id, label, len(bits) AS n, unnest(bits) AS bit FROM signs)"
 
@@ -239,32 +205,18 @@ ORACLE_SQL: dict[str, str] = {
     "id_near_duplicate": SQL + "SELECT * FROM near",
     "id_whitespace": SQL + f"SELECT id_column, row_index, raw_value, identifier AS value FROM ids WHERE raw_value <> trim(raw_value, {WS})",
     "parse_failure_category": SQL + "SELECT category AS parse_error_category, count(*) AS rows FROM rec WHERE category IS NOT NULL GROUP BY 1",
-    "unparsed_resolvable_by_id": SQL + """, ok AS (SELECT DISTINCT id_column, identifier FROM found WHERE category IS NULL)
-        SELECT r.row_index, r.category, CASE WHEN bool_or(f.id_column = 'code_id') THEN 'code_id' WHEN bool_or(f.id_column = 'name_id') THEN 'name_id' END AS resolvable_via_identifier
-        FROM rec r LEFT JOIN (SELECT row_index, id_column FROM found JOIN ok USING (id_column, identifier) WHERE category IS NOT NULL) f USING (row_index) WHERE r.category IS NOT NULL GROUP BY 1, 2""",
     "broken_rows_by_identifier": SQL + """SELECT id_column, identifier, count(*) FILTER (category = 'empty') AS missing, count(*) FILTER (category <> 'empty') AS broken, count(*) FILTER (category IS NULL) AS valid,
         count(DISTINCT (canonical_smiles, inchikey)) FILTER (category IS NULL) AS candidates, count(DISTINCT (canonical_smiles, inchikey)) FILTER (category IS NULL) > 1 AS ambiguous FROM found GROUP BY 1, 2
         HAVING count(*) FILTER (category IS NULL) > 0 AND count(*) FILTER (category IS NOT NULL) > 0""",
     "inconsistent_forms": SQL + "SELECT inchikey, count(DISTINCT s) AS forms, count(*) AS rows FROM rec WHERE category IS NULL GROUP BY 1 HAVING count(DISTINCT s) > 1",
     "quality_flags_long": SQL + """SELECT 'smiles_whitespace' AS category, row_index FROM rec WHERE category IS NULL AND raw_smiles <> s UNION ALL SELECT 'mixtures', row_index FROM rec WHERE contains(canonical_smiles, '.')
         UNION ALL SELECT 'salt_or_solvate', row_index FROM rec WHERE contains(canonical_smiles, '.')""",
-    "fragment_classes": SQL + """, f AS (SELECT row_index AS id, unnest(string_split(raw_smiles, '.')) AS smiles FROM mol WHERE contains(raw_smiles, '.')), g AS (SELECT *, replace(replace(smiles, '[NH3+]', 'N'), '[Cl-]', 'Cl') AS key FROM f),
-        h AS (SELECT *, length(key) AS heavy, CASE WHEN key IN ('Cl', 'N') THEN 'counterion' WHEN key IN ('O', 'CO', 'CCO', 'CCCCCC') THEN 'solvent' ELSE 'unknown' END AS kind FROM g),
-        p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind = 'unknown' DESC, heavy DESC, smiles DESC) AS place FROM h), q AS (SELECT *, first_value(smiles) OVER w AS parent, first_value(kind) OVER w AS pk FROM p WINDOW w AS (PARTITION BY id ORDER BY place)),
-        a AS (SELECT id, min(parent) AS parent, min(pk) AS pk, count(*) - 1 AS others, count(*) FILTER (place > 1 AND kind <> 'unknown') AS known, count(*) FILTER (place > 1 AND kind = 'unknown' AND pk = 'unknown' AND smiles = parent) AS copies,
-          count(*) FILTER (place > 1 AND kind = 'unknown' AND NOT (pk = 'unknown' AND smiles = parent)) AS strange, count(DISTINCT smiles) FILTER (kind = 'unknown' AND heavy >= 6) AS large FROM q GROUP BY id),
-        b AS (SELECT *, pk = 'unknown' AND strange = 0 AND known > 0 AS salt, others > 0 AND copies = others AS dimer, large >= 2 AS multi FROM a)
-        SELECT id, parent, salt AS is_salt_or_solvate, dimer AS is_homodimer_without_counterion, multi AS is_multi_component, others > 0 AND NOT salt AND NOT dimer AND NOT multi AS is_unclassified_mixture FROM b""",
     "tanimoto_threshold": f"""WITH {SIGNS} SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS common, any_value(x.n) + any_value(y.n) - count(*) AS "union" FROM bits x JOIN bits y USING (bit)
         WHERE x.vec_id % 5 <> 0 AND y.vec_id % 5 = 0 GROUP BY 1, 2 HAVING count(*) >= 0.6 * (any_value(x.n) + any_value(y.n) - count(*))""",
     "tanimoto_identical": """WITH s AS (SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(lower(text), ' '))), ' ') AS bits FROM documents WHERE text <> '')
         SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (bits) WHERE x.doc_id % 5 <> 0 AND y.doc_id % 5 = 0""",
     "max_similarity_in_group": f"""WITH {SIGNS}, p AS (SELECT x.label, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS s FROM bits x JOIN bits y ON x.label = y.label AND x.bit = y.bit AND x.vec_id < y.vec_id
         GROUP BY x.label, x.vec_id, y.vec_id) SELECT label, round(max(s), 9) AS max_similarity FROM p GROUP BY 1""",
-    "benchmark_contamination": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 5",
-    "maximal_row_sets": SQL + "SELECT severity, finding_type, len(members) AS n, list_sum(members) AS total, count(*) AS sets FROM kept GROUP BY 1, 2, 3, 4",
-    "tier_summary": SQL + """, r AS (SELECT severity, finding_type, unnest(members) AS x FROM kept)
-        SELECT severity, finding_type, findings, rows FROM (SELECT severity, finding_type, count(*) AS findings FROM kept GROUP BY 1, 2) JOIN (SELECT severity, finding_type, count(DISTINCT x) AS rows FROM r GROUP BY 1, 2) USING (severity, finding_type)
-        UNION ALL SELECT severity, 'all', findings, rows FROM (SELECT severity, count(*) AS findings FROM kept GROUP BY 1) JOIN (SELECT severity, count(DISTINCT x) AS rows FROM r GROUP BY 1) USING (severity)""",
-    "overall_status": SQL + "SELECT CASE WHEN bool_or(severity = 'FAIL') THEN 'FAIL' WHEN count(*) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM kept",
+    "benchmark_contamination": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
 }
+ORACLE_SQL |= molecules.ORACLE_SQL

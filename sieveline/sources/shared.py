@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir (a temporary folder where that is unset) and reads it back.
-
-    Tables that several checks read are made once, and survive the loss of executors.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local master may leave it unset, and then gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sieveline-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back.
+
+    Tables that several checks read are made once, and survive the loss of executors.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

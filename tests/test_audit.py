@@ -17,10 +17,17 @@ def test_two_pools_from_files(spark, tmp_path):
     report = audit.audit(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), identifier_columns=["compound_id", "external_reg_no"], report_output=str(out))
     s = report["summary"]
     assert (s["total_train_rows"], s["total_test_rows"], s["total_unparseable"], s["status"]) == (6, 3, 0, "FAIL")
-    assert s["total_exact_overlap"]["inchikey"] == 2 and s["total_internal_duplicates"]["train"]["inchikey"] == 1
-    assert s["total_quality_flags"]["train"] | {} and [s["total_quality_flags"]["train"][k] for k in ("mixtures", "salts_or_metal_complexes", "suspicious_fragments")] == [2, 1, 1]
+    leak = report["train_test_leakage"]
+    assert len(leak["exact"]["inchikey"]) == 2 and s["total_internal_duplicates_train"]["inchikey"] == 1
+    assert (s["total_exact_leaked_train_molecules"], s["total_exact_leaked_test_molecules"], s["total_identifier_leakage_events"]) == (3, 2, 0)
+    first = next(f for f in leak["exact"]["raw_smiles"] if f["value"] == "CCO")
+    assert [o["row_index"] for o in first["train_occurrences"]] == [0, 1] and first["test_occurrences"][0]["pool"] == "test"
+    assert [s[f"total_{k}"]["train"] for k in ("mixtures", "salts_or_metal_complexes", "suspicious_fragments")] == [2, 1, 1]
+    assert report["config"]["resolved_smiles_columns"]["test"] == {str(tmp_path / "test.csv"): "structure"}
     assert report["internal_duplicates"]["train"]["identifiers"]["external_reg_no"][0]["value"] == "R1"
-    assert "Status: FAIL" in out.read_text()
+    text = out.read_text()
+    assert "OVERALL FAIL" in text and "Train-test leakage: exact matches" in text and "  [FAIL] raw_smiles  value=CCO" in text and "Quality flags: train" in text
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"
 
 
 def test_counts_by_tier(spark):
@@ -32,13 +39,18 @@ def test_counts_by_tier(spark):
 def test_maximal_sets_match_brute_force(spark):
     random.seed(5)
     sets = {(t, tuple(sorted(random.sample(range(30), random.randint(1, 5))))) for t in ("x", "y") for _ in range(150)}
-    rows = [("WARN", t, [("p", "f", i) for i in s]) for t, s in sets]
-    df = spark.createDataFrame(rows, f"severity string, finding_type string, rows array<{findings.ROW}>")
-    got = {(r["finding_type"], tuple(x["row_index"] for x in r["rows"])) for r in findings.maximal(df).collect()}
+    rows = [(t, "test", f"{t}{k}", ("p", "f", i)) for k, (t, s) in enumerate([*sets, *list(sets)[:20]]) for i in s]
+    df = spark.createDataFrame(rows, f"finding_type string, pool string, sid string, row {findings.ROW}")
+    some = findings.tiered(df.withColumn("finding_type", F.when(F.col("finding_type") == "x", "exact_overlap").otherwise("duplicate_identifier")))
+    got = {}
+    for r in findings.maximal(some).collect():
+        got.setdefault((r["finding_type"][0], r["sid"]), []).append(r["row"]["row_index"])
+    assert len(got) == len({(t, tuple(sorted(s))) for (t, _), s in got.items()})
+    got = {({"e": "x", "d": "y"}[t], tuple(sorted(s))) for (t, _), s in got.items()}
     assert got == {(t, s) for t, s in sets if not any(t == u and set(s) < set(v) for u, v in sets)}
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.7, 1.0])
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.7, 1.0])
 def test_similar_pairs_match_brute_force(spark, threshold):
     random.seed(6)
     sets = [sorted(random.sample(range(25), random.randint(0, 8))) for _ in range(120)]
@@ -70,3 +82,69 @@ def test_strip_is_pythons(spark):
 
     assert len(WHITE_SPACE) == 29 and not WHITE_SPACE.strip()
     assert spark.range(1).select(strip(F.lit(f"{WHITE_SPACE}a b{WHITE_SPACE}"))).first()[0] == "a b"
+
+
+def test_largest_similarity_of_groups(spark):
+    random.seed(7)
+    sets = [(g, i, sorted(random.sample(range(60), random.randint(0, 12)))) for i, g in enumerate(random.choices("abcdefgh", k=60))] + [("z", 100, [1]), ("z", 101, [2]), ("one", 102, [3])]
+    got = {r["g"]: r["max_similarity"] for r in similarity.max_similarity(spark.createDataFrame(sets, "g string, k long, bits array<int>"), "g", "k").collect()}
+    want = {}
+    for g, i, x in sets:
+        for h, j, y in sets:
+            if g == h and i < j and x and y:
+                want[g] = max(want.get(g, 0), len({*x} & {*y}) / len({*x} | {*y}))
+    assert got == want and got["z"] == 0 and "one" not in got
+
+
+CONFLICTS = [
+    (["CCN(CC)CC", "CCN(CC)CC.Cl"], True, "salt_form"), (["CCN(CC)CC", "CCN(CC)CC.Cl"], False, "different_compound"), (["CC(N)C(=O)O", "C[C@@H](N)C(=O)O", "C[C@H](N)C(=O)O"], True, "stereo"),
+    (["CC(N)C(=O)O.Cl", "C[C@@H](N)C(=O)O"], True, "stereo"), (["Oc1ccccn1", "O=c1cccc[nH]1"], True, "tautomer"), (["CC(=O)CC(C)=O", "CC(O)=CC(C)=O"], True, "tautomer"), (["c1ccccc1CCN", "c1ccc2ccccc2c1"], True, "different_compound"),
+]
+
+
+def test_check_of_one_dataset(spark, tmp_path):
+    rows = [(s, f"ID{k}") for k, (some, strip, _) in enumerate(CONFLICTS) for s in some if strip] + [("", "ID0x"), ("CCCCCCCCO", "ID0x"), ("C1CC", "ID0y"), ("CCCCCCCCN", "ID0y"), ("OCCCCCCCC", "Id0-X"), ("CC[N+](C)(C)C", " PAD")]
+    (tmp_path / "d.tsv").write_text("smi\tcode\n" + "".join(f"{a}\t{b}\n" for a, b in rows))
+    report = audit.check(spark, tmp_path / "d.tsv", identifier_columns=["code", "absent"])
+    issues, s = report["identifier_namespace_issues"]["code"], report["summary"]
+    kinds = {c["identifier"]: c for c in issues["one_id_multiple_structures"]}
+    assert {f"ID{k}": kind for k, (_, strip, kind) in enumerate(CONFLICTS) if strip} == {i: c["conflict_type"] for i, c in kinds.items()}
+    assert all(0 < c["max_similarity"] <= 1 for c in kinds.values()) and [len(c["structures"]) for c in kinds.values()].count(3) == 1
+    assert kinds["ID0"]["structures"][1]["occurrences"][0] == {"pool": "dataset", "source_file": str(tmp_path / "d.tsv"), "row_index": 1, "raw_smiles": "CCN(CC)CC.Cl"}
+    missing, broken = issues["missing_structure_resolvable_by_id"][0], issues["id_with_unparseable_and_valid_structures"][0]
+    assert (missing["identifier"], missing["ambiguous"], len(missing["missing"]), missing["candidates"][0]["canonical_smiles"]) == ("ID0x", False, 1, "CCCCCCCCO")
+    assert (broken["identifier"], broken["unparseable"][0]["category"]) == ("ID0y", "ring_closure") and broken["unparseable"][0]["error"]
+    assert [[x["identifier"] for x in n["identifiers"]] for n in issues["near_duplicates"]] == [["ID0x", "Id0-X"]]
+    assert [w["raw_value"] for w in issues["identifier_whitespace"]] == [" PAD"] and issues["identifier_whitespace"][0]["raw_smiles"] == "CC[N+](C)(C)C"
+    assert sorted([i["identifier"] for i in x["identifiers"]] for x in issues["one_structure_multiple_ids"]) == [["ID0x", "Id0-X"], ["ID2", "ID3"]]
+    forms = [[r["raw_smiles"] for r in f["representations"]] for f in report["inconsistent_smiles"]]
+    assert ["CCCCCCCCO", "OCCCCCCCC"] in forms and s["total_inconsistent_smiles"] == len(forms)
+    assert s["total_unparseable_by_category"] == {"empty": 1, "ring_closure": 1} and s["total_unparseable_resolvable_via_identifier"] == 1
+    assert s["total_identifier_namespace_issues"]["code"]["one_id_multiple_structures_by_type"] == {"different_compound": 1, "salt_form": 1, "stereo": 2, "tautomer": 2}
+    assert s["total_quality_flags"]["net_charge"] == 1 and report["quality_flags"]["net_charge"][0]["charge"] == 1 and report["config"]["files"] == [str(tmp_path / "d.tsv")]
+    assert "train_test_leakage" not in report and "max_train_test_similarity" not in report["config"] and s["total_rows"] == len(rows)
+
+
+def test_conflicts_without_salt_stripping(spark):
+    for some, strip, kind in CONFLICTS[:2]:
+        report = audit.check(spark, pd.DataFrame({"SMILES": some, "id": "X"}), identifier_columns=["id"], strip_salts=strip)
+        assert report["identifier_namespace_issues"]["id"]["one_id_multiple_structures"][0]["conflict_type"] == kind
+
+
+def test_settings_reach_the_kernel(spark, caplog, monkeypatch):
+    enol = pd.DataFrame({"SMILES": ["CC(O)=C"]}), pd.DataFrame({"SMILES": ["CC(=O)C"]})
+    assert audit.audit(spark, *enol)["summary"]["total_exact_leaked_test_molecules"] == 0
+    assert audit.audit(spark, *enol, tautomer_standardisation=True)["summary"]["total_exact_leaked_test_molecules"] == 1
+    monkeypatch.setattr(audit, "MANY_PAIRS", 3)
+    pools = pd.DataFrame({"SMILES": ["c1ccccc1CCN", "CCCCO"]}), pd.DataFrame({"SMILES": ["c1ccccc1CCO", "CCCCN"]})
+    report = audit.audit(spark, *pools, max_train_test_similarity=0.0, fp_n_bits=1000)
+    assert report["summary"]["total_tanimoto_leakage_pairs"] == 4 and "pairs" in caplog.text
+    assert report["summary"]["blocking"]["by_type"]["tanimoto_similarity"]["findings"] == 4
+
+
+def test_rows_of_frames_are_numbered_in_order(spark):
+    from sieveline.sources.tables import numbered
+
+    df = spark.range(1000).repartition(7, "id").sortWithinPartitions("id")
+    rows = numbered(df).collect()
+    assert sorted(r["__row_index__"] for r in rows) == list(range(1000))
