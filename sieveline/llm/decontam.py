@@ -7,23 +7,23 @@
 2. A randomised SVD of all passages with at least two weighing words gives a latent space: Y = A'(A Q) is summed over
    partitions (words x rank numbers each), made orthonormal on the driver, and the top of Q'A'AQ gives the right singular vectors.
 3. A passage is a candidate for an item if the cosine of their latent vectors is at least ``cosine``.  A space of fixed rank has no
-   room for every item's few rare words, so a passage is one as well if it has ``cover`` of the item's squared weights (of as much of
-   them as fits in a passage), which the words' lists of items tell.  Weights aside, a place with RUN words of an item in a row (all
-   of them, if it has fewer) is one too, by an exact lookup of runs; so every verbatim copy is judged, however common its words are.
+   room for all of every item's few rare words, so as a safeguard a place with RUN words of an item in a row (all of them, if it
+   has fewer) is one too, by an exact lookup of runs: every verbatim copy is judged, however common its words are.
 4. A candidate counts if the longest common subsequence of the item's words and the passage with its surroundings covers
    ``exact`` of the item; or, as a paraphrase, ``loose`` of it when the item's answer (its last sentence with three words at least)
    is there too, to ``answer`` of its words.
 
 Items are taken in blocks of at most ``block_items`` items and ``block_words`` words, so what is broadcast is bounded whatever the
 benchmark's size.  Results: the rows of docs with item_ids (sorted), overlap (the largest share covered, 0 without a
-hit) and contaminated.  Null or empty texts, and items without words, are in no hit.  Repeated rows are judged alike.
+hit) and contaminated.  Null or empty texts, and items without words, are in no hit.  Repeated rows are judged alike; input
+columns of these three names get _input behind them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RADIX, Scratch, grouped_runs, summed
+from .common import RADIX, Scratch, grouped_runs, hashed_words, keep_apart, summed
 
 FEW = 16  # words in so few cells weigh in any corpus
 RAREST = 8  # so many distinct words of each item weigh in any corpus
@@ -41,8 +41,13 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(TABLE).split()
+def plain(text: str | None) -> bytes:
+    """Words in lower case between spaces."""
+    return text.lower().encode("utf-8", "replace").translate(TABLE) if text else b""
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return plain(text).split()
 
 
 class Items:
@@ -54,18 +59,30 @@ class Items:
         sentences = [[w for w in map(words_of, SENTENCE.findall(r[1])) if len(w) >= 3] for r in rows]
         self.answers = [s[-1] if s else w for s, w in zip(sentences, self.words, strict=True)]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        hashes = hashed_words(b" ".join(self.vocabulary))[0]  # one for each word, in the order of their numbers
+        order = np.argsort(hashes)
+        seen = np.zeros(1 << 20, bool)
+        seen[hashes >> np.uint64(44)] = True
+        self.hashed = (hashes[order], order.astype(np.int32), seen)
+        self.answers = [[self.vocabulary[w] for w in words] for words in self.answers]
         self.numbers = [np.array([self.vocabulary[w] for w in words], np.int64) for words in self.words]
 
 
-def cells_of(texts: list[str | None], vocabulary: dict[bytes, int], cell: int):
-    """All words of some texts: ids (-1: not in the vocabulary) and cells; words and first cell of each text."""
-    split = [words_of(t) if t else [] for t in texts]
-    ids = np.concatenate([np.fromiter(map(vocabulary.get, w, repeat(-1)), np.int64, len(w)) for w in split]) if split else np.zeros(0, np.int64)
-    sizes = np.array([len(w) for w in split], np.int64)
+def cells_of(texts: list[str | None], hashed: tuple, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some texts: ids (-1: not in the vocabulary) and cells; first cell and first word of each text."""
+    known, numbers, seen = hashed
+    parts = [plain(t) for t in texts]
+    hashes, starts, _ = hashed_words(b"\n".join(parts))
+    ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in parts]))
+    sizes = np.diff(ends, prepend=0)
+    ids = np.full(len(hashes), -1, np.int64)
+    at = np.flatnonzero(seen[hashes >> np.uint64(44)])
+    k = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
+    hit = known[k] == hashes[at]
+    ids[at[hit]] = numbers[k[hit]]
     first = np.concatenate(([0], np.cumsum(-(-sizes // cell))))
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(len(ids)) - np.repeat(starts, sizes)
-    return split, ids, np.repeat(first[:-1], sizes) + at // cell, first
+    begin = ends - sizes
+    return ids, np.repeat(first[:-1], sizes) + (np.arange(len(ids)) - np.repeat(begin, sizes)) // cell, first, begin
 
 
 def passages(ids: np.ndarray, cells: np.ndarray, first: np.ndarray, weight: np.ndarray):
@@ -126,9 +143,9 @@ def vectors(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, weight: np
     return x / np.repeat(norm, sizes)
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows (Hyyro 2004)."""
-    masks: dict[bytes, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -142,14 +159,14 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 def weights(docs: DataFrame, items: Items, cell: int, common: float) -> np.ndarray:
     """Inverse document frequencies over all cells; 0 for words that are too common and not among the rarest of an item."""
-    n = len(items.vocabulary)
+    n, hashed = len(items.vocabulary), items.hashed
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n + 1)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 200):
-                _, ids, cells, first = cells_of(texts[at : at + 200], items.vocabulary, cell)
+                ids, cells, first, _ = cells_of(texts[at : at + 200], hashed, cell)
                 total[n] += first[-1]
                 found = ids >= 0
                 packed = np.sort(cells[found] << 20 | ids[found])
@@ -167,12 +184,13 @@ def weights(docs: DataFrame, items: Items, cell: int, common: float) -> np.ndarr
 
 def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.ndarray, cell: int, rank: int, rounds: int = 2, extra: int = 8) -> np.ndarray:
     """The right singular vectors (words x rank) of the TF-IDF passages of all documents."""
+    hashed = items.hashed
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 500):
-                _, ids, cells, first = cells_of(texts[at : at + 500], items.vocabulary, cell)
+                ids, cells, first, _ = cells_of(texts[at : at + 500], hashed, cell)
                 _, sizes, words, counts = passages(ids, cells, first, weight)
                 if len(sizes):
                     yield pa.RecordBatch.from_pydict({"sizes": pa.array([sizes.astype(np.int16)], pa.list_(pa.int16())), "words": pa.array([words.astype(np.int32)], pa.list_(pa.int32())), "counts": pa.array([counts.astype(np.int16)], pa.list_(pa.int16()))})
@@ -206,11 +224,11 @@ def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.
 
 
 def decontaminate(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.001, rank: int = 64, cosine: float = 0.45, cover: float = 0.5,
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.001, rank: int = 64, cosine: float = 0.4,
     exact: float = 0.7, loose: float = 0.5, answer: float = 0.8, block_items: int = 2000, block_words: int = 200_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> its rows with item_ids, overlap and contaminated."""
-    docs = docs.drop("item_ids", "overlap", "contaminated")
+    docs = keep_apart(docs, ["item_ids", "overlap", "contaminated"])
     found = docs.withColumn("item_ids", F.array().cast("array<long>")).withColumn("overlap", F.lit(0.0))
     rows, blocks, words = [], [], 0
     for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
@@ -223,31 +241,24 @@ def decontaminate(
             words += size
     for block in [*blocks, rows]:
         if block:
-            found = search(spark, docs, found, Items(block), cell, common, rank, cosine, cover, exact, loose, answer)
+            found = search(spark, docs, found, Items(block), cell, common, rank, cosine, exact, loose, answer)
     return found.withColumn("contaminated", F.size("item_ids") > 0)
 
 
-def search(spark, docs, found, items: Items, cell, common, rank, cosine, cover, exact, loose, answer) -> DataFrame:
+def search(spark, docs, found, items: Items, cell, common, rank, cosine, exact, loose, answer) -> DataFrame:
     weight = weights(docs, items, cell, common)
     space = latent_space(spark, docs, items, weight, cell, rank).astype(np.float32)
     latent = np.zeros((len(items.ids), space.shape[1]), np.float32)
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, item, share of what fits
-    for i, w in enumerate(items.words):
+    for i in range(len(items.ids)):
         words, counts = np.unique(items.numbers[i], return_counts=True)
-        squares = weight[words] ** 2
-        if squares.any():
-            lists.append((words, np.full(len(words), i), squares / squares.sum() / min(1, 2 * cell / len(w))))
         latent[i] = ((1 + np.log(counts)) * weight[words]) @ space[words]
-    word, item, share = (np.concatenate(x) for x in zip(*lists, strict=True)) if lists else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    order = np.argsort(word, kind="stable")
-    postings = (np.searchsorted(word[order], np.arange(len(weight) + 1)), item[order], share[order])
     norm = np.linalg.norm(latent, axis=1)
     latent /= np.maximum(norm, 1e-12)[:, None]
-    shared = spark.sparkContext.broadcast((items.ids, items.words, items.answers, items.vocabulary, weight, space, latent, postings, item_runs(items)))
+    shared = spark.sparkContext.broadcast((items.ids, [x.tolist() for x in items.numbers], items.answers, items.hashed, weight, space, latent, item_runs(items)))
     names = found.columns
     at_text, at_ids, at_overlap = (names.index(x) for x in ("text", "item_ids", "overlap"))
 
-    def pairs_of(ids, cells, first, weight, space, latent, first_of, item_of, share_of) -> np.ndarray:
+    def pairs_of(ids, cells, first, weight, space, latent) -> np.ndarray:
         passage, sizes, words, counts = passages(ids, cells, first, weight)
         if not len(sizes):
             return np.zeros(0, np.int64)
@@ -259,32 +270,34 @@ def search(spark, docs, found, items: Items, cell, common, rank, cosine, cover,
             s, e = ends[a] - sizes[a], ends[b - 1]
             y[a:b] = np.add.reduceat(x[s:e, None] * space[words[s:e]], ends[a:b] - sizes[a:b] - s)
         y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
-        hit, item = np.nonzero(y @ latent.T >= cosine)
-        n = first_of[words + 1] - first_of[words]
-        at_list = np.repeat(first_of[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n) * len(latent) + item_of[at_list]
-        pair, which = np.unique(pair, return_inverse=True)
-        pair = pair[np.bincount(which, share_of[at_list], len(pair)) >= cover] if len(pair) else pair
-        pair = np.union1d(pair, hit * len(latent) + item)
-        return passage[pair // len(latent)] * len(latent) + pair % len(latent)
+        found = [np.zeros(0, np.int64)]
+        for a in range(0, len(y), 20_000):
+            hit, item = np.nonzero(y[a : a + 20_000] @ latent.T >= cosine)
+            found.append(passage[a + hit] * len(latent) + item)
+        return np.concatenate(found)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, item_words, answers, vocabulary, weight, space, latent, (first_of, item_of, share_of), runs = shared.value
+        item_ids, numbers, answers, hashed, weight, space, latent, runs = shared.value
+        counts = [Counter(x) for x in numbers]
         for batch in batches:
             texts = batch.column(at_text).to_pylist()
             ids_out, overlaps = batch.column(at_ids).to_pylist(), batch.column(at_overlap).to_pylist()
             for at in range(0, len(texts), 200):
-                split, ids, cells, first = cells_of(texts[at : at + 200], vocabulary, cell)
+                ids, cells, first, begin = cells_of(texts[at : at + 200], hashed, cell)
+                ends = np.append(begin[1:], len(ids))
                 place, item = places_of_runs(ids, runs)
-                pair = np.union1d(cells[place] * len(latent) + item, pairs_of(ids, cells, first, weight, space, latent, first_of, item_of, share_of))
+                pair = np.union1d(cells[place] * len(latent) + item, pairs_of(ids, cells, first, weight, space, latent))
                 hit, item = pair // len(latent), pair % len(latent)
                 doc = np.searchsorted(first, hit, "right") - 1
                 for d, i, c in zip(doc.tolist(), item.tolist(), hit.tolist(), strict=True):
-                    own, w = item_words[i], split[d]
                     if item_ids[i] in ids_out[at + d]:
                         continue
-                    start = (c - int(first[d])) * cell
-                    around = w[max(0, start - len(own)) : start + 2 * cell + len(own)]
+                    own, held = numbers[i], counts[i]
+                    start = int(begin[d]) + (c - int(first[d])) * cell
+                    around = ids[max(int(begin[d]), start - len(own)) : min(start + 2 * cell + len(own), int(ends[d]))].tolist()
+                    around = [w for w in around if w in held]
+                    if sum(map(held.__getitem__, set(around))) < loose * len(own):  # the common subsequence has no more words
+                        continue
                     share = common_subsequence(own, around) / len(own)
                     if share < loose:
                         continue
