@@ -224,7 +224,7 @@ def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.
 
 
 def decontaminate(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.001, rank: int = 64, cosine: float = 0.4,
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cell: int = 24, common: float = 0.001, rank: int = 96, cosine: float = 0.45,
     exact: float = 0.7, loose: float = 0.5, answer: float = 0.8, block_items: int = 2000, block_words: int = 200_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> its rows with item_ids, overlap and contaminated."""
