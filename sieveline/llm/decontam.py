@@ -143,6 +143,24 @@ def vectors(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, weight: np
     return x / np.repeat(norm, sizes)
 
 
+def weighted_sums(x: np.ndarray, rows: np.ndarray, table: np.ndarray, sizes: np.ndarray, depth: int = 16) -> np.ndarray:
+    """Sums of x[k] * table[rows[k]] over consecutive segments: place by place over all segments, and what is behind ``depth`` by segment."""
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    total = np.zeros((len(sizes), table.shape[1]), table.dtype)
+    for k in range(min(depth, int(sizes[0])) if len(sizes) else 0):
+        n = np.searchsorted(-sizes, -k)  # segments with more than k places
+        at = starts[:n] + k
+        total[:n] += x[at, None] * table[rows[at]]
+    for i in range(np.searchsorted(-sizes, -depth)):
+        rest = slice(starts[i] + depth, starts[i] + sizes[i])
+        total[i] += x[rest] @ table[rows[rest]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel rows (Hyyro 2004)."""
     masks: dict = {}
@@ -206,11 +224,11 @@ def latent_space(spark: SparkSession, docs: DataFrame, items: Items, weight: np.
             for batch in batches:
                 for sizes, words, counts in zip(*batch.columns, strict=True):
                     sizes, words, counts = (x.values.to_numpy().astype(np.int64) for x in (sizes, words, counts))
-                    x = vectors(sizes, words, counts, weight).astype(np.float32)[:, None]
-                    y = np.repeat(np.add.reduceat(x * q[words], np.cumsum(sizes) - sizes), sizes, axis=0)
+                    x = vectors(sizes, words, counts, weight).astype(np.float32)
+                    y = weighted_sums(x, words, q, sizes)
                     order = np.argsort(words, kind="stable")
-                    starts, _ = grouped_runs(words[order])
-                    total[words[order][starts]] += np.add.reduceat((x * y)[order], starts)
+                    starts, runs = grouped_runs(words[order])
+                    total[words[order][starts]] += weighted_sums(x[order], np.repeat(np.arange(len(sizes)), sizes)[order], y, runs)
             for at in range(0, n, 512):
                 yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int64()), "n": pa.array([total[at : at + 512].ravel()], pa.list_(pa.float64()))})
 
@@ -268,7 +286,7 @@ def search(spark, docs, found, items: Items, cell, common, rank, cosine, exact,
         for a in range(0, len(sizes), 20_000):
             b = min(a + 20_000, len(sizes))
             s, e = ends[a] - sizes[a], ends[b - 1]
-            y[a:b] = np.add.reduceat(x[s:e, None] * space[words[s:e]], ends[a:b] - sizes[a:b] - s)
+            y[a:b] = weighted_sums(x[s:e], words[s:e], space, sizes[a:b])
         y /= np.maximum(np.linalg.norm(y, axis=1), 1e-12)[:, None]
         found = [np.zeros(0, np.int64)]
         for a in range(0, len(y), 20_000):

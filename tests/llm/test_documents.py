@@ -5,6 +5,7 @@ import hashlib
 import math
 import zlib
 
+import numpy as np
 import pytest
 
 from sieveline.llm import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, suffix_dedup
@@ -343,6 +344,18 @@ def test_contamination(docs, rows, spark):
     assert 0 in found[100_000]["item_ids"] and 1 in found[100_001]["item_ids"]
 
 
+def test_weighted_sums_are_the_products_of_sparse_and_dense_rows():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 40, 2, 16, 17, 1, 3])
+    rows, x, dense = rng.integers(0, 9, sizes.sum()), rng.random(sizes.sum()), rng.random((9, 5))
+    ends = np.cumsum(sizes)
+    for depth in (1, 2, 16, 50):
+        found = decontam.weighted_sums(x, rows, dense, sizes, depth)
+        for y, a, b in zip(found, ends - sizes, ends, strict=True):
+            assert np.allclose(y, x[a:b] @ dense[rows[a:b]])
+    assert decontam.weighted_sums(x[:0], rows[:0], dense, sizes[:0]).shape == (0, 5)
+
+
 def test_empty_tables(spark, empty):
     benchmark = spark.createDataFrame([(1, "some words to look for")], "item_id long, text string")
     for df in (minhash_dedup.near_duplicates(spark, empty), line_dedup.deduplicate(spark, empty), suffix_dedup.deduplicate(spark, empty), pitman_yor.scores(spark, empty, ~pitman_yor.held_out()),
