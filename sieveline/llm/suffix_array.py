@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heapreplace
+
 import numpy as np
 
 
@@ -83,49 +85,65 @@ def induce(t: np.ndarray, s: np.ndarray, sigma: int, seeds: np.ndarray) -> np.nd
     return np.concatenate([x for c in range(sigma) for x in (*large[c], *small[c])])
 
 
-def induce_ranges(t: np.ndarray, s: np.ndarray, sigma: int, seeds: np.ndarray) -> np.ndarray:
-    """``induce`` for strings of many symbols, whose buckets are small: ranges of the suffix array are scanned at once.
+def in_turn(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by symbol, the symbols in it, starts of their runs, and ranks within these."""
+    packed = np.sort(symbols.astype(np.int64) << 32 | np.arange(len(symbols)))
+    by, symbols = packed & 0xFFFFFFFF, packed >> 32
+    first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
+    return by, symbols, first, np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+
 
-    A range ends before the first place that one of its own entries fills, so what is scanned is always known.
+def scan(order: np.ndarray, t: np.ndarray, wanted: np.ndarray, free: np.ndarray, width: int) -> None:
+    """Scans the order in blocks from left to right: the wanted positions before its entries go to the next free places of their
+    symbols, which are further right.
+
+    What goes to symbols that have free places in the block itself is done one by one, in turn with the entries that arise from it;
+    it is little as long as a block is a small part of the order.  The block's other entries are done at once.
     """
     n = len(t)
-    sizes = np.bincount(t, minlength=sigma)
-    ends = np.cumsum(sizes)
-    order = np.full(n, -1, np.int32)
+    for done in range(0, n, width):
+        limit = min(done + width, n)
+        near = int(np.searchsorted(free, limit))  # symbols below have free places in the block, or are full
+        p = order[done:limit]
+        at = np.flatnonzero(p > 0)
+        q = p[at] - 1
+        some = wanted[q]
+        at, q = at[some], q[some]
+        some = t[q] < near
+        if some.any():
+            queue = list(zip((at[some] + done).tolist(), q[some].tolist(), strict=True))  # sorted, and so a heap
+            while queue:
+                _, i = queue[0]
+                symbol = t[i]
+                place = int(free[symbol])
+                free[symbol] = place + 1
+                order[place] = i
+                if place < limit and i and wanted[i - 1] and t[i - 1] < near:
+                    heapreplace(queue, (place, i - 1))
+                else:
+                    heappop(queue)
+            p = order[done:limit]
+            q = p[p > 0] - 1
+            q = q[wanted[q]]
+            q = q[t[q] >= near]
+        if len(q):
+            by, symbols, first, rank = in_turn(t[q])
+            order[free[symbols] + rank] = q[by]
+            free[symbols[first]] += np.diff(np.append(first, len(by)))
 
-    def in_turn(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A stable order by symbol, the symbols in it, starts of their runs, and ranks within these."""
-        packed = np.sort(symbols.astype(np.int64) << 32 | np.arange(len(symbols)))
-        by, symbols = packed & 0xFFFFFFFF, packed >> 32
-        first = np.flatnonzero(np.concatenate(([True], symbols[1:] != symbols[:-1])))
-        return by, symbols, first, np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
 
+def induce_ranges(t: np.ndarray, s: np.ndarray, sigma: int, seeds: np.ndarray, width: int = 1 << 12) -> np.ndarray:
+    """``induce`` for strings of many symbols, whose buckets are small: blocks of the suffix array are scanned at once."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t, minlength=sigma))
+    order = np.full(n, -1, np.int32)
     by, symbols, _, rank = in_turn(t[seeds])
     places = ends[symbols] - np.bincount(symbols, minlength=sigma)[symbols] + rank
     order[places] = seeds[by]
-    for forward in (True, False):
-        if not forward:  # seeds are induced anew, but for the sentinel
-            order[places] = -1
-            order[0] = n - 1
-        free = ends - sizes if forward else ends.copy()
-        done, width = 0, 1024
-        while done < n:
-            width = min(width, n - done)
-            p = order[done : done + width] if forward else order[n - done - width : n - done][::-1]
-            at = np.flatnonzero(p > 0)
-            q = p[at] - 1
-            wanted = s[q] != forward
-            at, q = at[wanted], q[wanted]
-            if not len(q):
-                done, width = done + width, min(2 * width, 1 << 16)
-                continue
-            by, symbols, first, rank = in_turn(t[q])
-            place = free[symbols] + (rank if forward else -1 - rank)
-            near = int(place.min()) - done if forward else n - done - 1 - int(place.max())  # of the scan, where the first one lands
-            known = at[by] < near
-            order[place[known]] = q[by][known]
-            free[symbols[first]] += np.add.reduceat(known, first, dtype=np.int64) * (1 if forward else -1)
-            done, width = done + min(near, width), min(2 * width, 1 << 16) if near >= width else max(256, 2 * near)
+    scan(order, t, ~s, np.append(0, ends[:-1]), width)
+    order[places] = -1  # seeds are induced anew, but for the sentinel
+    order[0] = n - 1
+    scan(order[::-1], sigma - 1 - t, s, n - ends[::-1], width)  # from right to left is from left to right in the mirror
     return order
 
 

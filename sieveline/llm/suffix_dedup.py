@@ -5,10 +5,12 @@ cover are removed.  Texts are UTF-8 bytes; matches never cross documents.
 
 1. Equal texts are merged: only the smallest doc_id's goes on, all of a later copy is covered (if it has ``length`` bytes).
 2. The minimiser of a window of ``length`` bytes is its ``anchor``-byte string of least hash, the leftmost of equals; equal
-   windows have equal minimisers.  Minimisers, packed in arrays by task and bucket, are counted; only those
-   in two documents or more can have a repeated window.
-3. A run of windows with one such minimiser is cut out and sent to the shard of that minimiser, so that all equal windows meet
-   in one shard.  Equal cuts are merged there.
+   windows have equal minimisers at equal places.  A window thus also has half of what may stand beside its minimiser: the bytes
+   before it if it lies in the window's second half, those after it if in the first.  Minimisers with these bytes, packed in arrays
+   by task and bucket, are counted; only those in two documents or more can have a repeated window.
+3. A run of windows with one minimiser, as far as they have bytes that are repeated with it, is cut out and sent to the shard of
+   the minimiser, so that all equal windows meet in one shard.  Equal cuts are merged there.  What a task has for a shard goes in
+   few rows.
 4. A shard's cuts are joined into one string, its suffix array is built by induced sorting (suffix_array.py), and the permuted common
    prefixes give the groups of windows that are equal.  A window goes if its group's smallest doc_id is smaller
    than its own.
@@ -32,6 +34,7 @@ from .common import Scratch, binary_list, grouped_runs, mix64
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 PIECE = 3_000_000
+HELD = 32_000_000  # bytes of cuts that a task deals out at once
 
 
 def pieces(doc_ids: list[int], texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]:
@@ -60,8 +63,9 @@ def pieces(doc_ids: list[int], texts: list[bytes], length: int) -> Iterator[tupl
         yield made()
 
 
-def cuts(buffer: bytes, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: text, first window (in the buffer), number of windows, minimiser's hash."""
+def cuts(buffer: bytes, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimiser on one side: text, first window (in the buffer), number of windows, the minimiser's hash,
+    and the hash of the minimiser with what all these windows have before it (or after it, if it lies in their first half)."""
     n = len(buffer)
     words = np.ndarray((n - 7,), "<u8", buffer, strides=(1,))
     m = n - anchor + 1
@@ -79,15 +83,22 @@ def cuts(buffer: bytes, ends: np.ndarray, length: int, anchor: int) -> tuple[np.
     if wide > width:
         least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
     at = (least & np.uint64((1 << 23) - 1)).astype(np.int32)  # the minimiser of each of n - length + 1 windows
+    side = wide // 2
+    late = at - np.arange(len(at), dtype=np.int32) >= side
     ok = np.ones(n - length + 1, bool)
     for k in range(1, length):
         crossing = ends[:-1] - k
         ok[crossing[(crossing >= 0) & (crossing < len(ok))]] = False
     new = np.ones(len(ok), bool)
-    new[1:] = (at[1:] != at[:-1]) | ~ok[:-1]
+    new[1:] = (at[1:] != at[:-1]) | (late[1:] != late[:-1]) | ~ok[:-1]
     starts = np.flatnonzero(new & ok)
     stops = np.flatnonzero(np.append((new | ~ok)[1:], True) & ok) + 1
-    return np.searchsorted(ends, starts, "right"), starts, stops - starts, mix64(h[at[starts]])
+    late, at = late[starts], at[starts]
+    key, first = late.astype(np.uint64), np.where(late, at - side, at)
+    for k in [*range(0, anchor + side - 7, 8), anchor + side - 8]:
+        key = (key ^ words[first + k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return np.searchsorted(ends, starts, "right"), starts, stops - starts, mix64(h[at]), mix64(key)
 
 
 def packed(columns: dict[str, list]) -> pa.RecordBatch:
@@ -99,7 +110,7 @@ def column(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
 
 
 def anchors(texts: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame:
-    """(batch, bucket, doc, n, h): minimisers of a buffer's texts that fall in a bucket; n of each doc, in its order."""
+    """(batch, bucket, doc, n, h): keys (of ``cuts``) of a buffer's texts that fall in a bucket; n of each doc, in its order."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,7 +118,7 @@ def anchors(texts: DataFrame, length: int, anchor: int, buckets: int) -> DataFra
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for ids, _, ends, buffer in pieces(batch.column(0).to_pylist(), binary_list(batch.column(1)), length):
-                text, _, _, h = cuts(buffer, ends, length, anchor)
+                text, _, _, _, h = cuts(buffer, ends, length, anchor)
                 bucket = (h % np.uint64(buckets)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
                 text, h, bucket = text[order], (h[order] >> np.uint64(32)).astype(np.uint32), bucket[order]
@@ -127,7 +138,7 @@ def anchors(texts: DataFrame, length: int, anchor: int, buckets: int) -> DataFra
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """rows as of ``anchors``, all of a bucket in one task -> (batch, bucket, doc, n, h) of the minimisers in two texts or more."""
+    """rows as of ``anchors``, all of a bucket in one task -> (batch, bucket, doc, n, h) of the keys in two texts or more."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list] = {}
@@ -159,7 +170,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def by_document(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows of all buckets of a batch, in one task -> (id, shared): a document's repeated minimisers as bucket and hash."""
+    """Rows of all buckets of a batch, in one task -> (id, shared): a document's repeated keys as bucket and hash."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, list] = {}
@@ -179,15 +190,32 @@ def by_document(rows: DataFrame, buckets: int) -> DataFrame:
 def cut_out(texts: DataFrame, length: int, anchor: int, buckets: int, shards: int) -> DataFrame:
     """texts (doc_id, text, shared) -> (shard, doc, start, n, bytes): the cuts around repeated minimisers, packed by shard."""
 
+    def gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    def dealt(held: list[tuple]) -> pa.RecordBatch:
+        shard, doc, start, n, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+        size = n + length - 1
+        order = np.argsort(shard, kind="stable")
+        doc, start, n, size, at = doc[order], start[order], n[order], size[order], (np.cumsum(size) - size)[order]
+        runs, sizes = grouped_runs(shard[order])
+        out: dict[str, list] = {"shard": shard[order[runs]].tolist(), "doc": [], "start": [], "n": [], "bytes": []}
+        for s, z in zip(runs.tolist(), sizes.tolist(), strict=True):
+            row = (doc[s : s + z], start[s : s + z], n[s : s + z].astype(np.uint32), gathered(raw, at[s : s + z], size[s : s + z]))
+            for name, value in zip(("doc", "start", "n", "bytes"), row, strict=True):
+                out[name].append(value.tobytes())
+        return packed(out)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for batch in batches:
             doc_ids, contents, keys = batch.column(0).to_pylist(), binary_list(batch.column(1)), column(batch, "shared", np.uint64)
             own: dict[int, np.ndarray] = {}
             for d, k in zip(doc_ids, keys, strict=True):
                 own[d] = np.union1d(own[d], k) if d in own else k
             for ids, offsets, ends, buffer in pieces(doc_ids, contents, length):
-                text, start, n, h = cuts(buffer, ends, length, anchor)
-                key = (h % np.uint64(buckets)) << np.uint64(32) | h >> np.uint64(32)
+                text, start, n, h, key = cuts(buffer, ends, length, anchor)
+                key = (key % np.uint64(buckets)) << np.uint64(32) | key >> np.uint64(32)
                 keep = np.zeros(len(h), bool)
                 at, sizes = grouped_runs(text)
                 for a, z in zip(at.tolist(), sizes.tolist(), strict=True):
@@ -195,22 +223,19 @@ def cut_out(texts: DataFrame, length: int, anchor: int, buckets: int, shards: in
                     if len(known):
                         keep[a : a + z] = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
                 text, start, n, h = text[keep], start[keep], n[keep], h[keep]
-                shard = (mix64(h) % np.uint64(shards)).astype(np.uint32)
-                order = np.argsort(shard, kind="stable")
-                text, start, n, shard = text[order], start[order], n[order], shard[order]
-                raw = np.frombuffer(buffer, np.uint8)
+                if not len(text):
+                    continue
+                # Both sides of a minimiser are one cut.
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (start[1:] != start[:-1] + n[:-1]) | (text[1:] != text[:-1]))))
+                text, start, n, h = text[new], start[new], np.add.reduceat(n, new), h[new]
                 first = ends[text] - np.diff(ends, prepend=0)[text]
-                runs, sizes = grouped_runs(shard)
-                out: dict[str, list] = {"shard": [], "doc": [], "start": [], "n": [], "bytes": []}
-                for s, z in zip(runs.tolist(), sizes.tolist(), strict=True):
-                    b, w = start[s : s + z], n[s : s + z]
-                    size = w + length - 1
-                    index = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    row = (int(shard[s]), ids[text[s : s + z]].tobytes(), (b - first[s : s + z] + offsets[text[s : s + z]]).astype(np.int64).tobytes(), w.astype(np.uint32).tobytes(), raw[index].tobytes())
-                    for name, value in zip(out, row, strict=True):
-                        out[name].append(value)
-                if out["shard"]:
-                    yield packed(out)
+                held.append(((mix64(h) % np.uint64(shards)).astype(np.uint32), ids[text], start - first + offsets[text], n, gathered(np.frombuffer(buffer, np.uint8), start, n + length - 1)))
+                total += len(held[-1][-1])
+                if total >= HELD:
+                    yield dealt(held)
+                    held, total = [], 0
+        if held:
+            yield dealt(held)
 
     return texts.mapInArrow(make, "shard long, doc binary, start binary, n binary, bytes binary")
 
@@ -360,7 +385,7 @@ def repeated_spans(spark: SparkSession, scratch: Scratch, docs: DataFrame, lengt
     found = scratch.save(repeated(anchors(texts, length, anchor, buckets := 4 * n).repartition(n, "bucket")), "repeated")
     shared = scratch.save(by_document(found.repartition(n, "batch"), buckets), "shared")
     total = shared.agg(F.sum(F.octet_length("shared") / 8)).first()[0] or 0
-    shards = max(n, int(total * 1.5 * length / shard_bytes) + 1)
+    shards = max(n, int(total * length / shard_bytes) + 1)
     merged = shared.groupBy("id").agg(F.expr("collect_list(shared)").alias("x")).select("id", F.expr("aggregate(x, X'', (a, b) -> concat(a, b))").alias("shared"))
     joined = texts.join(merged, texts["doc_id"] == merged["id"]).select("doc_id", "text", "shared")
     cut = cut_out(with_sorted(joined), length, anchor, buckets, shards)

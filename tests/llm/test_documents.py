@@ -139,6 +139,27 @@ def test_repeated_bytes(docs, rows, spark):
     assert {i: tuple(r)[1:] for i, r in by_id(found).items()} == want
 
 
+def test_cuts_are_few_and_dealt_in_few_rows(spark, monkeypatch):
+    """Strings far shorter than what is looked for cause no cuts, and a task's rows do not grow with its texts times the shards."""
+    import random
+
+    r = random.Random(4)
+    plain = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    shared = [plain(24) for _ in range(40)]
+
+    def cut(rows):
+        texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        found = suffix_dedup.by_document(suffix_dedup.repeated(suffix_dedup.anchors(texts, 50, 16, 8).coalesce(1)), 8)
+        joined = texts.join(found, texts["doc_id"] == found["id"]).select("doc_id", "text", "shared").coalesce(1)
+        return suffix_dedup.cut_out(joined, 50, 16, 8, 5).collect()
+
+    assert cut([(i, plain(40).join(shared)) for i in range(4)]) == []
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    passages = [plain(120) for _ in range(30)]
+    rows = cut([(i, plain(40).join(r.sample(passages, 10))) for i in range(20)])
+    assert len({x["shard"] for x in rows}) == len(rows) <= 5 and sum(len(x["bytes"]) for x in rows) > 20 * 10 * 120
+
+
 def test_packing_round_trip(docs, rows, spark):
     import numpy as np
     from tokenizers import Tokenizer
