@@ -7,10 +7,11 @@ each table is a customer of w in the parent.
 
 Fitting: pairs (context, word) are counted per task, then by word; frequent words (at least 1 / ``heavy`` of all tokens, so at most
 about 4 / 3 of ``heavy``) are dealt out by pair.  A dish with one customer has one table.  All others are seated by Gibbs sampling: each
-sweep takes ``seats`` customers of each dish, drawn at random, from their seats one at a time and seats them anew given all other
-customers (of the dish as they sit now; of other dishes, contexts' and the parent's totals are those of the sweep before, since all
-words are worked on at once).  The parent's dishes are kept up with their customers and reseated in the same way.  The first
-seating is sequential.  After ``burn_in`` sweeps, tables and parent probabilities are averaged over ``samples`` further ones.
+sweep takes all customers of each dish from their seats and seats them anew given everyone else (of other dishes, contexts' and the
+parent's totals are those of the sweep before, since all words are worked on at once).  Only numbers of tables matter to anybody else, so
+these are drawn with the sizes summed out: P(t) is in proportion to the generalised Stirling number S(c, t) times the weights of t - 1 new
+tables; S comes from its recurrence up to 1,024 customers, and by contour integration beyond.  The parent's dishes are seated in the same
+way.  After ``burn_in`` sweeps, tables and parent probabilities are averaged over ``samples`` further ones.
 Discounts come from the counts of counts, n1 / (n1 + 2 n2); strengths are 1.
 
 Predictions: P(w | u) = (c - d t) / (theta + c_u) + (theta + d t_u) / (theta + c_u) * P(w), with averages for t, t_u and P(w); they sum
@@ -36,12 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import bucket_rows, in_buckets, packed, runs, unpacked
-from .common import Scratch, binary_list, hashed_words, mix64
+from .common import Scratch, binary_list, hashed_words, mix64, worker_cache
 
 END = np.uint64(0x9D39247E33776D41)  # stands for the end as a word, and for the start as a context
 THETA = 1.0
 KINDS = {
-    "word": "<u8", "ones": "<i4", "own": "<i4", "root": "<i4", "root_tables": "<i4", "p0": "<f8", "row": "<i4", "context": "<u8", "count": "<i4", "tables": "<i4", "seated": "<i4", "mean": "<f4",
+    "word": "<u8", "ones": "<i4", "own": "<i4", "root": "<i4", "p0": "<f8", "row": "<i4", "context": "<u8", "count": "<i4", "tables": "<i4", "mean": "<f4",
     "asked": "<u8", "sum": "<f8", "new": "<f8", "total": "<f8", "frequent": "<i4", "frequent_sum": "<i8", "doc": "<i4", "w": "<u8", "u": "<u8", "known": "<i4", "base": "<f8", "score": "<f8", "lp": "<f4", "pair": "<u8", "often": "<u8", "often_lp": "<f4", "often_base": "<f8",
     "w_low": "<u4", "w_high": "<u1", "u_high": "<u4", "chunks": "<i8", "tokens": "<i8", "doc_id": "<i8", "no_id": "?", "held": "?",
 }
@@ -266,6 +267,135 @@ def reseat(count: np.ndarray, tables: np.ndarray, sizes: np.ndarray, fresh: np.n
     return out_tables, value[np.argsort(owner, kind="stable")]
 
 
+SMALL = 1024  # customers up to which a dish's distribution is read from a table
+
+
+def stirling_table(d: float) -> np.ndarray:
+    """log S(c, t) of the generalised Stirling numbers, at [c, t - 1]."""
+    kept = worker_cache()
+    if d not in kept.setdefault("stirling", {}):
+        while len(kept["stirling"]) > 1:  # one for the contexts, one for the parent
+            kept["stirling"].pop(next(iter(kept["stirling"])))
+        table = np.full((SMALL + 1, SMALL), -np.inf)
+        table[1, 0] = 0
+        for c in range(2, SMALL + 1):
+            table[c, :c] = np.logaddexp(np.append(-np.inf, table[c - 1, : c - 1]), np.append(np.log(c - 1 - d * np.arange(1, c)) + table[c - 1, : c - 1], -np.inf))
+        kept["stirling"][d] = table
+    return kept["stirling"][d]
+
+
+def saddle(u: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log g, -(log g)' and -(log g)'' at u, where g = 1 - (1 - exp(-u)) ** d."""
+    z = -np.expm1(-u)
+    g = -np.expm1(d * np.log(z))
+    a = d * z ** (d - 1) * np.exp(-u) / g
+    return np.log(g), a, a * ((d - 1) * np.exp(-u) / z - 1 + a)
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) without what depends on c alone, for large c.
+
+    S(c, t) is c! / (t! d ** t) times the coefficient of x ** c in (1 - (1 - x) ** d) ** t, which is an integral along a hyperbola
+    in u = -log x, through the saddle point or 1 / c if that is larger, here by the trapezoidal rule.
+    """
+    low, high = -np.log(c), np.full(len(c), np.log(40.0))
+    for _ in range(40):
+        middle = (low + high) / 2
+        below = t * saddle(np.exp(middle), d)[1] > c
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    sigma = np.exp(low)
+    lg, _, second = saddle(sigma, d)
+    scale = np.minimum(1, 1 / (sigma * np.sqrt(np.maximum(-t * second, 1e-300))))
+    integral, bend = np.empty(len(c)), 0.4
+    for some, nodes in ((scale > 0.3, 65), (scale <= 0.3, 22)):  # few tables need more, as most of the integral cancels out
+        step = np.minimum(7 * scale[some], 5.5) / (nodes - 1)
+        theta = np.arange(nodes) * step[:, None]
+        of = (sigma[some] / (1 - np.sin(bend)))[:, None]
+        u = of * (1 - np.sin(bend) * np.cosh(theta) + 1j * np.cos(bend) * np.sinh(theta))
+        du = of * (-np.sin(bend) * np.sinh(theta) + 1j * np.cos(bend) * np.cosh(theta))
+        e = t[some, None] * (np.log(1 - (1 - np.exp(-u)) ** d) - lg[some, None]) + c[some, None] * (u - sigma[some, None])
+        f = np.where(e.real > -700, np.exp(np.where(e.real > -700, e, 0)) * du, 0).imag
+        integral[some] = (f.sum(axis=1) - f[:, 0] / 2) * step
+    x = t + 9  # log t! by Stirling's series
+    factorial = (x - 0.5) * np.log(x) - x + 1 / (12 * x) - 1 / (360 * x**3) - np.log(t[:, None] + np.arange(1, 9)).sum(axis=1)
+    return np.log(np.maximum(integral, 1e-300)) + t * lg + c * sigma - factorial - t * np.log(d)
+
+
+def of_large(c: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with many customers, drawn from where they have their mass."""
+    low, high = np.full(len(c), -80.0), np.full(len(c), np.log(40.0))
+    for _ in range(60):  # the mode, by the saddle point
+        middle = (low + high) / 2
+        lg, a, _ = saddle(np.exp(middle), d)
+        t = c / a
+        below = np.log(fresh + more * t) + lg - np.log(d) - np.log(t + 0.5) > 0
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    center = np.clip(np.rint(t), 1, c - 1)
+    half = np.maximum(16, np.ceil(6 * np.sqrt(center)))
+    for narrow in (False, True):
+        at = np.linspace(-1, 1, 33 if narrow else 17)
+        nodes = center[:, None] + half[:, None] * at
+        inside = (nodes >= 1) & (nodes <= c[:, None] - 1)
+        x = np.clip(nodes, 1, c[:, None] - 1)
+        # log of prod(fresh + more k, 0 < k < t), by the Gamma function's series where it is smooth
+        k = (fresh / more)[:, None]
+        weight = x * np.log(more)[:, None] + log_gamma(k + x)
+        f = np.full(x.shape, -np.inf)
+        f[inside] = log_stirling(np.broadcast_to(c[:, None], x.shape)[inside], x[inside], d) + weight[inside]
+        p = np.exp(f - f.max(axis=1, keepdims=True))
+        if not narrow:
+            p /= p.sum(axis=1, keepdims=True)
+            mean = (p * x).sum(axis=1)
+            deviation = np.sqrt(np.maximum((p * (x - mean[:, None]) ** 2).sum(axis=1), half**2 / 256))
+            center, half = np.clip(np.rint(mean), 1, c - 1), np.maximum(16, np.ceil(6 * deviation))
+    out = np.empty(len(c), np.int64)
+    some = half == 16  # nodes are whole numbers
+    cum = np.cumsum(p[some], axis=1)
+    out[some] = nodes[some][np.arange(len(cum)), np.minimum((cum <= (random.random(len(cum)) * cum[:, -1])[:, None]).sum(axis=1), 32)]
+    some = np.flatnonzero(~some)
+    if len(some):
+        # Between nodes: a parabola and what is left of it, which is close to linear.
+        fine = np.linspace(0, 32, 513)
+        left = np.minimum(fine.astype(np.int64), 31)
+        part = fine - left
+        parabola = lambda y: -18 * y**2  # noqa: E731  six deviations on each side
+        rest = np.where(np.isfinite(f[some]), f[some] - f[some].max(axis=1, keepdims=True) - parabola(at), -np.inf)
+        with np.errstate(invalid="ignore"):
+            between = np.where(part > 0, rest[:, left] * (1 - part) + rest[:, left + 1] * part, rest[:, left])
+        cum = np.cumsum(np.exp(np.nan_to_num(between, nan=-np.inf) + parabola(fine / 16 - 1)), axis=1)
+        j = (cum <= (random.random(len(some)) * cum[:, -1])[:, None]).sum(axis=1)
+        out[some] = np.rint(center[some] + half[some] * ((j + random.random(len(some)) - 0.5) / 256 - 1))
+    return np.clip(out, 1, c.astype(np.int64))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - sum(np.log(x + k) for k in range(8))
+
+
+def seated_anew(count: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
+    """New numbers of tables of dishes all of whose customers are seated anew, given everything else.
+
+    This is what ``reseat`` comes to after many sweeps: P(t) is in proportion to S(c, t) times the product of fresh + more * k, 0 < k < t.
+    """
+    out = np.ones(len(count), np.int64)
+    kind = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
+    table = stirling_table(d)
+    for k in np.unique(kind[(count > 1) & (count <= SMALL)]):
+        those = np.flatnonzero((kind == k) & (count > 1))
+        w = 1 << int(k)
+        for rows in np.array_split(those, max(1, (len(those) << int(k)) // 100_000)):
+            f = table[count[rows], :w]
+            f[:, 1:] += np.cumsum(np.log(fresh[rows][:, None] + more[rows][:, None] * np.arange(1, w)), axis=1)
+            cum = np.cumsum(np.exp(f - f.max(axis=1, keepdims=True)), axis=1)
+            out[rows] = 1 + (cum <= (random.random(len(rows)) * cum[:, -1])[:, None]).sum(axis=1)
+    large = np.flatnonzero(count > SMALL)
+    for rows in np.array_split(large, len(large) // 100 + 1):
+        if len(rows):
+            out[rows] = of_large(count[rows].astype(float), fresh[rows], more[rows], d, random)
+    return out
+
+
 @dataclass
 class Parent:
     """The parent restaurant: totals, and the seating of frequent words."""
@@ -275,9 +405,8 @@ class Parent:
     vocabulary: int
     customers: float
     tables: float
-    count: np.ndarray  # of frequent words: customers, tables and their sizes, and sums of probabilities over samples
+    count: np.ndarray  # of frequent words: customers, tables, and sums of probabilities over samples
     seated: np.ndarray
-    sizes: np.ndarray
     p: np.ndarray
     samples: int = 0
     unseen_sum: float = 0.0
@@ -293,7 +422,7 @@ class Parent:
         return self.fresh() / (THETA + self.customers)
 
 
-STATE = "bucket long, kind int, part long, word binary, ones binary, own binary, root binary, root_tables binary, p0 binary, row binary, context binary, count binary, tables binary, seated binary, mean binary, frequent binary, frequent_sum binary, asked binary, new binary, total binary, s_customers double, s_tables double"
+STATE = "bucket long, kind int, part long, word binary, ones binary, own binary, root binary, p0 binary, row binary, context binary, count binary, tables binary, mean binary, frequent binary, frequent_sum binary, asked binary, new binary, total binary, s_customers double, s_tables double"
 NAMES = [x.split()[0] for x in STATE.split(", ")]
 
 
@@ -323,8 +452,7 @@ def first_state(counts: DataFrame, bins: Bins, d: float, d0: float) -> DataFrame
                 root = sequential(kept, np.full(len(kept), 0.01), np.zeros(len(kept)), d0, random)
                 other = np.flatnonzero(~own)
                 yield pack([state_row(
-                    x["bucket"], word=x["w"][first], ones=ones, own=own, root=root, root_tables=spread(kept, root, d0, random), p0=np.zeros(len(kept)), row=row[many], context=x["u"][many], count=count, tables=tables,
-                    seated=spread(count, tables, d, random), mean=np.zeros(len(count)), frequent=place(bins.frequent, x["w"][first][other]), frequent_sum=customers[other], s_customers=float(customers.sum()), s_tables=float(root.sum()))], STATE)
+                    x["bucket"], word=x["w"][first], ones=ones, own=own, root=root, p0=np.zeros(len(kept)), row=row[many], context=x["u"][many], count=count, tables=tables, mean=np.zeros(len(count)), frequent=place(bins.frequent, x["w"][first][other]), frequent_sum=customers[other], s_customers=float(customers.sum()), s_tables=float(root.sum()))], STATE)
 
     return counts.mapInArrow(make, STATE)
 
@@ -395,7 +523,7 @@ def joined(rows: list[dict], name: str) -> np.ndarray:
     return np.concatenate([r[name] for r in rows[1:]]) if len(rows) > 1 else np.zeros(0)
 
 
-def swept(rows: DataFrame, parent: Parent, seats: int, k: int, sample: bool, samples: int) -> DataFrame:
+def swept(rows: DataFrame, parent: Parent, k: int, sample: bool, samples: int) -> DataFrame:
     """One Gibbs sweep over all buckets."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in bucket_rows(batches, NAMES, KINDS):
@@ -410,15 +538,15 @@ def swept(rows: DataFrame, parent: Parent, seats: int, k: int, sample: bool, sam
             _, at = np.unique(x["context"], return_inverse=True)
             base, new = p[row], joined(found, "new")[at] if len(count) else np.zeros(0)
             fresh, more = np.maximum(new - parent.d * tables, THETA) * base, parent.d * base
-            tables, seated = reseat(count, tables, x["seated"].astype(np.int64), fresh, more, parent.d, seats, random)
+            tables = seated_anew(count, fresh, more, parent.d, random)
             mine = x["ones"] + np.bincount(row, tables, n).astype(np.int64)
             kept = mine[own]
             flat = np.full(len(kept), parent.fresh())
-            root, sizes = reseat(kept, x["root"].astype(np.int64), x["root_tables"].astype(np.int64), flat, np.full(len(kept), parent.d0 / (parent.vocabulary + 1)), parent.d0, seats, random)
+            root = seated_anew(kept, flat, np.full(len(kept), parent.d0 / (parent.vocabulary + 1)), parent.d0, random)
             p0, mean = x["p0"], x["mean"]
             if sample:
                 p0, mean = p0 + parent.probability(kept, root) / samples, mean + tables / samples
-            yield pack([{**x, "root": root, "root_tables": sizes, "tables": tables, "seated": seated, "p0": p0, "mean": mean, "frequent_sum": mine[~own], "s_customers": float(mine.sum()), "s_tables": float(root.sum())}], STATE)
+            yield pack([{**x, "root": root, "tables": tables, "p0": p0, "mean": mean, "frequent_sum": mine[~own], "s_customers": float(mine.sum()), "s_tables": float(root.sum())}], STATE)
 
     return rows.mapInArrow(make, STATE)
 
@@ -483,7 +611,7 @@ def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix64((word >> np.uint64(24)) * MIX + (context >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)
 
 
-def fit(spark: SparkSession, docs: DataFrame, heavy: int = 30_000, often: int = 1_000_000, burn_in: int = 2, samples: int = 3, seats: int = 4) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, heavy: int = 30_000, often: int = 1_000_000, burn_in: int = 2, samples: int = 3) -> Model:
     """docs (text) -> the model."""
     scratch = Scratch(spark)
     frequent, n = frequent_words(docs, heavy)
@@ -513,18 +641,18 @@ def fit(spark: SparkSession, docs: DataFrame, heavy: int = 30_000, often: int =
     customers, tables, of_frequent = totals(state, len(frequent))
     random = np.random.default_rng(3)
     seated = sequential(of_frequent, np.full(len(frequent), 0.01), np.zeros(len(frequent)), d0, random) if len(frequent) else np.zeros(0, np.int64)
-    parent = Parent(d, d0, vocabulary, customers, tables + seated.sum(), of_frequent, seated, spread(of_frequent, seated, d0, random), np.zeros(len(frequent)))
+    parent = Parent(d, d0, vocabulary, customers, tables + seated.sum(), of_frequent, seated, np.zeros(len(frequent)))
     for k in range(burn_in + samples):
         replies = answers(questions(state, buckets), contexts, buckets, d)
         sample = k >= burn_in
-        following = scratch.save(swept(with_answers(state, replies, buckets), parent, seats, k, sample, samples), "seats")
+        following = scratch.save(swept(with_answers(state, replies, buckets), parent, k, sample, samples), "seats")
         scratch.drop(state)
         state = following
         customers, tables, of_frequent = totals(state, len(frequent))
         flat = np.full(len(frequent), parent.fresh())
-        seated, sizes = reseat(of_frequent, parent.seated, parent.sizes, flat, np.full(len(frequent), d0 / (vocabulary + 1)), d0, seats, random)
+        seated = seated_anew(of_frequent, flat, np.full(len(frequent), d0 / (vocabulary + 1)), d0, random)
         before = parent
-        parent = Parent(d, d0, vocabulary, customers, tables + seated.sum(), of_frequent, seated, sizes, before.p, before.samples, before.unseen_sum)
+        parent = Parent(d, d0, vocabulary, customers, tables + seated.sum(), of_frequent, seated, before.p, before.samples, before.unseen_sum)
         if sample:  # buckets' words were judged under the totals before
             parent.p = parent.p + before.probability(of_frequent, seated) / samples
             parent.unseen_sum += before.unseen() / samples

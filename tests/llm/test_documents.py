@@ -349,6 +349,31 @@ def test_gibbs_seating_has_the_processes_own_distribution():
     assert (np.add.reduceat(spread, np.cumsum(tables) - tables) == c).all() and spread.min() > 0
 
 
+def test_every_sweep_seats_all_customers_anew():
+    """One sweep from any seating gives the distribution itself, for small dishes (table) and large ones (integral)."""
+    import inspect
+
+    import numpy as np
+
+    assert "seats" not in inspect.signature(pitman_yor.fit).parameters
+    random, m = np.random.default_rng(0), 4000
+    for c, d, fresh, more in ((2, 0.5, 0.4, 0.1), (200, 0.7, 2.0, 0.1), (1500, 0.85, 0.3, 0.02), (1500, 0.4, 40.0, 0.01)):
+        stirling = np.zeros(1)  # logs of the row of c
+        for n in range(2, c + 1):
+            old = stirling + np.log(n - 1 - d * np.arange(1, n))
+            stirling = np.logaddexp(np.append(-np.inf, stirling), np.append(old, -np.inf))
+        want = stirling + np.append(0, np.cumsum(np.log(fresh + more * np.arange(1, c))))
+        want = np.exp(want - want.max())
+        want /= want.sum()
+        found = pitman_yor.seated_anew(np.full(m, c), np.full(m, fresh), np.full(m, more), d, random)
+        assert found.min() >= 1 and found.max() <= c
+        assert np.abs(np.cumsum(np.bincount(found, minlength=c + 1)[1:]) / m - np.cumsum(want)).max() < 0.035
+    assert pitman_yor.seated_anew(np.array([1, 0, 1]), np.ones(3), np.ones(3), 0.5, random).tolist() == [1, 1, 1]
+    t = np.arange(1.0, 1400.0, 7)
+    error = stirling[t.astype(int) - 1] - pitman_yor.log_stirling(np.full(len(t), 1500.0), t, 0.4)
+    assert np.ptp(error) < 1e-6
+
+
 def test_contamination(docs, rows, spark):
     texts = {i: t for i, t, *_ in rows if t and len(t.split()) > 60}
     ids = sorted(texts)
