@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, minhash_dedup, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
+from . import decontam, langid, line_dedup, minhash_dedup, mixing, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -67,6 +67,11 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(spark, table(spark, sf_dir, "documents"), ~pitman_yor.held_out())
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pitman_yor_scores": op10_pitman_yor_scores,
+    "op13_source_mix": op13_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_archives": """
@@ -85,4 +91,37 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)""",
+    "op13_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            ('0x' || md5(concat(coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, '')))[1:15])::BIGINT AS h
+          FROM documents),
+        s AS (
+          SELECT source, sum(size)::BIGINT AS total, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
+        filled AS (  -- sources by the share of a unit of weight at which they stop
+          SELECT *, coalesce(sum(3 * total) OVER before, 0) AS held, coalesce(sum(w) OVER before, 0) AS stopped, row_number() OVER (ORDER BY 18 * total // w, source NULLS LAST) AS nth
+          FROM s WINDOW before AS (ORDER BY 18 * total // w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        whole AS (SELECT sum(total) AS words, sum(w) AS weight FROM s),
+        share AS (
+          SELECT words - held AS num, weight - stopped AS den FROM filled, whole
+          WHERE 3 * total * (weight - stopped) >= (words - held) * w ORDER BY nth LIMIT 1),
+        t AS (
+          SELECT source, total, CASE WHEN 3 * total * den < num * w THEN (3 * total)::DOUBLE ELSE (num * w)::DOUBLE / den::DOUBLE END AS target,
+            CASE WHEN 3 * total * den < num * w THEN 3 * total ELSE num * w // den END AS budget FROM s, share),
+        r AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE least(3, budget // total) END AS copies FROM t),
+        d0 AS (
+          SELECT d.*, r.total, r.target, r.copies, r.budget - r.copies * r.total AS room, size > 0 AS ok,
+            sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY d.source ORDER BY h) AS reach
+          FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+        f0 AS (SELECT *, ok AND reach <= room AS taken0 FROM d0),
+        g0 AS (SELECT *, room - coalesce(sum(CASE WHEN taken0 THEN size END) OVER (PARTITION BY source), 0) AS left0 FROM f0),
+        f1 AS (SELECT *, taken0 OR coalesce(ok AND 4 * size <= left0 AND sum(CASE WHEN ok AND NOT taken0 AND 4 * size <= left0 THEN size END)
+            OVER (PARTITION BY source ORDER BY h) <= left0, false) AS taken1 FROM g0),
+        g1 AS (SELECT *, room - coalesce(sum(CASE WHEN taken1 THEN size END) OVER (PARTITION BY source), 0) AS left1 FROM f1),
+        f2 AS (SELECT *, taken1 OR coalesce(ok AND 4 * size <= left1 AND sum(CASE WHEN ok AND NOT taken1 AND 4 * size <= left1 THEN size END)
+            OVER (PARTITION BY source ORDER BY h) <= left1, false) AS taken2 FROM g1),
+        g2 AS (SELECT *, room - coalesce(sum(CASE WHEN taken2 THEN size END) OVER (PARTITION BY source), 0) AS left2 FROM f2),
+        f3 AS (SELECT *, taken2 OR coalesce(ok AND 4 * size <= left2 AND sum(CASE WHEN ok AND NOT taken2 AND 4 * size <= left2 THEN size END)
+            OVER (PARTITION BY source ORDER BY h) <= left2, false) AS taken3 FROM g2)
+        SELECT doc_id, size, total AS source_size, target, (size * (copies + CASE WHEN taken3 THEN 1 ELSE 0 END))::BIGINT AS taken FROM f3""",
 }
