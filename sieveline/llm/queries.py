@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, minhash_dedup, mixing, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
+from . import decontam, divergence, langid, line_dedup, minhash_dedup, mixing, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -67,6 +67,10 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(spark, table(spark, sf_dir, "documents"), ~pitman_yor.held_out())
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents").select("text", "lang", "source"), least=30, top=50)
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pitman_yor_scores": op10_pitman_yor_scores,
+    "op12_source_divergence": op12_source_divergence,
     "op13_source_mix": op13_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -91,6 +96,38 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)""",
+    "op12_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents),
+        w AS (SELECT nr, lang, source, unnest(terms) AS term FROM d),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT nr) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        size AS (
+          SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+        vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        whole AS (SELECT lang, sum(n) AS n FROM size GROUP BY lang),
+        p AS (
+          SELECT size.lang, size.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0)::HUGEINT + 5)) // (size.n + 5 * v) AS p
+          FROM size JOIN vocabulary USING (lang) JOIN kept AS k USING (lang)
+          LEFT JOIN c ON c.lang = size.lang AND c.source = size.source AND c.term = k.term),
+        q AS (
+          SELECT lang, term, 1 + (1000000000 * (sum(c.n) + 5)) // (any_value(whole.n) + 5 * any_value(v)) AS q
+          FROM c JOIN whole USING (lang) JOIN vocabulary USING (lang) GROUP BY lang, term),
+        pair AS (
+          SELECT a.lang, a.source, b.source AS item, coalesce(any_value(s.value), 0)::BIGINT AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+            GROUP BY x.lang, x.source, y.source) AS s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+          GROUP BY a.lang, a.source, b.source),
+        term AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+        UNION ALL
+        SELECT * FROM (
+          SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term)
+        WHERE rank <= 50""",
     "op13_source_mix": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
