@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, divergence, langid, line_dedup, minhash_dedup, mixing, packing, pitman_yor, secrets, suffix_dedup, vector_dedup, warc
+from . import decontam, divergence, langid, line_dedup, minhash_dedup, mixing, packing, pitman_yor, runs, secrets, suffix_dedup, vector_dedup, warc
 from .common import table
 
 TOKENIZERS = None  # folder of the public vocabularies; None: where the public_tokenizers package keeps them
@@ -67,6 +67,11 @@ def op10_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.scores(spark, table(spark, sf_dir, "documents"), ~pitman_yor.held_out())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digests(runs.find_runs(spark, runs.planted(docs)))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, table(spark, sf_dir, "documents").select("text", "lang", "source"), least=30, top=50)
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pitman_yor_scores": op10_pitman_yor_scores,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
     "op13_source_mix": op13_source_mix,
 }
@@ -96,6 +102,37 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)""",
+    "op11_periodic_runs": r"""
+        WITH ids AS (
+          SELECT doc_id, text, row_number() OVER () AS nr,
+            flatten(list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: [ord(substring(doc_id::VARCHAR, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+          FROM documents),
+        hashed AS (  -- the CRC-32 of the digits of doc_id: each byte is mixed in, then eight bits are shifted out
+          SELECT nr, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            xor(list_reduce(list_concat([4294967295], steps),
+              lambda c, t: CASE WHEN t >= 0 THEN xor(c::BIGINT, t::BIGINT) WHEN c % 2 = 1 THEN xor(c::BIGINT // 2, 3988292384) ELSE c::BIGINT // 2 END), 4294967295) AS h
+          FROM ids),
+        sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM hashed),
+        cycled AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized),
+        word AS (
+          SELECT nr, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word
+          FROM (SELECT nr, w, a, p, unnest(range(n)) AS i FROM cycled)),
+        equal AS (  -- places whose word recurs q words on
+          SELECT x.nr, x.i, y.i - x.i AS q FROM word AS x JOIN word AS y ON x.nr = y.nr AND x.word = y.word AND y.i > x.i
+          JOIN sized ON sized.nr = x.nr AND 4 * (y.i - x.i) <= n),
+        stretch AS (
+          SELECT nr, q, min(i) AS s, count(*) + q AS l FROM (SELECT nr, q, i, i - row_number() OVER (PARTITION BY nr, q ORDER BY i) AS island FROM equal)
+          GROUP BY nr, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        run AS (SELECT nr, s, l, min(q) AS q FROM stretch GROUP BY nr, s, l),
+        best AS (
+          SELECT a.nr, a.s, a.l, a.q FROM run AS a WHERE NOT EXISTS (
+            FROM run AS b WHERE b.nr = a.nr AND (b.l * a.q > a.l * b.q OR (b.l * a.q = a.l * b.q AND (b.s < a.s OR (b.s = a.s AND b.q < a.q)))))),
+        listed AS (SELECT nr, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY nr),
+        dropped AS (SELECT DISTINCT nr, unnest(range(s + q, s + l)) AS i FROM run),
+        left_over AS (SELECT nr, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN dropped USING (nr, i) GROUP BY nr)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+          sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM sized AS d LEFT JOIN listed USING (nr) LEFT JOIN best USING (nr) LEFT JOIN left_over USING (nr)""",
     "op12_source_divergence": r"""
         WITH d AS (
           SELECT row_number() OVER () AS nr, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
