@@ -133,6 +133,14 @@ class WordHashes(dict):
         return h
 
 
+class Numbers(dict):
+    """Word -> number, in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def hashes_of(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 

@@ -1,9 +1,10 @@
 """How far the sources of a language differ in the words they use, from mergeable byte tries.
 
 Each task counts the terms of its documents in radix tries over UTF-8 bytes, one a language, whose leaves hold the number of
-documents and the occurrences by source.  A trie is sent as its leaves in byte order, each as the length that it shares with the
-leaf before and its own tail, in chunks.  Chunks are cut at common bounds and dealt by prefix range; a task merges the tries of
-its range and, as chunks come by their first term, passes on in byte order what no later chunk can change.  Terms in enough
+documents and the occurrences by source.  There a trie is flat: its leaves in byte order, each with the depth at which it leaves
+the path of the leaf before and the tail that it adds, from which the inner nodes follow.  Flat tries are cut into chunks, at
+common bounds too, and dealt by prefix range; a task merges those of its range into one linked trie and, as chunks come by their
+first term, passes on in byte order what no later chunk can change.  Terms in enough
 documents stay.  A last walk over these gives, with the totals of all ranges, the sums for all pairs of sources and the
 candidates of each source in order, ties by term.
 
@@ -11,7 +12,7 @@ A term is a run of ASCII letters and characters beyond ASCII; A-Z are lower-case
 p(term) = 1 + floor(10^9 * (count + 5) / (N + 5 * V)): V kept terms of the language, N their occurrences in the group.  All
 arithmetic is on whole numbers; where 64 bits do not hold it, Python's own are used.
 
-Memory: a task's trie is sent on at ``LEAVES`` leaves, a merged one is emptied up to the next chunk's first term at as many, and
+Memory: a task's tries are sent on at ``TERMS`` terms, a merged one is emptied up to the next chunk's first term at ``LEAVES``, and
 term by source tables are made for ``CELLS`` cells at a time.  A hot language or source is spread over tasks like its documents,
 a hot prefix over ranges, whose bounds come from a sample of at most ``SAMPLE`` terms a range (the bounds decide only where
 work is done).  The driver and every task hold the totals of the groups; pairs of groups are rows of the result, so groups
@@ -26,18 +27,20 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_list, parts_for
+from .common import Numbers, Scratch, parts_for
 
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))  # the rest: spaces
-LEAVES, BUFFER, CHUNK, SEGMENT = 150_000, 200_000, 1024, 1 << 20
+TERMS, BUFFER, LEAVES, CHUNK, SEGMENT = 400_000, 3_000_000, 150_000, 1024, 1 << 20
+SOURCE_BITS = 31
 RANGE, SAMPLE = 400_000, 20
 CELLS = 4_000_000
 SCALE, PRIOR = 1_000_000_000, 5
@@ -79,13 +82,6 @@ class Trie:
             self.size += 1
         return node.leaf
 
-    def add(self, term: bytes, docs: int, counts: dict) -> None:
-        leaf = self.leaf(term)
-        leaf[0] += docs
-        mine = leaf[1]
-        for source, n in counts.items():
-            mine[source] = mine.get(source, 0) + n
-
     def walk(self, node: Node | None = None, path: bytes = b"") -> Iterator[tuple[bytes, list]]:
         """Terms and leaves in byte order, below a node whose label is not yet in path."""
         todo = [(node or self.root, path)]
@@ -132,27 +128,108 @@ def shared(a: bytes, b: bytes) -> int:
     return low
 
 
-def packed(lang: str, leaves: list[tuple[bytes, list]]) -> tuple:
-    """A row of CHUNKS for leaves in byte order."""
-    names: dict[str, int] = {}
-    same, tails, docs, many, which, counts, before = [], [], [], [], [], [], b""
-    for term, (n, by_source) in leaves:
-        k = shared(before, term)
-        same.append(k)
-        tails.append(term[k:])
-        docs.append(n)
-        many.append(len(by_source))
-        for source, c in by_source.items():
-            which.append(names.setdefault(source, len(names)))
-            counts.append(c)
-        before = term
-    whole = np.array(counts, np.int64)
-    words = [0] * len(names)
-    for source, c in zip(which, counts, strict=True):
-        words[source] += c
-    head = np.array([same, [len(t) for t in tails], docs, many], np.int64)
-    body = b"".join([head.tobytes(), np.array(which, np.int64).tobytes(), whole.tobytes(), *tails])
-    return lang, leaves[0][0], leaves[-1][0], len(leaves), list(names), words, body
+def depths(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For sorted terms (their bytes, and where each begins, with the end last): the length that each shares with the one before."""
+    size, out = np.diff(at), np.zeros(len(at) - 1, np.int64)
+    live = np.arange(1, len(out))
+    for j in range(64):
+        live = live[(size[live] > j) & (size[live - 1] > j)]
+        live = live[data[at[live] + j] == data[at[live - 1] + j]]
+        if not len(live):
+            return out
+        out[live] = j + 1
+    for k in live.tolist():
+        out[k] = shared(data[at[k - 1] : at[k]].tobytes(), data[at[k] : at[k + 1]].tobytes())
+    return out
+
+
+class Flat:
+    """The terms of one language in a task, by number; in the end a flat trie."""
+
+    def __init__(self):
+        self.known, self.sources = Numbers(), Numbers()
+        self.total = np.zeros(0, np.int64)  # documents of each term, of those settled
+        self.docs: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, source: str, text: bytes) -> None:
+        """Counts a document, whose bytes outside terms are spaces."""
+        pieces = [text] if len(text) <= SEGMENT else segments(text)
+        found = [np.unique(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)), return_counts=True) for words in map(bytes.split, pieces)]
+        terms, counts = found[0] if len(found) == 1 else summed_keys([t for t, _ in found], [c for _, c in found])
+        if len(terms):
+            self.docs.append(terms)
+            self.keys.append(terms << SOURCE_BITS | self.sources[source])
+            self.counts.append(counts)
+            self.held += len(terms)
+
+    def settle(self) -> None:
+        """Adds up what is held of each term and source."""
+        if self.docs:
+            docs, n = np.unique(np.concatenate(self.docs), return_counts=True)
+            self.total = np.pad(self.total, (0, len(self.known) - len(self.total)))
+            self.total[docs] += n
+            keys, counts = summed_keys(self.keys, self.counts)
+            self.docs, self.keys, self.counts, self.held = [], [keys], [counts], 0
+
+    def chunks(self, lang: str) -> Iterator[tuple]:
+        """Rows of CHUNKS, in byte order."""
+        self.settle()
+        if not self.known:
+            return
+        words = pa.array(list(self.known), pa.large_binary())
+        order = pc.sort_indices(words).to_numpy()
+        words = words.take(pa.array(order))
+        at, data = (np.frombuffer(words.buffers()[k], kind) for k, kind in ((1, np.int64), (2, np.uint8)))
+        at = at[: len(words) + 1]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keys = rank[self.keys[0] >> SOURCE_BITS] << SOURCE_BITS | self.keys[0] & ((1 << SOURCE_BITS) - 1)
+        sort = np.argsort(keys)
+        leaf, which, counts = keys[sort] >> SOURCE_BITS, keys[sort] & ((1 << SOURCE_BITS) - 1), self.counts[0][sort]
+        yield from flat_chunks(lang, data, at, self.total[order], np.bincount(leaf, minlength=len(order)), which, counts, list(self.sources))
+
+
+def summed_keys(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def flat_chunks(lang: str, data: np.ndarray, at: np.ndarray, docs: np.ndarray, many: np.ndarray, which: np.ndarray, counts: np.ndarray, names: list[str]) -> Iterator[tuple]:
+    """A flat trie in chunks: terms as bytes and places, documents, number of sources, then source and occurrences of each."""
+    same, size, first = depths(data, at), np.diff(at), np.concatenate([[0], np.cumsum(many)])
+    todo = [(low, min(low + CHUNK, len(size))) for low in range(0, len(size), CHUNK)][::-1]
+    while todo:
+        low, high = todo.pop()
+        if at[high] - at[low] > SEGMENT and high - low > 1:
+            todo += [((low + high) // 2, high), (low, (low + high) // 2)]
+            continue
+        mine, sizes = same[low:high].copy(), size[low:high]
+        mine[0] = 0
+        tail = np.arange(at[low], at[high]) - np.repeat(at[low:high], sizes) >= np.repeat(mine, sizes)
+        some, column = np.unique(which[first[low] : first[high]], return_inverse=True)
+        n = counts[first[low] : first[high]]
+        words = np.zeros(len(some), np.int64)
+        np.add.at(words, column, n)
+        head = np.array([mine, sizes - mine, docs[low:high], many[low:high]], np.int64)
+        body = b"".join([head.tobytes(), column.astype(np.int64).tobytes(), n.tobytes(), data[at[low] : at[high]][tail].tobytes()])
+        ends = [data[at[k] : at[k + 1]].tobytes() for k in (low, high - 1)]
+        yield lang, *ends, high - low, [names[k] for k in some.tolist()], words.tolist(), body
+
+
+def flattened(lang: str, leaves: list[tuple[bytes, list]]) -> Iterator[tuple]:
+    """Chunks of leaves in byte order."""
+    names = Numbers()
+    at = np.cumsum([0, *(len(t) for t, _ in leaves)])
+    data = np.frombuffer(b"".join(t for t, _ in leaves), np.uint8)
+    which = np.array([names[s] for _, x in leaves for s in x[1]], np.int64)
+    counts = np.array([n for _, x in leaves for n in x[1].values()], np.int64)
+    return flat_chunks(lang, data, at, np.array([x[0] for _, x in leaves]), np.array([len(x[1]) for _, x in leaves]), which, counts, list(names))
 
 
 def unpacked(leaves: int, body: memoryview) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,25 +246,31 @@ def unpacked(leaves: int, body: memoryview) -> tuple[list[bytes], np.ndarray, np
     return terms, docs, many, which, counts
 
 
-def leaves_of(row: dict) -> Iterator[tuple[bytes, list]]:
-    terms, docs, many, which, counts = unpacked(row["leaves"], memoryview(row["body"]))
-    names, at = row["sources"], 0
-    which, counts = which.tolist(), counts.tolist()
-    for term, n, k in zip(terms, docs.tolist(), many.tolist(), strict=True):
-        yield term, [n, {names[s]: c for s, c in zip(which[at : at + k], counts[at : at + k], strict=True)}]
-        at += k
-
-
 def chunked(lang: str, leaves: Iterator[tuple[bytes, list]]) -> Iterator[tuple]:
-    held, size = [], 0
+    """Chunks of a linked trie's leaves in byte order."""
+    held = []
     for leaf in leaves:
         held.append(leaf)
-        size += len(leaf[0]) + 16 * len(leaf[1][1])
-        if len(held) >= CHUNK or size > SEGMENT:
-            yield packed(lang, held)
-            held, size = [], 0
+        if len(held) >= CHUNK:
+            yield from flattened(lang, held)
+            held = []
     if held:
-        yield packed(lang, held)
+        yield from flattened(lang, held)
+
+
+def parted(row: dict, numbers: list[int], terms: list[bytes]) -> Iterator[tuple]:
+    """A chunk cut where the number of its leaves' range changes: rows of CHUNKS and that number."""
+    _, docs, many, which, counts = unpacked(row["leaves"], memoryview(row["body"]))
+    first = np.concatenate([[0], np.cumsum(many)])
+    ends = [k for k in range(1, len(numbers)) if numbers[k] != numbers[k - 1]] + [len(numbers)]
+    low = 0
+    for high in ends:
+        at = np.cumsum([0, *map(len, terms[low:high])])
+        data = np.frombuffer(b"".join(terms[low:high]), np.uint8)
+        part = slice(first[low], first[high])
+        for found in flat_chunks(row["lang"], data, at, docs[low:high], many[low:high], which[part], counts[part], row["sources"]):
+            yield (*found, numbers[low])
+        low = high
 
 
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -214,56 +297,25 @@ def counted(docs: DataFrame) -> DataFrame:
     schema = arrow()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        documents: dict[str, Counter] = {}
-        words: dict[tuple[str, str], Counter] = {}
+        tries: dict[str, Flat] = {}
         seen: dict[str, set] = {}
 
-        def fold() -> None:
-            for lang, found in documents.items():
-                trie = tries.setdefault(lang, Trie())
-                for term, n in found.items():
-                    trie.leaf(term)[0] += n
-            for (lang, source), found in words.items():
-                trie = tries[lang]
-                for term, n in found.items():
-                    mine = trie.leaf(term)[1]
-                    mine[source] = mine.get(source, 0) + n
-            documents.clear()
-            words.clear()
-
         def send() -> Iterator[pa.RecordBatch]:
             for lang, trie in tries.items():
-                for row in chunked(lang, trie.drain(None)):
+                for row in trie.chunks(lang):
                     yield batch_of([row], schema)
             tries.clear()
 
-        held = 0
         for batch in batches:
             for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lang, source = lang or "", source or ""
                 seen.setdefault(lang, set()).add(source)
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(raw) <= SEGMENT:
-                    terms = raw.translate(LETTERS).split()
-                    words.setdefault((lang, source), Counter()).update(terms)
-                    once = set(terms)
-                else:
-                    once = set()
-                    for piece in segments(raw.translate(LETTERS)):
-                        terms = piece.split()
-                        words.setdefault((lang, source), Counter()).update(terms)
-                        once.update(terms)
-                documents.setdefault(lang, Counter()).update(once)
-                held += len(once)
-                if held > BUFFER:
-                    held = sum(map(len, words.values()))
-                    if held > BUFFER // 2:
-                        fold()
-                        held = 0
-                        if sum(t.size for t in tries.values()) > LEAVES:
-                            yield from send()
-        fold()
+                if text.is_valid:
+                    tries.setdefault(lang, Flat()).add(source, text.as_buffer().to_pybytes().translate(LETTERS))
+                    if tries[lang].held > BUFFER:
+                        tries[lang].settle()
+                    if sum(len(t.known) for t in tries.values()) > TERMS:
+                        yield from send()
         yield from send()
         if seen:
             yield batch_of([(lang, None, None, 0, sorted(names), [], None) for lang, names in seen.items()], schema)
@@ -292,15 +344,25 @@ def in_ranges(spark: SparkSession, chunks: DataFrame) -> tuple[DataFrame, int]:
                 if low == high:
                     yield batch_of([(*row.values(), low)], schema)
                     continue
-                parts: dict[int, list] = {}
-                for leaf in leaves_of(row):
-                    parts.setdefault(bisect_right(bounds, (lang, leaf[0])), []).append(leaf)
-                for k, found in parts.items():
-                    yield batch_of([(*packed(row["lang"], found), k)], schema)
+                terms = unpacked(row["leaves"], memoryview(row["body"]))[0]
+                numbers = [bisect_right(bounds, (lang, t)) for t in terms]
+                for found in parted(row, numbers, terms):
+                    yield batch_of([found], schema)
 
     return chunks.mapInArrow(cut, CHUNKS + ", range int"), len(bounds) + 1
 
 
+def merge_chunk(trie: Trie, row: dict) -> None:
+    terms, docs, many, which, counts = unpacked(row["leaves"], memoryview(row["body"]))
+    pairs = zip(map(row["sources"].__getitem__, which.tolist()), counts.tolist(), strict=True)
+    for term, n, k in zip(terms, docs.tolist(), many.tolist(), strict=True):
+        leaf = trie.leaf(term)
+        leaf[0] += n
+        mine = leaf[1]
+        for source, c in islice(pairs, k):
+            mine[source] = mine.get(source, 0) + c
+
+
 def merged(spark: SparkSession, chunks: DataFrame, least: int) -> DataFrame:
     """Chunks of the terms that at least ``least`` documents of their language hold."""
     rows, n = in_ranges(spark, chunks)
@@ -321,8 +383,7 @@ def merged(spark: SparkSession, chunks: DataFrame, least: int) -> DataFrame:
                     lang = row["lang"]
                 if trie.size > LEAVES:
                     yield from kept(row["first"])
-                for term, (docs, counts) in leaves_of(row):
-                    trie.add(term, docs, counts)
+                merge_chunk(trie, row)
         yield from kept(None)
 
     dealt = rows.repartitionById(n, "range").sortWithinPartitions("range", "lang", "first")

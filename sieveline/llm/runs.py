@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SEGMENT, SPACE, keep_apart
+from .common import SEGMENT, SPACE, Numbers, keep_apart
 
 RESULTS = ["n_words", "runs", "collapsed"]
 TOGETHER = 1 << 20
@@ -37,14 +37,6 @@ LEAST, TIMES = 6, 4
 RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
 
 
-class Numbers(dict):
-    """Word -> number, in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def numbers_of(text: bytes, known: Numbers) -> np.ndarray:
     """The numbers of a text's words; a long text is split piece by piece."""
     found, at = [], 0

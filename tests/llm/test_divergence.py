@@ -57,7 +57,7 @@ def test_as_plain(spark, least):
 
 def test_in_small_pieces(spark, monkeypatch):
     """Tries sent often, chunks of few leaves, many ranges, few cells, long texts in segments."""
-    for name, value in {"LEAVES": 20, "BUFFER": 30, "CHUNK": 3, "RANGE": 10, "CELLS": 40, "SEGMENT": 64}.items():
+    for name, value in {"LEAVES": 20, "TERMS": 40, "BUFFER": 30, "CHUNK": 3, "RANGE": 10, "CELLS": 40, "SEGMENT": 64}.items():
         monkeypatch.setattr(D, name, value)
     rows = made(150, 9)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
@@ -73,7 +73,9 @@ def test_tries():
     words = [bytes(r.choices(b"ab\xc3\xa9", k=r.randint(0, 9))) for _ in range(3000)]
     trie, want = D.Trie(), Counter(words)
     for w in words:
-        trie.add(w, 1, {"s": 2})
+        leaf = trie.leaf(w)
+        leaf[0] += 1
+        leaf[1]["s"] = leaf[1].get("s", 0) + 2
     assert trie.size == len(want) and [(t, *x) for t, x in trie.walk()] == [(t, want[t], {"s": 2 * want[t]}) for t in sorted(want)]
     got, bounds = [], [b"", b"a", b"ab\xc3", b"abab", b"b", b"b" * 20, b"\xa9", None]
     for bound in bounds:
@@ -84,7 +86,17 @@ def test_tries():
     assert got == sorted(want)
     leaves = [(t, [want[t], {"x": 1, "yy": want[t]}]) for t in sorted(want)]
     rows = [dict(zip(["lang", "first", "last", "leaves", "sources", "words", "body"], row, strict=True)) for row in D.chunked("en", iter(leaves))]
-    assert [x for row in rows for x in D.leaves_of(row)] == leaves and sum(row["words"][0] for row in rows) == len(want)
+    again = D.Trie()
+    for row in rows:
+        D.merge_chunk(again, row)
+    assert list(again.walk()) == leaves and sum(row["words"][row["sources"].index("x")] for row in rows) == len(want)
+
+
+def test_depths():
+    words = sorted({b"", b"a", b"ab", b"\xc3\xa9", b"x" * 70, b"x" * 70 + b"y", b"x" * 200 + b"y", b"x" * 200 + b"z"})
+    at = np.cumsum([0, *map(len, words)])
+    found = D.depths(np.frombuffer(b"".join(words), np.uint8), at)
+    assert found.tolist() == [0, *(D.shared(a, b) for a, b in zip(words, words[1:], strict=False))]
 
 
 def test_exact_beyond_64_bits():
