@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import checks, similarity
 from ..operators.records import complete
-from . import molecules
+from . import molecules, scale
 
 MOL = """
   SELECT row_index, pool, source_file, name_id, code_id,
@@ -183,7 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "max_similarity_in_group": max_similarity_in_group,
     "benchmark_contamination": benchmark_contamination,
 }
-QUERIES |= molecules.QUERIES
+QUERIES |= molecules.QUERIES | scale.QUERIES
 
 SIGNS = "signs AS (SELECT vec_id, label, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings), bits AS (SELECT vec_id, label, len(bits) AS n, unnest(bits) AS bit FROM signs)"
 
@@ -219,4 +219,4 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY x.label, x.vec_id, y.vec_id) SELECT label, round(max(s), 9) AS max_similarity FROM p GROUP BY 1""",
     "benchmark_contamination": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
 }
-ORACLE_SQL |= molecules.ORACLE_SQL
+ORACLE_SQL |= molecules.ORACLE_SQL | scale.ORACLE_SQL
