@@ -34,10 +34,8 @@ def similar(records: DataFrame, threshold: float, strip_salts: bool) -> DataFram
         bits = similarity.bits_of(F.col("fp")).alias("bits")
         pairs = similarity.similar_pairs(train.select(F.col("row_seq").alias("a"), bits), test.select(F.col("row_seq").alias("b"), bits), threshold)
         pairs = pairs.select("a", "b", (F.col("common") / F.col("union")).alias("similarity"))
-    x = train.select(F.col("row_seq").alias("a"), F.col("key").alias("train"), F.col("skeleton").alias("sa"), F.col("parent_inchikey").alias("pa"), F.col("loc").alias("la"))
-    y = test.select(F.col("row_seq").alias("b"), F.col("key").alias("test"), F.col("skeleton").alias("sb"), F.col("parent_inchikey").alias("pb"), F.col("loc").alias("lb"))
-    joined = pairs.join(x, "a").join(y, "b").where(~F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)))
-    return joined.where(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))) if strip_salts else joined
+    side = lambda df, x, pool: df.select(F.col("row_seq").alias(x), F.col("key").alias(pool), F.col("skeleton").alias(f"skeleton_{x}"), F.col("parent_inchikey").alias(f"parent_{x}"), F.col("loc").alias(f"l{x}"))
+    return similarity.unmatched(pairs, side(train, "a", "train"), side(test, "b", "test"), ["skeleton", "parent"] if strip_salts else ["skeleton"])
 
 
 def run(spark: SparkSession, config: Config) -> dict:
