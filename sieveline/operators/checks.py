@@ -1,7 +1,7 @@
 """Leakage, duplicate, identifier, consistency, parse and quality checks: each a function of the record table.
 
-Every check is one grouped aggregation (or a semi-join of two); counts come from partial sums, and occurrence lists
-are only built by the functions that return them, for reports of bounded size.
+Every check is one grouped aggregation (or a semi-join of two); counts come from partial sums, and lists of occurrences
+come in pages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import values as V
-from .records import coarse, distinct_with_null, identifier_rows, in_order, is_parsed, representations
+from . import pages
+from .records import coarse, distinct_with_null, identifier_rows, is_parsed, representations
 
 
 # Leakage
@@ -41,10 +42,11 @@ def identifier_overlap(records: DataFrame) -> DataFrame:
     return overlap_groups(rows, ["id_column", "value"])
 
 
-def occurrences(groups: DataFrame, long: DataFrame, keys: list[str]) -> DataFrame:
-    """Groups with the locations of their rows in input order; long has a column loc."""
-    lists = long.join(groups.select(*keys), keys, "left_semi").groupBy(*keys).agg(in_order(F.collect_list("loc")).alias("occurrences"))
-    return groups.join(lists, keys)
+def occurrence_pages(groups: DataFrame, long: DataFrame, keys: list[str], size: int = pages.PAGE) -> DataFrame:
+    """Groups with the locations of their rows in input order, ``size`` to a page at most; long has a column loc."""
+    rows = long.join(groups.select(*keys), keys, "left_semi").select(*keys, "loc", F.col("loc.row_seq").alias("__seq"))
+    place = F.struct("loc.pool", "loc.source_file", "loc.row_index", "loc.raw_smiles")
+    return groups.join(pages.paged(rows, keys, "__seq", place, size, "occurrences"), keys)
 
 
 def leaked_rows(records: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:

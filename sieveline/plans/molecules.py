@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..chem import enrich as chem
-from ..operators import checks, findings, nested
+from ..operators import checks, findings, nested, totals
 from ..sources.shared import materialise
 from ..sources.tables import load_pool
-from . import report
-from .config import Config
 
 IDS = ["name_id", "code_id"]
 
@@ -152,11 +150,8 @@ def leaked_rows(rows: DataFrame) -> DataFrame:
 
 
 def report_totals(rows: DataFrame) -> DataFrame:
-    """The numbers of the report's summary, by name."""
-    pairs = rows.limit(0).select(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("similarity"), *[F.struct("pool", "source_file", "row_index").alias(x) for x in ("train", "test")], *[F.struct("pool").alias(x) for x in ("la", "lb")])
-    made = report.build(rows, Config(["train"], ["test"]), IDS, {"train": {}, "test": {}}, materialise(pairs))
-    totals = {k: v for k, v in made["summary"].items() if k.startswith("total_")}
-    return rows.sparkSession.createDataFrame([(n, int(v)) for n, v in report.flat("", totals) if v], "name string, value long")
+    """The numbers of the report's summary that are not 0, by name."""
+    return totals.totals(rows, IDS).where("value > 0").select(F.array_join("path", " ").alias("name"), "value")
 
 
 def of(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

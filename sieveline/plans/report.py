@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import checks, findings, nested
+from ..operators import checks, findings, nested, totals
 from ..sources.shared import materialise
 from ..sources.tables import describe
 from .config import Config, audit_only
@@ -22,7 +21,7 @@ NAMESPACE = ("one_id_multiple_structures", "one_structure_multiple_ids", "identi
 
 
 def collected(df: DataFrame, *order: str) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+    return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).collect()]
 
 
 def by(rows: list[dict], *keys: str) -> dict[tuple, list[dict]]:
@@ -48,9 +47,20 @@ def namespace_issues(records: DataFrame, id_columns: list[str], strip_salts: boo
     return {c: {name: part.get((c,), []) for name, part in zip(NAMESPACE, parts, strict=True)} for c in id_columns}
 
 
-def namespace_counts(issues: dict[str, dict[str, list]]) -> dict[str, dict]:
-    types = lambda rows: dict(sorted(Counter(r["conflict_type"] for r in rows).items()))
-    return {c: {**{n: len(rows) for n, rows in kinds.items()}, "one_id_multiple_structures_by_type": types(kinds[NAMESPACE[0]])} for c, kinds in issues.items()}
+def summed(rows: list[dict], id_columns: list[str]) -> dict:
+    """The summary's numbers, nested by path: those of every report in their order, and the kinds that are found within."""
+    out: dict = {}
+    for row in sorted(rows, key=lambda r: (r["place"] is None, r["place"], r["path"])):
+        *head, last = row["path"]
+        at = out
+        for name in head:
+            at = at.setdefault(name, {})
+        at[last] = row["value"]
+    out.setdefault("total_unparseable_by_category", {})
+    issues = out.setdefault("total_identifier_namespace_issues", {})
+    for c in id_columns:
+        issues.setdefault(c, {}).setdefault("one_id_multiple_structures_by_type", {})
+    return out
 
 
 def tier(summary: list[dict], name: str) -> dict:
@@ -60,7 +70,7 @@ def tier(summary: list[dict], name: str) -> dict:
 
 
 def echo(config: Config, resolved: dict[str, dict[str, str]], id_columns: list[str]) -> dict:
-    label = lambda sources: [describe(x, i, len(x) if hasattr(x, "index") and hasattr(x, "columns") else 0) for i, x in enumerate(sources, 1)]
+    label = lambda sources: [describe(x, i, 0 if isinstance(x, str | Path) else x.count() if isinstance(x, DataFrame) else len(x)) for i, x in enumerate(sources, 1)]
     pools = {"files": label(config.files)} if config.is_check else {"train_files": label(config.train), "test_files": label(config.test)}
     settings = {k: v for k, v in vars(config.settings).items() if not (config.is_check and k in audit_only())}
     return {**pools, "smiles_column": config.smiles_column, "resolved_smiles_columns": resolved["dataset"] if config.is_check else resolved, "identifier_columns": id_columns, **settings}
@@ -70,8 +80,8 @@ def build(records: DataFrame, config: Config, id_columns: list[str], resolved: d
     """pairs: similar train and test rows of an audit (columns a, b, similarity, train, test, la, lb)."""
     s, check = config.settings, config.is_check
     pools = ["dataset"] if check else ["train", "test"]
-    found = findings.tiered(findings.collect(records, s.strip_salts, pairs), s.max_train_test_similarity)
-    kept = materialise(findings.maximal(materialise(found)))
+    tiered = findings.tiered(findings.collect(records, s.strip_salts, pairs), s.max_train_test_similarity)
+    kept = materialise(findings.maximal(materialise(tiered)))
     summary = collected(findings.tier_summary(kept), "severity", "finding_type")
     blocking, flagged = tier(summary, "FAIL"), tier(summary, "WARN")
     status = "FAIL" if blocking["findings"] else "WARN" if flagged["findings"] else "PASS"
@@ -85,28 +95,13 @@ def build(records: DataFrame, config: Config, id_columns: list[str], resolved: d
     bad = collected(checks.unparseable(records, id_columns).withColumnRenamed("parse_error", "error"), "row_seq")
     bad = [{k: v for k, v in b.items() if k != "row_seq"} for b in bad]
     forms = collected(nested.inconsistent(records), "inchikey")
-    rows = {r["pool"]: r["count"] for r in records.groupBy("pool").count().collect()}
-
-    totals: dict = {"status": status, "blocking": blocking, "flagged": flagged}
-    totals |= {"total_rows": rows.get("dataset", 0)} if check else {f"total_{p}_rows": rows.get(p, 0) for p in pools}
-    totals["total_unparseable"] = len(bad)
-    totals |= {} if check else {f"total_unparseable_{p}": sum(b["pool"] == p for b in bad) for p in pools}
-    totals["total_unparseable_by_category"] = dict(sorted(Counter(b["category"] for b in bad).items()))
-    totals["total_unparseable_resolvable_via_identifier"] = sum(b["resolvable_via_identifier"] is not None for b in bad)
-    totals["total_inconsistent_smiles"] = len(forms)
-    for p in pools:
-        end = "" if check else f"_{p}"
-        totals[f"total_internal_duplicates{end}"] = {r: len(duplicates[p][r]) for r in V.REPRESENTATIONS}
-        totals[f"total_internal_duplicates{end}_identifiers"] = {c: len(v) for c, v in duplicates[p]["identifiers"].items()}
-    totals["total_identifier_namespace_issues"] = namespace_counts(namespace)
-    per_pool = lambda q: len(quality["dataset"][q]) if check else {p: len(quality[p][q]) for p in pools}
-    totals["total_quality_flags"] = {q: per_pool(q) for q in V.QUALITY_FLAGS}
+    numbers = totals.totals(records, id_columns, s.strip_salts, pairs, check)
+    found = {"status": status, "blocking": blocking, "flagged": flagged, **summed(collected(numbers), id_columns)}
     report: dict = {
         "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "mode": "check" if check else "audit", "config": echo(config, resolved, id_columns),
-        "summary": totals, "unparseable_smiles": bad, "inconsistent_smiles": forms,
+        "summary": found, "unparseable_smiles": bad, "inconsistent_smiles": forms,
     }
     if not check:
-        totals |= {f"total_{q}": per_pool(q) for q in ("mixtures", "salts_or_metal_complexes", "suspicious_fragments")}
         exact, by_id = by(collected(nested.overlaps(records), "value"), "representation"), by(collected(nested.identifier_overlaps(records), "value"), "id_column")
         alike = pairs.orderBy(F.desc("similarity"), "a", "b").select(F.col("la").alias("train"), F.col("lb").alias("test"), "similarity").collect()
         leakage = {
@@ -114,10 +109,6 @@ def build(records: DataFrame, config: Config, id_columns: list[str], resolved: d
             "tanimoto_similarity": [r.asDict(recursive=True) for r in alike],
         }
         report["train_test_leakage"] = leakage
-        leaked = {(r["kind"], r["pool"]): r["count"] for r in checks.leaked_rows(records).groupBy("kind", "pool").count().collect()}
-        totals |= {f"total_{k}_leaked_{p}_molecules": leaked.get((k, p), 0) for k in ("exact", "salt_form", "stereo") for p in pools}
-        totals["total_identifier_leakage_events"] = sum(map(len, leakage["identifiers"].values()))
-        totals["total_tanimoto_leakage_pairs"] = len(alike)
     report["internal_duplicates"] = duplicates["dataset"] if check else duplicates
     report["identifier_namespace_issues"] = namespace
     report["quality_flags"] = quality["dataset"] if check else quality

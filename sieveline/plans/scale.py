@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import similarity
+from ..operators import checks, similarity
 from ..sources import delimited
 from ..sources.shared import shared_dir
 
@@ -46,11 +46,34 @@ def tanimoto_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.unmatched(pairs, left.drop("bits"), right.drop("bits"), ["skeleton", "parent"]).select("a", "b", "common", "union")
 
 
+def occurrence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line states and return flags that both pools have, with the rows of each in pages of 10,000: a state is on half of all rows."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    pool = F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train")
+    row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    loc = F.struct(row.alias("row_seq"), pool.alias("pool"), F.lit("lineitem").alias("source_file"), row.alias("row_index"), F.col("l_linestatus").alias("raw_smiles"))
+    kinds = F.array(F.struct(F.lit("status").alias("representation"), F.col("l_linestatus").alias("value")), F.struct(F.lit("flag").alias("representation"), F.col("l_returnflag").alias("value")))
+    long = rows.select(loc.alias("loc"), pool.alias("pool"), F.lit(None).cast("string").alias("inchikey"), kinds.alias("kinds"))
+    long = long.select("loc", "pool", "inchikey", F.explode("kinds").alias("k")).select("loc", "pool", "inchikey", "k.*")
+    keys = ["representation", "value"]
+    found = checks.occurrence_pages(checks.overlap_groups(long, keys), long, keys)
+    listed = F.md5(F.array_join(F.transform("occurrences", lambda o: o["row_index"].cast("string")), ","))
+    return found.select(*keys, "train_rows", "test_rows", "page", F.size("occurrences").alias("rows"), listed.alias("rows_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delimited_documents": delimited_documents,
     "tanimoto_unmatched": tanimoto_unmatched,
+    "occurrence_pages": occurrence_pages,
 }
 ORACLE_SQL: dict[str, str] = {
+    "occurrence_pages": """WITH r AS (SELECT l_orderkey * 8 + l_linenumber AS row, l_orderkey % 5 = 0 AS test, l_linestatus, l_returnflag FROM lineitem),
+        k AS (SELECT 'status' AS representation, l_linestatus AS value, row, test FROM r UNION ALL SELECT 'flag', l_returnflag, row, test FROM r),
+        n AS (SELECT representation, value, count(*) FILTER (NOT test) AS train_rows, count(*) FILTER (test) AS test_rows FROM k GROUP BY representation, value),
+        p AS (SELECT representation, value, row, row_number() OVER (PARTITION BY representation, value ORDER BY row) - 1 AS place FROM k)
+        SELECT representation, value, any_value(train_rows) AS train_rows, any_value(test_rows) AS test_rows, place // 10000 AS page, count(*)::INTEGER AS rows,
+          md5(string_agg(row::VARCHAR, ',' ORDER BY row)) AS rows_md5
+        FROM p JOIN n USING (representation, value) WHERE train_rows > 0 AND test_rows > 0 GROUP BY representation, value, place // 10000""",
     "delimited_documents": """SELECT (doc_id % 8)::INTEGER AS file, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS row_index,
         doc_id, nullif(source, '') AS source, md5(coalesce(text, '')) AS text_md5 FROM documents""",
     "tanimoto_unmatched": """WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 7 > 0 THEN vec_id % 11 END AS parent,
