@@ -22,8 +22,8 @@ bucket of their pair, which knows the pair, or else the word; a pair that was ne
 that context.  Only sums by document come back.
 
 Results, one row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Null text is empty: one end
-token.  Very long texts are scored whole.  Rows with a null doc_id are trained on and scored; repeated rows count each.  Words are
-told apart by 64-bit hashes in training; in scoring by 40 bits, contexts by 32, both within a bucket.  An empty table gives no rows.
+token.  Very long texts are scored whole.  Rows with a null doc_id are trained on and scored; repeated rows count each.  Words and
+contexts are told apart by 64-bit hashes, pairs by 64-bit hashes of these within a bucket.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,9 +42,9 @@ from .common import Scratch, binary_list, hashed_words, mix64, worker_cache
 END = np.uint64(0x9D39247E33776D41)  # stands for the end as a word, and for the start as a context
 THETA = 1.0
 KINDS = {
-    "word": "<u8", "ones": "<i4", "own": "<i4", "root": "<i4", "p0": "<f8", "row": "<i4", "context": "<u8", "count": "<i4", "tables": "<i4", "mean": "<f4",
-    "asked": "<u8", "sum": "<f8", "new": "<f8", "total": "<f8", "frequent": "<i4", "frequent_sum": "<i8", "doc": "<i4", "w": "<u8", "u": "<u8", "known": "<i4", "base": "<f8", "score": "<f8", "lp": "<f4", "pair": "<u8", "often": "<u8", "often_lp": "<f4", "often_base": "<f8",
-    "w_low": "<u4", "w_high": "<u1", "u_high": "<u4", "chunks": "<i8", "tokens": "<i8", "doc_id": "<i8", "no_id": "?", "held": "?",
+    "word": "<u8", "ones": "<i8", "own": "<i4", "root": "<i8", "p0": "<f8", "row": "<i4", "context": "<u8", "count": "<i8", "tables": "<i8", "mean": "<f4",
+    "asked": "<u8", "sum": "<f8", "new": "<f8", "total": "<f8", "frequent": "<i4", "frequent_sum": "<i8", "doc": "<i4", "w": "<u8", "u": "<u8", "known": "<i8", "base": "<f8", "score": "<f8", "lp": "<f4", "pair": "<u8", "often": "<u8", "often_lp": "<f4", "often_base": "<f8",
+    "w_all": "<u8", "u_all": "<u8", "chunks": "<i8", "tokens": "<i8", "doc_id": "<i8", "no_id": "?", "held": "?",
 }
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -175,19 +175,6 @@ def pair_counts(docs: DataFrame, bins: Bins) -> DataFrame:
 # Seating
 
 
-def spread(count: np.ndarray, tables: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
-    """Sizes of tables of dishes, in one array: a share by gamma weights beside one customer each."""
-    weight = random.gamma(1 - d, size=int(tables.sum())) + 1e-4
-    ends = np.cumsum(tables)
-    cum = np.cumsum(weight)
-    base = np.repeat(np.append(0, cum[ends[:-1] - 1]) if len(tables) else cum[:0], tables)
-    whole = np.repeat(np.diff(np.append(0, cum[ends - 1])), tables)
-    upto = np.rint((cum - base) / whole * np.repeat(count - tables, tables)).astype(np.int64)
-    first = np.zeros(len(upto), bool)
-    first[ends - tables] = True
-    return 1 + upto - np.where(first, 0, np.append(0, upto[:-1]))
-
-
 def sequential(count: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
     """A first number of tables: customers sit down in turn (beyond 64 in doubling blocks); fresh + more * tables weighs a new table."""
     order = np.argsort(-count, kind="stable")
@@ -207,66 +194,6 @@ def sequential(count: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float,
     return out
 
 
-def reseat(count: np.ndarray, tables: np.ndarray, sizes: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float, seats: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """One sweep: new numbers of tables and sizes, seat by seat.
-
-    Dishes first lose or gain customers until they have ``count``, then ``seats`` customers of each are drawn and seated anew.
-    fresh + more * tables weighs a new table, size - d an old one.
-    """
-    have = np.add.reduceat(sizes, np.cumsum(tables) - tables) if len(tables) else np.zeros(0, np.int64)
-    busy = (count > 1) | (have != count)
-    if not busy.all():  # a single customer has a table, whatever happens
-        moved, those = reseat(count[busy], tables[busy], sizes[np.repeat(busy, tables)], fresh[busy], more[busy], d, seats, random)
-        out = np.ones(len(tables), np.int64)
-        out[busy] = moved
-        seated = np.ones(int(out.sum()), np.int64)
-        seated[np.repeat(busy, out)] = those
-        return out, seated
-    width = np.minimum(np.maximum(count, tables), tables + np.maximum(count - have, 0) + seats)
-    kind = np.ceil(np.log2(np.maximum(width, 1))).astype(np.int64)
-    starts = np.cumsum(tables) - tables
-    out_tables, parts = np.empty_like(tables), []
-    for k in np.unique(kind):
-        for rows in np.array_split(np.flatnonzero(kind == k), max(1, int((kind == k).sum() << int(k)) // 250_000)):
-            w = 1 << int(k)
-            at = np.arange(w)
-            s = np.where(at < tables[rows][:, None], sizes[np.minimum(starts[rows][:, None] + at, len(sizes) - 1)], 0).astype(np.int64)
-            n, target, moves = have[rows].copy(), count[rows], np.minimum(seats, count[rows])
-            line = np.arange(len(rows))
-
-            def leave(i: np.ndarray, s: np.ndarray = s, n: np.ndarray = n) -> None:
-                j = (np.cumsum(s[i], axis=1) <= (random.random(len(i)) * n[i])[:, None]).sum(axis=1)
-                s[i, j] -= 1
-                n[i] -= 1
-
-            def sit(i: np.ndarray, s: np.ndarray = s, n: np.ndarray = n, rows: np.ndarray = rows) -> None:
-                here = s[i]
-                used = here > 0
-                a = fresh[rows[i]] + more[rows[i]] * used.sum(axis=1)
-                cum = np.cumsum(np.where(used, here - d, 0.0), axis=1)
-                r = random.random(len(i)) * (cum[:, -1] + a)
-                j = np.where(r < cum[:, -1], (cum <= r[:, None]).sum(axis=1), used.argmin(axis=1))
-                s[i, j] += 1
-                n[i] += 1
-
-            while len(i := line[n > target]):
-                leave(i)
-            while len(i := line[n < target]):
-                sit(i)
-            for step in range(seats):
-                if not len(i := line[moves > step]):
-                    break
-                leave(i)
-                sit(i)
-            out_tables[rows] = (s > 0).sum(axis=1)
-            row, col = np.nonzero(s)
-            parts.append((rows[row], s[row, col]))
-    if not parts:
-        return tables, sizes
-    owner, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return out_tables, value[np.argsort(owner, kind="stable")]
-
-
 SMALL = 1024  # customers up to which a dish's distribution is read from a table
 
 
@@ -376,7 +303,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 def seated_anew(count: np.ndarray, fresh: np.ndarray, more: np.ndarray, d: float, random: np.random.Generator) -> np.ndarray:
     """New numbers of tables of dishes all of whose customers are seated anew, given everything else.
 
-    This is what ``reseat`` comes to after many sweeps: P(t) is in proportion to S(c, t) times the product of fresh + more * k, 0 < k < t.
+    P(t) is in proportion to S(c, t) times the product of fresh + more * k, 0 < k < t.
     """
     out = np.ones(len(count), np.int64)
     kind = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
@@ -532,11 +459,12 @@ def swept(rows: DataFrame, parent: Parent, k: int, sample: bool, samples: int) -
             own, row, tables, count = x["own"] > 0, x["row"], x["tables"].astype(np.int64), x["count"].astype(np.int64)
             n = len(own)
             mine = x["ones"] + np.bincount(row, tables, n).astype(np.int64)
-            p = np.empty(n)
-            p[own] = parent.probability(mine[own], x["root"].astype(np.int64))
-            p[~own] = parent.probability(parent.count, parent.seated)[x["frequent"]]
+            whole, seats = np.empty(n, np.int64), np.empty(n, np.int64)
+            whole[own], seats[own] = mine[own], x["root"]
+            whole[~own], seats[~own] = parent.count[x["frequent"]], parent.seated[x["frequent"]]
             _, at = np.unique(x["context"], return_inverse=True)
-            base, new = p[row], joined(found, "new")[at] if len(count) else np.zeros(0)
+            others = np.maximum(whole[row] - tables, 0)  # a dish's own tables are none of the parent's customers while it is seated
+            base, new = parent.probability(others, np.minimum(seats[row], others)), joined(found, "new")[at] if len(count) else np.zeros(0)
             fresh, more = np.maximum(new - parent.d * tables, THETA) * base, parent.d * base
             tables = seated_anew(count, fresh, more, parent.d, random)
             mine = x["ones"] + np.bincount(row, tables, n).astype(np.int64)
@@ -607,8 +535,8 @@ class Lookup:
 
 
 def pair_keys(word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """48-bit keys of pairs, from 40 bits of the word and 32 of its context; they are looked up within a bucket."""
-    return mix64((word >> np.uint64(24)) * MIX + (context >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)
+    """64-bit keys of pairs, from all bits of both; they are looked up within a bucket."""
+    return mix64(word * MIX + mix64(context) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def fit(spark: SparkSession, docs: DataFrame, heavy: int = 30_000, often: int = 1_000_000, burn_in: int = 2, samples: int = 3) -> Model:
@@ -755,8 +683,8 @@ def held_out(rest: int = 1) -> Column:
 
 
 SUMS = "doc binary, known binary, base binary, score binary, tokens binary, doc_id binary, no_id binary, held binary"
-TOKENS = "bucket long, part long, kind int, w_low binary, w_high binary, u_high binary, row binary, " + SUMS
-LOOKED = "chunk long, bucket long, kind int, u_high binary, chunks binary, " + SUMS
+TOKENS = "bucket long, part long, kind int, w_all binary, u_all binary, row binary, " + SUMS
+LOOKED = "chunk long, bucket long, kind int, u_all binary, chunks binary, " + SUMS
 
 
 def by_document(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -817,30 +745,29 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
             order = in_buckets(bucket, bins.buckets)
             rows = [order[s] for s in runs(bucket[order])]
             for a in range(0, len(rows), 64):
-                yield pack([{**none, "bucket": int(bucket[o[0]]), "part": chunk, "kind": 2, "w_low": w[o] >> np.uint64(24) & np.uint64(0xFFFFFFFF), "w_high": w[o] >> np.uint64(56), "u_high": u[o] >> np.uint64(32), "row": doc[o]} for o in rows[a : a + 64]], TOKENS)
+                yield pack([{**none, "bucket": int(bucket[o[0]]), "part": chunk, "kind": 2, "w_all": w[o], "u_all": u[o], "row": doc[o]} for o in rows[a : a + 64]], TOKENS)
 
     nothing = F.lit(None).cast("binary")
-    lean = [nothing.alias(c) for c in ("w_low", "w_high", "u_high", "row", *sums_of)]
+    lean = [nothing.alias(c) for c in ("w_all", "u_all", "row", *sums_of)]
     parts_of_model = ["word", "count", "p0", "pair", "lp"]
     asked = model.words.select("bucket", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("kind"), *lean, *parts_of_model).union(
         docs.mapInArrow(look, TOKENS).select("*", *[nothing] * 5))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, common, back_off = fixed.bins.frequent >> np.uint64(24), fixed.common >> np.uint64(32), fixed.back_off
+        frequent, common, back_off = fixed.bins.frequent, fixed.common, fixed.back_off
         empty = {k: np.zeros(0, KINDS[k]) for k in parts_of_model}
-        unsaid = dict.fromkeys(["u_high", "chunks", *sums_of])
+        unsaid = dict.fromkeys(["u_all", "chunks", *sums_of])
 
         def judged(known: dict, words: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
-            w = np.concatenate([x["w_low"].astype(np.uint64) | x["w_high"].astype(np.uint64) << np.uint64(32) for x in rows])
-            u, doc = (np.concatenate([x[k] for x in rows]) for k in ("u_high", "row"))
+            w, u, doc = (np.concatenate([x[k] for x in rows]) for k in ("w_all", "u_all", "row"))
             place_of = np.repeat(np.arange(len(rows)), [len(x["row"]) for x in rows]) << 32 | doc  # row and document
             order = np.argsort(w)  # lookups in order go through memory in order
-            w, u, place_of = w[order], u[order].astype(np.uint64), place_of[order]
+            w, u, place_of = w[order], u[order], place_of[order]
             f, at = place(frequent, w), place(words, w)
             count, lp0 = np.zeros(len(w), np.int64), np.full(len(w), fixed.unseen)
             for k, counts, values in ((f, fixed.counts, fixed.lp0), (at, known["count"], known["p0"])):
                 count[k >= 0], lp0[k >= 0] = counts[k[k >= 0]], values[k[k >= 0]]
-            keys = pair_keys(w << np.uint64(24), u << np.uint64(32))
+            keys = pair_keys(w, u)
             order = np.argsort(keys)
             pair = np.empty(len(keys), np.int64)
             pair[order] = place(known["pair"], keys[order])
@@ -856,23 +783,23 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
             out = [{**unsaid, "chunk": int(chunk[line[s.start]]), "bucket": -1, "kind": 1, "doc": doc[s], "known": k[s], "base": b[s], "score": v[s]} for s in runs(line)]
             more = np.flatnonzero(((pair < 0) & (context < 0))[order])
             u, place_of = u[order[more]], place_of[more]
-            to = scaled(u << np.uint64(32), buckets)
+            to = scaled(u, buckets)
             order = in_buckets(to, buckets)
             u, place_of, to = u[order], place_of[order], to[order]
             for s in runs(to):
-                out.append({**unsaid, "chunk": -1, "bucket": int(to[s.start]), "kind": 1, "doc": place_of[s] & 0xFFFFFFFF, "chunks": chunk[place_of[s] >> 32], "u_high": u[s]})
+                out.append({**unsaid, "chunk": -1, "bucket": int(to[s.start]), "kind": 1, "doc": place_of[s] & 0xFFFFFFFF, "chunks": chunk[place_of[s] >> 32], "u_all": u[s]})
             return pack(out, LOOKED)
 
         bucket, known, words, held, size = None, empty, empty["word"], [], 0
         for batch in batches:
-            for x in unpacked(batch, ["bucket", "part", "kind", "w_low", "w_high", "u_high", "row", *sums_of, *parts_of_model], KINDS):
+            for x in unpacked(batch, ["bucket", "part", "kind", "w_all", "u_all", "row", *sums_of, *parts_of_model], KINDS):
                 if held and (x["bucket"] != bucket or size > 1_000_000):
                     yield judged(known, words, held)
                     held, size = [], 0
                 if x["bucket"] != bucket:
                     bucket, known, words = x["bucket"], empty, empty["word"]
                 if x["kind"] == 0:
-                    known, words = x, x["word"] >> np.uint64(24)
+                    known, words = x, x["word"]
                 elif x["kind"] == 1:  # what a chunk found by itself only passes through
                     yield pack([{**unsaid, "chunk": x["part"], "bucket": -1, "kind": 0, **{c: x[c] for c in sums_of}}], LOOKED)
                 else:
@@ -882,25 +809,25 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
             yield judged(known, words, held)
 
     looked = scratch.save(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(answer, LOOKED), "looked")
-    rest = model.contexts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("kind"), nothing.alias("doc"), nothing.alias("u_high"), nothing.alias("chunks"), "asked", F.col("new").alias("base")).union(
-        looked.where("bucket >= 0").select("bucket", "chunk", "kind", "doc", "u_high", "chunks", nothing, nothing))
+    rest = model.contexts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("kind"), nothing.alias("doc"), nothing.alias("u_all"), nothing.alias("chunks"), "asked", F.col("new").alias("base")).union(
+        looked.where("bucket >= 0").select("bucket", "chunk", "kind", "doc", "u_all", "chunks", nothing, nothing))
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in bucket_rows(batches, ["bucket", "kind", "doc", "u_high", "chunks", "asked", "base"], KINDS):
+        for rows in bucket_rows(batches, ["bucket", "kind", "doc", "u_all", "chunks", "asked", "base"], KINDS):
             known = rows[0] if rows[0]["kind"] == 0 else None
             rows = rows[known is not None :]
             if not rows:
                 continue
-            asked = known["asked"] >> np.uint64(32) if known else np.zeros(0, np.uint64)
-            u, doc, chunk = (np.concatenate([r[k] for r in rows]) for k in ("u_high", "doc", "chunks"))
-            at = place(asked, u.astype(np.uint64))
+            asked = known["asked"] if known else np.zeros(0, np.uint64)
+            u, doc, chunk = (np.concatenate([r[k] for r in rows]) for k in ("u_all", "doc", "chunks"))
+            at = place(asked, u)
             share = np.where(at >= 0, known["base"][at], 0.0) if known else np.zeros(len(at))  # a context never seen leaves all
             order = np.argsort(chunk, kind="stable")
             out = []
             for s in runs(chunk[order]):
                 docs, v = by_document(doc[order[s]], share[order[s]])
                 zero = np.zeros(len(docs))
-                out.append({**dict.fromkeys(["u_high", "chunks", *sums_of]), "chunk": int(chunk[order[s.start]]), "bucket": -1, "kind": 1, "doc": docs, "known": zero, "base": zero, "score": v})
+                out.append({**dict.fromkeys(["u_all", "chunks", *sums_of]), "chunk": int(chunk[order[s.start]]), "bucket": -1, "kind": 1, "doc": docs, "known": zero, "base": zero, "score": v})
             yield pack(out, LOOKED)
 
     heads, n = ["chunk", "kind", *sums_of], model.n

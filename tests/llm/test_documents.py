@@ -324,29 +324,17 @@ def test_language_model_beats_smoothed_bigrams_on_held_out_texts(spark):
     assert score > 0.97 * smoothed and score > 0.85 * base  # scores are negative
 
 
-def test_gibbs_seating_has_the_processes_own_distribution():
-    """Tables of one dish after many sweeps follow P(t) in proportion to S(c, t) (generalised Stirling numbers) times weights of new tables."""
-    import numpy as np
-
-    c, d, fresh, more, m = 9, 0.4, 0.3, 0.15, 20_000
-    stirling = np.zeros((c + 1, c + 1))
-    stirling[1, 1] = 1
-    for n in range(2, c + 1):
-        for t in range(1, n + 1):
-            stirling[n, t] = stirling[n - 1, t - 1] + (n - 1 - d * t) * stirling[n - 1, t]
-    want = np.array([stirling[c, t] * np.prod([fresh + more * k for k in range(1, t)]) for t in range(1, c + 1)])
-    want /= want.sum()
-    random = np.random.default_rng(0)
-    count, tables = np.full(m, c), np.ones(m, np.int64)
-    sizes = np.full(m, c)
-    for _ in range(60):
-        tables, sizes = pitman_yor.reseat(count, tables, sizes, np.full(m, fresh), np.full(m, more), d, 4, random)
-    assert len(sizes) == tables.sum() and (np.add.reduceat(sizes, np.cumsum(tables) - tables) == c).all() and sizes.min() > 0
-    assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / m - want).max() < 0.015
-    kept = pitman_yor.reseat(np.full(m, c + 5), tables, sizes, np.full(m, fresh), np.full(m, more), d, 0, random)
-    assert (np.add.reduceat(kept[1], np.cumsum(kept[0]) - kept[0]) == c + 5).all()
-    spread = pitman_yor.spread(count, tables, d, random)
-    assert (np.add.reduceat(spread, np.cumsum(tables) - tables) == c).all() and spread.min() > 0
+def test_words_alike_in_40_bits_of_their_hashes(spark):
+    """Words whose hashes begin alike are different words: n_known and base_score are exact."""
+    one, two = (pitman_yor.hashed_words(w)[0][0] for w in (b"w1726740", b"w2066413"))
+    assert int(one) >> 24 == int(two) >> 24 and one != two
+    trained = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 != 1)
+    asked = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(trained, "w1726740 w1726740 x"), (asked, "w2066413"), (None, None)]
+    found = by_id(pitman_yor.scores(spark, spark.createDataFrame(rows, "doc_id long, text string"), ~pitman_yor.held_out()))
+    n, v = 5, 3  # the null text is trained on: one end more
+    assert (found[asked]["n_known"], found[asked]["n_tokens"], found[trained]["n_known"]) == (1, 2, 4) and found[asked]["train_tokens"] == n
+    assert math.isclose(found[asked]["base_score"], sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in (0, 2)), rel_tol=1e-9)
 
 
 def test_every_sweep_seats_all_customers_anew():
