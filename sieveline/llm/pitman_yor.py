@@ -157,7 +157,7 @@ def pair_counts(docs: DataFrame, bins: Bins) -> DataFrame:
             for at in range(0, len(texts), 512):
                 held.append(tokens(texts[at : at + 512])[:2])
                 total += len(held[-1][0])
-                if total > 2_500_000:
+                if total > 2_000_000:
                     yield from flush()
                     held, total = [], 0
         if held:
@@ -543,7 +543,7 @@ def fit(spark: SparkSession, docs: DataFrame, heavy: int = 30_000, often: int =
     """docs (text) -> the model."""
     scratch = Scratch(spark)
     frequent, n = frequent_words(docs, heavy)
-    buckets = 8 + n // 2_000_000  # by the data alone: buckets send each other messages
+    buckets = 8 + n // 1_500_000  # by the data alone: buckets send each other messages
     bins = Bins(frequent, buckets)
     counts = scratch.save(pair_counts(docs, bins), "counts")
 
