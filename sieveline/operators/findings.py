@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -112,10 +112,21 @@ def maximal(rows: DataFrame) -> DataFrame:
 
 
 def tier_summary(kept: DataFrame) -> DataFrame:
-    """Findings and distinct rows per tier and type, and per tier (finding_type null: the union of its rows)."""
-    counts = [F.count_distinct("sid").alias("findings"), F.count_distinct("row").alias("rows")]
-    by_type = kept.groupBy(*SET).agg(*counts)
-    return by_type.unionByName(kept.groupBy("severity").agg(*counts).withColumn("finding_type", F.lit(None).cast("string")))
+    """Findings and distinct rows per tier and type, and per tier (finding_type null: the union of its rows).
+
+    The number of a row is that of its source (there are as many as the user listed) and its index within; the rows of a type are
+    bitmaps of 32,768 numbers each, made before anything is shuffled, and a union is the OR of these.
+    """
+    sources = kept.select("row.pool", "row.source_file").distinct().withColumn("source", F.row_number().over(Window.orderBy("pool", "source_file")))
+    same = F.col("row.pool").eqNullSafe(F.col("pool")) & F.col("row.source_file").eqNullSafe(F.col("source_file"))
+    nr = F.shiftleft(F.col("source").cast("long"), 40) + F.col("row.row_index") + F.lit(1 << 39)
+    rows = kept.join(sources, same).select(*SET, F.bitmap_bucket_number(nr).alias("bucket"), F.bitmap_bit_position(nr).alias("bit"))
+    maps = materialise(rows.groupBy(*SET, "bucket").agg(F.bitmap_construct_agg("bit").alias("map")))
+    sets = kept.select(*SET, "sid").distinct().groupBy(*SET).agg(F.count("*").alias("findings"))
+    by_type = sets.join(maps.groupBy(*SET).agg(F.sum(F.bitmap_count("map")).alias("rows")), SET)
+    union = maps.groupBy("severity", "bucket").agg(F.bitmap_or_agg("map").alias("map")).groupBy("severity").agg(F.sum(F.bitmap_count("map")).alias("rows"))
+    by_tier = sets.groupBy("severity").agg(F.sum("findings").alias("findings")).join(union, "severity")
+    return by_type.unionByName(by_tier.withColumn("finding_type", F.lit(None).cast("string")))
 
 
 def status(kept: DataFrame) -> DataFrame:
