@@ -1,11 +1,13 @@
-"""Scalar functions over strings, as native columns (but for full Unicode case folding)."""
+"""Scalar functions over strings, as native columns."""
 
 from __future__ import annotations
 
-import pandas as pd
+import string
+import sys
+from functools import cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import values as V
 
@@ -15,13 +17,26 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(V.WHITE_SPACE))
 
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.str.casefold()
+@cache
+def folds() -> tuple[str, str, dict[str, str]]:
+    """Unicode's full case folding by its definition in Python: characters that fold to one, what these fold to, and those that
+    fold to several."""
+    changed = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if c.casefold() != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold(c: Column) -> Column:
+    """str.casefold() in built-in functions; the table is only met by strings beyond ASCII, its rare part by those that need it."""
+    plain, to, several = folds()
+    ascii_lower = F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    some = F.translate(ascii_lower, plain, to)
+    long = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several.items(), some)
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), ascii_lower).when(c.rlike("[" + "".join(several) + "]"), long).otherwise(some)
 
 
 def folded(c: Column, unicode: bool = True) -> Column:
-    """Case folding; ``unicode=False`` keeps to the JVM and is exact for ASCII."""
+    """Case folding; ``unicode=False`` is exact for ASCII and simpler."""
     return casefold(c) if unicode else F.lower(c)
 
 

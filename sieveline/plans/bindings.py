@@ -7,7 +7,6 @@ relational operators and are no chemistry (sieveline.chem is).
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,7 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "id_many_values": drawn(checks.one_id_multiple_structures, "id_column", "identifier", "rows", "structures"),
     "id_conflict_type": drawn(conflicts_by_type),
     "value_many_ids": drawn(checks.one_structure_multiple_ids),
-    "id_near_duplicate": drawn(partial(checks.near_duplicate_identifiers, unicode=False)),
+    "id_near_duplicate": drawn(checks.near_duplicate_identifiers),
     "id_whitespace": drawn(checks.identifier_whitespace, "id_column", "row_index", "raw_value", "value"),
     "parse_failure_category": drawn(lambda r: r.where("parse_error is not null").groupBy("parse_error_category").agg(F.count("*").alias("rows"))),
     "broken_rows_by_identifier": drawn(checks.broken_rows_by_identifier),
