@@ -36,14 +36,16 @@ def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tanimoto_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of both pools whose positive components are similar at a low threshold, unless one of two keys matches them already."""
+    """A search: for every vector with an id divisible by 50, how many others have similar positive components and match it by neither
+    of two keys, and the largest such similarity."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
     rows = v.select("vec_id", F.col("label").alias("skeleton"), F.when(F.col("vec_id") % 7 > 0, F.col("vec_id") % 11).alias("parent"),
         F.expr("filter(transform(embedding, (x, i) -> if(x > 0, i, -1)), x -> x >= 0)").alias("bits"))
     side = lambda df, x: df.select(F.col("vec_id").alias(x), F.col("skeleton").alias(f"skeleton_{x}"), F.col("parent").alias(f"parent_{x}"), "bits")
-    left, right = side(rows.where("vec_id % 5 <> 0"), "a"), side(rows.where("vec_id % 5 = 0"), "b")
-    pairs = similarity.similar_pairs(left.select("a", "bits"), right.select("b", "bits"), 0.45)
-    return similarity.unmatched(pairs, left.drop("bits"), right.drop("bits"), ["skeleton", "parent"]).select("a", "b", "common", "union")
+    left, right = side(rows, "a"), side(rows.where("vec_id % 50 = 0"), "b")
+    pairs = similarity.similar_pairs(left.select("a", "bits"), right.select("b", "bits"), 0.5)
+    found = similarity.unmatched(pairs, left.drop("bits"), right.drop("bits"), ["skeleton", "parent"]).where("a <> b")
+    return found.groupBy("b").agg(F.count("*").alias("similar"), F.round(F.max(F.col("common") / F.col("union")), 9).alias("largest"))
 
 
 def occurrence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,8 @@ ORACLE_SQL: dict[str, str] = {
     "tanimoto_unmatched": """WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 7 > 0 THEN vec_id % 11 END AS parent,
           list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings),
         e AS (SELECT vec_id, label, parent, len(bits) AS n, unnest(bits) AS bit FROM s)
-        SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS common, any_value(x.n) + any_value(y.n) - count(*) AS "union" FROM e AS x JOIN e AS y USING (bit)
-        WHERE x.vec_id % 5 <> 0 AND y.vec_id % 5 = 0 AND x.label IS DISTINCT FROM y.label AND (x.parent IS NULL OR y.parent IS NULL OR x.parent <> y.parent)
-        GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.45""",
+        SELECT b, count(*) AS similar, round(max(common / "union"), 9) AS largest FROM (
+          SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS common, any_value(x.n) + any_value(y.n) - count(*) AS "union" FROM e AS x JOIN e AS y USING (bit)
+          WHERE y.vec_id % 50 = 0 AND x.vec_id <> y.vec_id AND x.label IS DISTINCT FROM y.label AND (x.parent IS NULL OR y.parent IS NULL OR x.parent <> y.parent)
+          GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.5) GROUP BY b""",
 }
