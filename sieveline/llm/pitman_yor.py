@@ -742,7 +742,7 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
                          "score": np.bincount(k, lp[at[hit]], m), "doc_id": [i or 0 for i in ids], "no_id": [i is None for i in ids], "held": [not t for t in trained]}], TOKENS)
             w, u, doc = w[~hit], u[~hit], doc[~hit]
             bucket = bins.of(w, u)
-            order = in_buckets(bucket, bins.buckets)
+            order = np.lexsort((w, bucket))  # equal words side by side take little room on their way
             rows = [order[s] for s in runs(bucket[order])]
             for a in range(0, len(rows), 64):
                 yield pack([{**none, "bucket": int(bucket[o[0]]), "part": chunk, "kind": 2, "w_all": w[o], "u_all": u[o], "row": doc[o]} for o in rows[a : a + 64]], TOKENS)
@@ -761,7 +761,7 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
         def judged(known: dict, words: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
             w, u, doc = (np.concatenate([x[k] for x in rows]) for k in ("w_all", "u_all", "row"))
             place_of = np.repeat(np.arange(len(rows)), [len(x["row"]) for x in rows]) << 32 | doc  # row and document
-            order = np.argsort(w)  # lookups in order go through memory in order
+            order = np.argsort(w, kind="stable")  # lookups in order go through memory in order; each message is in order already
             w, u, place_of = w[order], u[order], place_of[order]
             f, at = place(frequent, w), place(words, w)
             count, lp0 = np.zeros(len(w), np.int64), np.full(len(w), fixed.unseen)
