@@ -61,7 +61,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
-ORACLE_SQL = None  # SQL cannot express the stages; tests compare each with a brute-force version
+ORACLE_SQL = None  # SQL cannot express the stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
