@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import checks, similarity
+from . import checks, nearest, similarity
 from .records import identifier_rows, in_order, is_parsed, location, representations
 
 BY_ID = ["id_column", "identifier"]
@@ -45,9 +45,8 @@ def best_similarity(rows: DataFrame) -> DataFrame:
     """The largest Tanimoto similarity of two structures of an identifier; none where fewer than two have fingerprints."""
     first = rows.where("fp is not null").groupBy(*BY_ID, "canonical_smiles", "inchikey").agg(F.min_by("fp", "row_seq").alias("fp"))
     group = F.to_json(F.struct(*BY_ID)).alias("group")
-    key = F.to_json(F.struct("canonical_smiles", "inchikey")).alias("structure")
-    sets = first.select(*BY_ID, group, key, similarity.bits_of(F.col("fp")).alias("bits"))
-    found = similarity.max_similarity(sets.select("group", "structure", "bits"), "group", "structure")
+    sets = first.select(*BY_ID, group, similarity.bits_of(F.col("fp")).alias("bits"))
+    found = nearest.max_similarity(sets.select("group", "bits"), "group")
     return sets.select("group", *BY_ID).distinct().join(found, "group").select(*BY_ID, "max_similarity")
 
 

@@ -101,25 +101,3 @@ def unmatched(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[st
     for k in keys:
         joined = joined.where(~F.coalesce(F.col(f"{k}_a") == F.col(f"{k}_b"), F.lit(False)))
     return joined
-
-
-def max_similarity(rows: DataFrame, group: str, key: str, steps: tuple[float, ...] = (0.9, 0.75, 0.6, 0.45, 0.3, 0.15, 1e-6)) -> DataFrame:
-    """rows (group, key, bits) -> per group the largest similarity of two members; none under two members with bits.
-
-    A search for the best pair: a prefix join at a high threshold settles every group that has so similar a pair; the others go on
-    with lower ones.  Groups that share no bits at all have 0.
-    """
-    rows = materialise(rows.where(F.size("bits") > 0).select(group, F.col(key).alias("key"), "bits"))
-    groups = materialise(rows.groupBy(group).agg(F.count("*").alias("members")).where("members > 1").select(group))
-    best = None
-    for t in steps:
-        some = rows.join(groups, group, "left_semi")
-        x, y = some.withColumnRenamed("key", "a"), some.withColumnRenamed("key", "b")
-        pairs = candidates(x, y, t, [group]).where("a < b")
-        found = counted(pairs, x, y, [group]).withColumn("s", F.col("common") / F.col("union")).where(F.col("s") >= t)
-        found = materialise(found.groupBy(group).agg(F.max("s").alias("max_similarity")))
-        best = found if best is None else best.unionByName(found)
-        groups = materialise(groups.join(found, group, "left_anti"))
-        if not groups.take(1):
-            return best
-    return best.unionByName(groups.withColumn("max_similarity", F.lit(0.0)))

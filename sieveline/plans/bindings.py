@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, similarity
+from ..operators import checks, nearest, similarity
 from ..operators.records import complete
 from . import molecules, scale
 
@@ -128,7 +128,7 @@ def tanimoto_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_similarity_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.max_similarity(sign_bits(spark, sf_dir), "label", "vec_id").select("label", F.round("max_similarity", 9).alias("max_similarity"))
+    return nearest.max_similarity(sign_bits(spark, sf_dir), "label").select("label", F.round("max_similarity", 9).alias("max_similarity"))
 
 
 def conflicts_by_type(records: DataFrame) -> DataFrame:
