@@ -29,7 +29,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(spark, table(spark, sf_dir, "documents"))
+    return secrets.scan(spark, table(spark, sf_dir, "documents"), secrets.dictionary_of(vocabulary("word_bpe_49k.json")))
 
 
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
