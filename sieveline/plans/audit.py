@@ -14,7 +14,7 @@ from ..operators.records import location
 from ..sources.shared import materialise
 from ..sources.tables import load_pool
 from . import report as reports
-from .config import Config, settings_of
+from .config import FOLDERS, Config, settings_of
 
 LOG = logging.getLogger(__name__)
 MANY_PAIRS = 100_000_000
@@ -52,21 +52,31 @@ def run(spark: SparkSession, config: Config) -> dict:
     records = materialise(chem.enrich(rows, settings))
     records = materialise(chem.with_tautomer_keys(records, s.strip_salts))
     pairs = None if config.is_check else materialise(similar(records, s.max_train_test_similarity, s.strip_salts))
-    made = reports.build(records, config, [c for c in config.identifier_columns if c in ids], resolved, pairs)
+    columns = [c for c in config.identifier_columns if c in ids]
+    if s.report_format in FOLDERS:
+        return reports.to_folder(records, config, columns, resolved, pairs)
+    made = reports.build(records, config, columns, resolved, pairs)
     if config.report_output:
         reports.save(made, config.report_output, s.report_format)
     return made
 
 
+def shown(print_report: bool, spark: SparkSession, config: Config) -> dict:
+    made = run(spark, config)
+    if print_report:
+        print(reports.dashboard(made))
+    return made
+
+
 def listed_sources(x) -> list:
     return list(x) if isinstance(x, list | tuple) else [x]
 
 
-def audit(spark: SparkSession, train, test, smiles_column: str = "SMILES", identifier_columns: list[str] | None = None, report_output: str | None = None, **settings) -> dict:
+def audit(spark: SparkSession, train, test, smiles_column: str = "SMILES", identifier_columns: list[str] | None = None, report_output: str | None = None, print_report: bool = True, **settings) -> dict:
     """Audits a train pool against a test pool; sources are paths, URLs, pandas or Spark frames, one or a list."""
-    return run(spark, Config(listed_sources(train), listed_sources(test), [], smiles_column, list(identifier_columns or []), settings_of(settings, report_output, False), report_output))
+    return shown(print_report, spark, Config(listed_sources(train), listed_sources(test), [], smiles_column, list(identifier_columns or []), settings_of(settings, report_output, False), report_output))
 
 
-def check(spark: SparkSession, data, smiles_column: str = "SMILES", identifier_columns: list[str] | None = None, report_output: str | None = None, **settings) -> dict:
+def check(spark: SparkSession, data, smiles_column: str = "SMILES", identifier_columns: list[str] | None = None, report_output: str | None = None, print_report: bool = True, **settings) -> dict:
     """Checks one dataset."""
-    return run(spark, Config([], [], listed_sources(data), smiles_column, list(identifier_columns or []), settings_of(settings, report_output, True), report_output))
+    return shown(print_report, spark, Config([], [], listed_sources(data), smiles_column, list(identifier_columns or []), settings_of(settings, report_output, True), report_output))

@@ -6,6 +6,7 @@ relational operators and are no chemistry (sieveline.chem is).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import checks, nearest, similarity
 from ..operators.records import complete
-from . import molecules, scale
+from ..sources.shared import materialise, shared_dir
+from . import molecules, scale, sink
 
 MOL = """
   SELECT row_index, pool, source_file, name_id, code_id,
@@ -135,6 +137,20 @@ def conflicts_by_type(records: DataFrame) -> DataFrame:
     return checks.one_id_multiple_structures(records).groupBy("id_column", "conflict_type").agg(F.count("*").alias("identifiers"))
 
 
+def report_sink(records: DataFrame) -> DataFrame:
+    """The whole report written as files and read back through its manifest: findings, rows behind them and pages of these, by section."""
+    spark = records.sparkSession
+    folder = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    sink.write(spark, sink.parts_of(materialise(records), ["name_id", "code_id"], page=100), folder)
+    heads, behind, rows = (sink.read(spark, folder, part) for part in ("findings", "occurrences", "rows"))
+    none = F.lit(0).cast("long")
+    long = (
+        heads.select("section", "name", F.lit(1).cast("long").alias("f"), F.col("rows").alias("said"), none.alias("o"), none.alias("p"))
+        .union(behind.select("section", "name", none, none, F.size("rows").cast("long"), F.lit(1).cast("long")))
+        .union(rows.select("section", "name", F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit(1).cast("long"), none)))
+    return long.groupBy("section", "name").agg(F.sum("f").alias("findings"), F.sum("said").alias("rows"), F.sum("o").alias("listed"), F.sum("p").alias("pages"))
+
+
 def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a whole benchmark item: candidates share whole words, then containment is checked.
 
@@ -181,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tanimoto_identical": tanimoto_identical,
     "max_similarity_in_group": max_similarity_in_group,
     "benchmark_contamination": benchmark_contamination,
+    "report_sink": drawn(report_sink),
 }
 QUERIES |= molecules.QUERIES | scale.QUERIES
 
@@ -218,4 +235,32 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY x.label, x.vec_id, y.vec_id) SELECT label, round(max(s), 9) AS max_similarity FROM p GROUP BY 1""",
     "benchmark_contamination": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
 }
+# What stands behind each finding, by the value that pages go by: g has a row for each of its rows.
+ORACLE_SQL["report_sink"] = SQL + """, linked AS (SELECT *, split_part(parent_inchikey, '-', 1) AS compound, regexp_replace(lower(identifier), '[-_]', '', 'g') AS near_key FROM found),
+    shared AS (SELECT id_column, compound FROM linked WHERE category IS NULL GROUP BY 1, 2 HAVING count(DISTINCT identifier) > 1),
+    broken AS (SELECT id_column, identifier, count(*) FILTER (category = 'empty') AS missing, count(*) FILTER (category <> 'empty') AS broken FROM found GROUP BY 1, 2
+      HAVING count(*) FILTER (category IS NULL) > 0 AND count(*) FILTER (category IS NOT NULL) > 0),
+    forms AS (SELECT inchikey FROM rec WHERE category IS NULL GROUP BY 1 HAVING count(DISTINCT s) > 1),
+    ids_over AS (SELECT id_column, identifier FROM found GROUP BY 1, 2 HAVING count(*) FILTER (pool = 'train') > 0 AND count(*) FILTER (pool = 'test') > 0),
+    ids_twice AS (SELECT pool, id_column, identifier FROM found GROUP BY 1, 2, 3 HAVING count(*) > 1),
+    g AS (SELECT 'leak_exact' AS section, representation AS name, NULL AS pool, value, NULL AS part, NULL AS a, inchikey AS b FROM reps JOIN over USING (representation, value)
+      UNION ALL SELECT 'leak_identifiers', id_column, NULL, identifier, NULL, canonical_smiles, inchikey FROM found JOIN ids_over USING (id_column, identifier)
+      UNION ALL SELECT 'duplicates', representation, pool, value, NULL, NULL, inchikey FROM reps JOIN dups USING (pool, representation, value)
+      UNION ALL SELECT 'duplicate_identifiers', id_column, pool, identifier, NULL, canonical_smiles, inchikey FROM found JOIN ids_twice USING (pool, id_column, identifier)
+      UNION ALL SELECT 'one_id_multiple_structures', id_column, NULL, identifier, NULL, canonical_smiles, inchikey FROM found JOIN conflicts USING (id_column, identifier) WHERE category IS NULL
+      UNION ALL SELECT 'one_structure_multiple_ids', id_column, NULL, compound, identifier, canonical_smiles, inchikey FROM linked JOIN shared USING (id_column, compound) WHERE category IS NULL
+      UNION ALL SELECT 'near_duplicates', id_column, NULL, near_key, identifier, canonical_smiles, inchikey FROM linked JOIN (SELECT id_column, key AS near_key FROM near) USING (id_column, near_key)
+      UNION ALL SELECT 'id_with_unparseable_and_valid_structures', id_column, NULL, identifier, coalesce(left(category, 0), 'valid'), canonical_smiles, inchikey FROM found JOIN broken USING (id_column, identifier)
+        WHERE broken > 0 AND (category IS NULL OR category <> 'empty')
+      UNION ALL SELECT 'missing_structure_resolvable_by_id', id_column, NULL, identifier, coalesce(category, 'valid'), canonical_smiles, inchikey FROM found JOIN broken USING (id_column, identifier)
+        WHERE missing > 0 AND (category IS NULL OR category = 'empty')
+      UNION ALL SELECT 'inconsistent_smiles', NULL, NULL, inchikey, s, canonical_smiles, inchikey FROM rec JOIN forms USING (inchikey) WHERE category IS NULL),
+    lists AS (SELECT section, name, pool, value, count(*) AS n FROM g GROUP BY ALL),
+    cut AS (SELECT section, name, count(*) AS n, (count(*) + 99) // 100 AS pages FROM g GROUP BY section, name, pool, value, part, a, b),
+    one AS (SELECT 'unparseable_smiles' AS section, category AS name FROM rec WHERE category IS NOT NULL UNION ALL SELECT 'identifier_whitespace', id_column FROM ids WHERE raw_value <> identifier OR (identifier IS NULL AND raw_value <> '')
+      UNION ALL SELECT 'quality_flags', 'smiles_whitespace' FROM rec WHERE category IS NULL AND raw_smiles <> s
+      UNION ALL SELECT 'quality_flags', unnest(['mixtures', 'salt_or_solvate']) FROM rec WHERE contains(canonical_smiles, '.'))
+  SELECT x.section, x.name, x.findings, x.rows, y.listed, y.pages FROM (SELECT section, name, count(*) AS findings, sum(n)::BIGINT AS rows FROM lists GROUP BY 1, 2) x
+    JOIN (SELECT section, name, sum(n)::BIGINT AS listed, sum(pages)::BIGINT AS pages FROM cut GROUP BY 1, 2) y ON x.section = y.section AND x.name IS NOT DISTINCT FROM y.name
+  UNION ALL SELECT section, name, count(*), count(*), count(*), 0 FROM one GROUP BY 1, 2"""
 ORACLE_SQL |= molecules.ORACLE_SQL | scale.ORACLE_SQL

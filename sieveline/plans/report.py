@@ -13,6 +13,7 @@ from ..functions import values as V
 from ..operators import checks, findings, nested, totals
 from ..sources.shared import materialise
 from ..sources.tables import describe
+from . import sink
 from .config import Config, audit_only
 
 PLACE = ("pool", "source_file", "row_index", "raw_smiles")
@@ -76,16 +77,35 @@ def echo(config: Config, resolved: dict[str, dict[str, str]], id_columns: list[s
     return {**pools, "smiles_column": config.smiles_column, "resolved_smiles_columns": resolved["dataset"] if config.is_check else resolved, "identifier_columns": id_columns, **settings}
 
 
-def build(records: DataFrame, config: Config, id_columns: list[str], resolved: dict[str, dict[str, str]], pairs: DataFrame | None) -> dict:
-    """pairs: similar train and test rows of an audit (columns a, b, similarity, train, test, la, lb)."""
-    s, check = config.settings, config.is_check
-    pools = ["dataset"] if check else ["train", "test"]
+def summary_of(records: DataFrame, config: Config, id_columns: list[str], pairs: DataFrame | None) -> dict:
+    """Status, tiers and totals: as many numbers as there are finding types, pools and identifier columns."""
+    s = config.settings
     tiered = findings.tiered(findings.collect(records, s.strip_salts, pairs), s.max_train_test_similarity)
     kept = materialise(findings.maximal(materialise(tiered)))
     summary = collected(findings.tier_summary(kept), "severity", "finding_type")
     blocking, flagged = tier(summary, "FAIL"), tier(summary, "WARN")
     status = "FAIL" if blocking["findings"] else "WARN" if flagged["findings"] else "PASS"
+    numbers = totals.totals(records, id_columns, s.strip_salts, pairs, config.is_check)
+    return {"status": status, "blocking": blocking, "flagged": flagged, **summed(collected(numbers), id_columns)}
+
+
+def heading(config: Config, id_columns: list[str], resolved: dict[str, dict[str, str]], summary: dict) -> dict:
+    made = datetime.now(UTC).isoformat(timespec="seconds")
+    return {"generated_at": made, "mode": "check" if config.is_check else "audit", "config": echo(config, resolved, id_columns), "summary": summary}
+
+
+def to_folder(records: DataFrame, config: Config, id_columns: list[str], resolved: dict[str, dict[str, str]], pairs: DataFrame | None) -> dict:
+    """Writes the report as files of its parts; returns what the driver holds of it, the manifest."""
+    about = heading(config, id_columns, resolved, summary_of(records, config, id_columns, pairs))
+    parts = sink.parts_of(records, id_columns, config.settings.strip_salts, pairs, config.is_check)
+    return sink.write(records.sparkSession, parts, str(config.report_output), config.settings.report_format, about)
+
 
+def build(records: DataFrame, config: Config, id_columns: list[str], resolved: dict[str, dict[str, str]], pairs: DataFrame | None) -> dict:
+    """pairs: similar train and test rows of an audit (columns a, b, similarity, train, test, la, lb)."""
+    s, check = config.settings, config.is_check
+    pools = ["dataset"] if check else ["train", "test"]
+    found = summary_of(records, config, id_columns, pairs)
     same, same_ids = by(collected(nested.duplicates(records), "value"), "pool", "representation"), by(collected(nested.identifier_duplicates(records), "value"), "pool", "id_column")
     duplicates = {p: {**{r: same.get((p, r), []) for r in V.REPRESENTATIONS}, "identifiers": {c: same_ids.get((p, c), []) for c in id_columns}} for p in pools}
     flags = by(collected(checks.quality_flags(records), "row_seq"), "pool", "category")
@@ -95,12 +115,7 @@ def build(records: DataFrame, config: Config, id_columns: list[str], resolved: d
     bad = collected(checks.unparseable(records, id_columns).withColumnRenamed("parse_error", "error"), "row_seq")
     bad = [{k: v for k, v in b.items() if k != "row_seq"} for b in bad]
     forms = collected(nested.inconsistent(records), "inchikey")
-    numbers = totals.totals(records, id_columns, s.strip_salts, pairs, check)
-    found = {"status": status, "blocking": blocking, "flagged": flagged, **summed(collected(numbers), id_columns)}
-    report: dict = {
-        "generated_at": datetime.now(UTC).isoformat(timespec="seconds"), "mode": "check" if check else "audit", "config": echo(config, resolved, id_columns),
-        "summary": found, "unparseable_smiles": bad, "inconsistent_smiles": forms,
-    }
+    report: dict = {**heading(config, id_columns, resolved, found), "unparseable_smiles": bad, "inconsistent_smiles": forms}
     if not check:
         exact, by_id = by(collected(nested.overlaps(records), "value"), "representation"), by(collected(nested.identifier_overlaps(records), "value"), "id_column")
         alike = pairs.orderBy(F.desc("similarity"), "a", "b").select(F.col("la").alias("train"), F.col("lb").alias("test"), "similarity").collect()
@@ -183,28 +198,88 @@ def sections(report: dict) -> list[tuple[str, list[str]]]:
     return out
 
 
-def flat(prefix: str, value: object) -> list[tuple[str, object]]:
-    return [x for k, v in value.items() for x in flat(f"{prefix} {k}".strip(), v)] if isinstance(value, dict) else [(prefix, value)]
+# The dashboard: a banner, and a table for each family of checks
+
+
+def table_of(header: list[str], rows: list[list[str]]) -> list[str]:
+    """Aligned columns, the first to the left and the others to the right."""
+    widths = [max(len(r[k]) for r in [header, *rows]) for k in range(len(header))]
+    line = lambda r: "  " + "  ".join(c.ljust(w) if k == 0 else c.rjust(w) for k, (c, w) in enumerate(zip(r, widths, strict=True))).rstrip()
+    return [line(header), "  " + "  ".join("-" * w for w in widths), *map(line, rows)]
+
+
+def cell(count: int, tier: str) -> str:
+    return f"{tier} {count}" if count else "ok 0"
+
+
+def banner(summary: dict) -> str:
+    said = [f"{summary[t]['findings']} {word} finding(s) in {summary[t]['rows']} row(s)" for t, word in (("blocking", "blocking"), ("flagged", "flagged")) if summary[t]["findings"]]
+    return f"OVERALL {summary['status']}" + (": " + "; ".join(said) if said else ": nothing found")
+
+
+def severity_table(summary: dict) -> list[str]:
+    rows = [[k, tag, str(v["findings"]), str(v["rows"])] for tag, t in (("FAIL", "blocking"), ("WARN", "flagged")) for k, v in summary[t]["by_type"].items()]
+    return table_of(["finding type", "tier", "findings", "rows"], rows) if rows else []
+
+
+def leakage_table(report: dict) -> list[str]:
+    s, tag = report["summary"], lambda kind: severity_of(kind, None, report)
+    kinds = (("exact", "same structure", "exact_overlap"), ("salt_form", "other salt form only", "salt_form_overlap"), ("stereo", "other stereochemistry only", "stereo_overlap"))
+    rows = [[f"rows in both pools: {label}", *(cell(s[f"total_{k}_leaked_{p}_molecules"], tag(f)) for p in ("train", "test"))] for k, label, f in kinds]
+    rows.append(["identifiers in both pools", cell(s["total_identifier_leakage_events"], tag("identifier_overlap")), ""])
+    rows.append(["pairs of similar structures", cell(s["total_tanimoto_leakage_pairs"], tag("tanimoto_similarity")), ""])
+    return table_of(["leakage", "train", "test"], rows)
+
+
+def duplicates_table(report: dict, ends: dict[str, str]) -> list[str]:
+    s, row = report["summary"], lambda label, kind, of: [label, *(cell(of(end), severity_of(kind, pool, report)) for pool, end in ends.items())]
+    rows = [row(r, V.DUPLICATE_FINDINGS.get(r, "duplicate_structure"), lambda end, r=r: s[f"total_internal_duplicates{end}"][r]) for r in V.REPRESENTATIONS]
+    columns = report["config"]["identifier_columns"]
+    rows += [row(f"identifier {c}", "duplicate_identifier", lambda end, c=c: s[f"total_internal_duplicates{end}_identifiers"].get(c, 0)) for c in columns]
+    return table_of(["duplicates", *ends], rows)
+
+
+def namespace_table(report: dict) -> list[str]:
+    """Issues by identifier column; several structures of an identifier are split by tier."""
+    issues, tag = report["summary"]["total_identifier_namespace_issues"], lambda kind: severity_of(kind, None, report)
+    different = lambda x: x["one_id_multiple_structures_by_type"].get("different_compound", 0)
+    kinds = [
+        ("an id with different compounds", "one_id_multiple_structures", different),
+        ("an id with variants of a compound", "one_id_structure_variants", lambda x: x["one_id_multiple_structures"] - different(x)),
+        *[(label, {"near_duplicates": "identifier_near_duplicate"}.get(k, k), lambda x, k=k: x[k]) for k, label in ISSUE_LABELS.items()],
+    ]
+    return table_of(["identifiers", *issues], [[label, *(cell(of(x), tag(kind)) for x in issues.values())] for label, kind, of in kinds]) if issues else []
+
+
+ISSUE_LABELS = {
+    "one_structure_multiple_ids": "a compound with several ids", "id_with_unparseable_and_valid_structures": "an id with broken and valid rows",
+    "missing_structure_resolvable_by_id": "an id that fills empty structures", "near_duplicates": "ids that are almost equal", "identifier_whitespace": "ids with white space around",
+}
+
+
+def quality_table(report: dict, ends: dict[str, str]) -> list[str]:
+    flags = report["summary"]["total_quality_flags"]
+    count = lambda q, pool: flags[q] if report["mode"] == "check" else flags[q][pool]
+    return table_of(["quality", *ends], [[q.replace("_", " "), *(cell(count(q, p), severity_of(kind, p, report)) for p in ends)] for q, kind in V.QUALITY_FINDINGS.items()])
+
+
+def parsing_lines(summary: dict) -> list[str]:
+    pools = [f"{p} {summary[f'total_unparseable_{p}']}" for p in ("train", "test") if f"total_unparseable_{p}" in summary]
+    kinds = [f"{k} {n}" for k, n in summary["total_unparseable_by_category"].items()]
+    line = f"  rows that do not parse: {summary['total_unparseable']}" + "".join(f" ({', '.join(x)})" for x in (pools, kinds) if x)
+    if n := summary["total_unparseable_resolvable_via_identifier"]:
+        line += f", {n} to be filled by an identifier"
+    return [line, f"  structures written in several ways: {summary['total_inconsistent_smiles']}"]
 
 
 def dashboard(report: dict) -> str:
-    """Status, the tiers with their types, and a table of every total that is not 0."""
-    s = report["summary"]
-    lines = ["=" * 60, f"sieveline {report['mode']} summary", "=" * 60, f"OVERALL {s['status']}"]
-    for name, label in (("blocking", "FAIL"), ("flagged", "WARN")):
-        lines.append(f"[{label}] {s[name]['findings']} finding(s) in {s[name]['rows']} row(s)")
-        lines += [f"  {k:<44}{v['findings']:>8} finding(s) {v['rows']:>10} row(s)" for k, v in s[name]["by_type"].items()]
-    for k, v in s.items():
-        if k in ("status", "blocking", "flagged"):
-            continue
-        title = k.removeprefix("total_").replace("_", " ")
-        rows = [(n, x) for n, x in flat("", v) if x] if isinstance(v, dict) else [("", v)]
-        if isinstance(v, dict):
-            lines.append(f"{title}: {sum(x for _, x in rows)}")
-            lines += [f"  {n:<58}{x:>10}" for n, x in rows]
-        else:
-            lines.append(f"{title:<60}{v:>10}")
-    return "\n".join(lines)
+    """The banner, rows processed, and tables of findings by type, leakage, duplicates, identifiers and quality; needs the summary only."""
+    s, check = report["summary"], report["mode"] == "check"
+    ends = {"dataset": ""} if check else {"train": "_train", "test": "_test"}
+    rows = [f"{p} {s['total_rows' if check else f'total_{p}_rows']}" for p in ends]
+    parts = [severity_table(s), [] if check else leakage_table(report), duplicates_table(report, ends), namespace_table(report), quality_table(report, ends)]
+    lines = ["=" * 60, f"sieveline {report['mode']} summary", "=" * 60, banner(s), f"Rows processed: {', '.join(rows)}", *parsing_lines(s)]
+    return "\n".join(lines + [x for part in parts if part for x in ["", *part]])
 
 
 def render(report: dict) -> str:
