@@ -19,7 +19,8 @@ to 1 over the vocabulary and the unknown word.
 
 Scoring: pairs with at least 1 / ``often`` of all tokens (at most ``often`` many) are broadcast.  Tokens of all others go, packed, to the
 bucket of their pair, which knows the pair, or else the word; a pair that was never seen in a rare context goes on to the bucket of
-that context.  Only sums by document come back.
+that context.  Only sums by document come back.  Documents are scored in ``slices``, all of the same model, so that the disk holds the
+tokens of one slice at a time.
 
 Results, one row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Null text is empty: one end
 token.  Very long texts are scored whole.  Rows with a null doc_id are trained on and scored; repeated rows count each.  Words and
@@ -693,7 +694,7 @@ def by_document(doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return docs, *(np.bincount(at, v, len(docs)) for v in values)
 
 
-def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_000, often: int = 1_000_000, chunk_tokens: int = 1_000_000) -> DataFrame:
+def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_000, often: int = 1_000_000, chunk_tokens: int = 1_000_000, slices: int = 3) -> DataFrame:
     """docs (doc_id, text) -> one row each; the model learns from rows where ``train`` holds."""
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))
@@ -705,11 +706,11 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((keys[order], lp[order], base[order]))
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list]]:
-        """Parts of a task's rows: number, ids, train flags, texts."""
+    def chunks(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[tuple[int, list, list, list]]:
+        """Parts of a task's rows: number (in one slice only), ids, train flags, texts."""
         from pyspark import TaskContext
 
-        chunk, held, size = TaskContext.get().partitionId() << 32, ([], [], []), 0
+        chunk, held, size = part << 56 | TaskContext.get().partitionId() << 32, ([], [], []), 0
         for batch in batches:
             texts = binary_list(batch.column(1))
             for a in range(0, len(texts), 256):
@@ -726,11 +727,11 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
     none = dict.fromkeys(x.split()[0] for x in TOKENS.split(", "))
     sums_of = [x.split()[0] for x in SUMS.split(", ")]
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         keys, lp, base = shared.value
         seen = np.zeros(1 << 22, bool)  # keeps most other pairs from being looked up
         seen[keys & np.uint64((1 << 22) - 1)] = True
-        for chunk, ids, trained, texts in chunks(batches):
+        for chunk, ids, trained, texts in chunks(batches, part):
             w, u, doc = tokens(texts)
             asked = pair_keys(w, u)
             at = np.full(len(asked), -1, np.int64)
@@ -750,8 +751,7 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
     nothing = F.lit(None).cast("binary")
     lean = [nothing.alias(c) for c in ("w_all", "u_all", "row", *sums_of)]
     parts_of_model = ["word", "count", "p0", "pair", "lp"]
-    asked = model.words.select("bucket", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("kind"), *lean, *parts_of_model).union(
-        docs.mapInArrow(look, TOKENS).select("*", *[nothing] * 5))
+    known_rows = model.words.select("bucket", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("kind"), *lean, *parts_of_model)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, common, back_off = fixed.bins.frequent, fixed.common, fixed.back_off
@@ -808,7 +808,13 @@ def scores(spark: SparkSession, docs: DataFrame, train: Column, heavy: int = 30_
         if held:
             yield judged(known, words, held)
 
-    looked = scratch.save(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(answer, LOOKED), "looked")
+    looked = None
+    for part in range(slices):  # the tokens of one slice of the documents are on their way at a time
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == part)
+        asked = known_rows.union(some.mapInArrow(lambda batches, part=part: look(batches, part), TOKENS).select("*", *[nothing] * 5))
+        done = scratch.save(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(answer, LOOKED), "looked")
+        looked = done if looked is None else looked.union(done)
+    scratch.drop(model.words)
     rest = model.contexts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("kind"), nothing.alias("doc"), nothing.alias("u_all"), nothing.alias("chunks"), "asked", F.col("new").alias("base")).union(
         looked.where("bucket >= 0").select("bucket", "chunk", "kind", "doc", "u_all", "chunks", nothing, nothing))
 
