@@ -148,13 +148,15 @@ def hashes_of(words: list[bytes], cache: WordHashes) -> np.ndarray:
 SPACES = np.zeros(256, np.int8)
 SPACES[[9, 10, 11, 12, 13, 32]] = 1
 RADIX = 0x9E3779B97F4A7C15
+LONG = 64  # bytes; polynomials modulo 2^64 of longer words can be equal by their form (Thue-Morse words of 1,024 letters are)
 SEGMENT, SPACE = 1 << 20, re.compile(rb"[\t-\r ]")
 
 
 def hashed_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of a buffer (runs of anything but ASCII white space): 64-bit hashes, starts and ends.
 
-    A word's hash is a mix of its polynomial in an odd radix modulo 2^64, from one running sum over the buffer.
+    A word's hash is a mix of its polynomial in an odd radix modulo 2^64, from one running sum over the buffer; long words, which
+    are few, are hashed one by one.
     Long buffers are taken in segments that end at white space, so memory does not grow with a text.
     """
     kept, n = worker_cache(), len(buffer)
@@ -172,7 +174,7 @@ def hashed_words(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def segment_words(buffer: bytes, kept: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(buffer)
-    if len(kept.get("powers", ())) < n:
+    if "powers" not in kept or len(kept["powers"]) < n:  # the first buffer of a worker may be empty
         size = max(n, 1 << 20)
         for name, base in (("powers", RADIX), ("inverse powers", pow(RADIX, -1, 1 << 64))):
             powers = np.full(size, base, np.uint64)
@@ -183,7 +185,13 @@ def segment_words(buffer: bytes, kept: dict) -> tuple[np.ndarray, np.ndarray, np
     starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * kept["powers"][:n], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * kept["inverse powers"][starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48)), starts, ends
+    hashes = mix64((sums[ends] - sums[starts]) * kept["inverse powers"][starts] ^ (ends - starts).astype(np.uint64) << np.uint64(48))
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        import xxhash
+
+        hashes[long] = [xxhash.xxh3_64_intdigest(buffer[starts[i] : ends[i]]) for i in long]
+    return hashes, starts, ends
 
 
 def grouped_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -134,10 +134,13 @@ def pair_counts(docs: DataFrame, bins: Bins) -> DataFrame:
         order = np.argsort(key)
         if n is not None:  # merging has to be exact where keys of different pairs are equal
             key = key[order]
-            same = np.flatnonzero((key[1:] == key[:-1]) & ((w[order][1:] != w[order][:-1]) | (u[order][1:] != u[order][:-1])))
-            if len(same):
-                mixed = np.flatnonzero(np.isin(key, key[same]))
-                order[mixed] = order[mixed][np.lexsort((u[order[mixed]], w[order[mixed]], key[mixed]))]
+            top, a, b = key >> np.uint64(24), w[order], u[order]
+            # Words alike in their first 40 bits lie among each other by their contexts: all their rows are sorted anew.
+            alike = np.flatnonzero((top[1:] == top[:-1]) & (a[1:] != a[:-1]))
+            same = np.flatnonzero((key[1:] == key[:-1]) & (a[1:] == a[:-1]) & (b[1:] != b[:-1]))
+            if len(alike) or len(same):
+                mixed = np.flatnonzero(np.isin(top, top[alike]) | np.isin(key, key[same]))
+                order[mixed] = order[mixed][np.lexsort((b[mixed], a[mixed]))]
         w, u = w[order], u[order]
         first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (u[1:] != u[:-1]))))
         return w[first], u[first], np.diff(np.append(first, len(w))) if n is None else np.add.reduceat(n[order], first)

@@ -337,6 +337,25 @@ def test_words_alike_in_40_bits_of_their_hashes(spark):
     assert math.isclose(found[asked]["base_score"], sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in (0, 2)), rel_tol=1e-9)
 
 
+def test_alike_words_among_many_contexts(spark):
+    """Words alike in 40 bits of their hashes, both trained on after many words, and long words of one polynomial are told apart."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    one, other = morse[:1024], morse[1024:]
+    from sieveline.llm.common import segment_words
+
+    assert [len(x) for x in segment_words(b"", {})] == [0, 0, 0]  # a worker's first texts are all empty
+    assert one != other and len(set(pitman_yor.hashed_words(f"{one} {other}".encode())[0].tolist())) == 2
+    train, held = ([i for i in range(99) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True))
+    text = " ".join(f"c{k} w1726740 d{k} w2066413" for k in range(40))
+    rows = [(train[0], text), (train[1], f"{one} {one}"), (held[0], f"w1726740 w2066413 {one} unseen"), (held[1], other)]
+    tokens = {i: [*t.split(), "\n"] for i, t in rows}
+    count = collections.Counter(w for i in train[:2] for w in tokens[i])
+    n, v = sum(count.values()), len(count)
+    for i, r in by_id(pitman_yor.scores(spark, spark.createDataFrame(rows, "doc_id long, text string"), ~pitman_yor.held_out())).items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
+        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]), rel_tol=1e-9)
+
+
 def test_every_sweep_seats_all_customers_anew():
     """One sweep from any seating gives the distribution itself, for small dishes (table) and large ones (integral)."""
     import inspect
