@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,22 +15,27 @@ from ..sources import delimited
 from ..sources.shared import shared_dir
 
 FILES = 8
+PIECE = 32 << 20  # bytes of text that a task writes
 
 
 def delimited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, written as CSV files by doc_id modulo 8 and read back in ranges of 1 MB, with file and row number."""
+    """documents, written as CSV files by doc_id modulo 8 and read back in ranges of 1 MB, with file and row number.
+
+    A file is written in pieces by ranges of doc_id, so that no task writes a whole file.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     folder = f"{shared_dir(spark)}/delimited-{uuid.uuid4().hex}"
-    dealt = docs.withColumn("file", (F.col("doc_id") % FILES).cast("int"))
-    for k in range(FILES):  # a sorted file each
-        rows = dealt.where(F.col("file") == k).drop("file").coalesce(1).sortWithinPartitions("doc_id")
-        rows.write.csv(f"{folder}/{k}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    dealt = docs.withColumn("file", (F.col("doc_id") % FILES).cast("int")).repartitionByRange(FILES + size // PIECE, "file", "doc_id")
+    dealt.sortWithinPartitions("file", "doc_id").write.partitionBy("file").csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where("length > 0").select("path").collect()  # a row a piece
+    pieces: dict[int | None, list[str]] = {}
+    for path in sorted((r[0] for r in found), key=os.path.basename):  # their numbers follow the ranges
+        k = re.search(r"/file=(-?\d+)?", path)[1]
+        pieces.setdefault(k and int(k), []).append(path)
     read = None
-    for k in range(FILES):
-        path = spark.read.format("binaryFile").load(f"{folder}/{k}").where("length > 0").select("path").first()
-        if path is None:
-            continue
-        one = delimited.read(spark, path[0], ",", ["doc_id", "source", "text"], 1 << 20).withColumn("file", F.lit(k))
+    for k, paths in pieces.items():
+        one = delimited.read(spark, paths, ",", ["doc_id", "source", "text"], 1 << 20).withColumn("file", F.lit(k).cast("int"))
         read = one if read is None else read.unionByName(one)
     if read is None:
         return docs.select(F.lit(0).alias("file"), F.lit(0).cast("long").alias("row_index"), "doc_id", "source", F.lit("").alias("text_md5")).limit(0)

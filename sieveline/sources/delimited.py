@@ -97,27 +97,33 @@ def ranges(size: int, each: int) -> list[tuple[int, int]]:
     return [(low, min(low + each, size)) for low in range(0, size, each)]
 
 
-def plan(spark: SparkSession, path: str, sep: str, each: int) -> list[tuple[int, int, int, int]]:
-    """(low, high, state at low, records that end before low) of all ranges: a row of numbers for each, the rest stays in tasks."""
-    file = File(path)
-    parts = ranges(file.size, each)
+def plan(spark: SparkSession, paths: list[str], sep: str, each: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(low, high, state at low, records that end before low, file, rows of the files before) of all ranges: a row of numbers for each,
+    the rest stays in tasks."""
+    files = [File(path) for path in paths]
+    parts = [(f, low, high) for f, file in enumerate(files) for low, high in ranges(file.size, each)]
     if not parts:
         return []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                marks = Marks(File(path), k * each, (k + 1) * each, ord(sep))
+                f, low, _ = parts[k]
+                marks = Marks(File(paths[f]), low, low + each, ord(sep))
                 row = [k]
                 for start in (0, 1):
                     row += [marks.last(start), int((~marks.records(start)[1]).sum())]
                 yield pa.RecordBatch.from_pydict({n: pa.array([v], pa.int64()) for n, v in zip(("k", "end0", "n0", "end1", "n1"), row, strict=True)})
 
     found = spark.range(0, len(parts), 1, len(parts)).mapInArrow(scan, "k long, end0 long, n0 long, end1 long, n1 long").collect()
-    out, state, before = [], 0, 0
-    for (low, high), r in zip(parts, sorted(found), strict=True):
-        out.append((low, high, state, before))
+    out, rows = [], 0
+    for (f, low, high), r in zip(parts, sorted(found), strict=True):
+        if low == 0:
+            state, before = 0, 0
+        out.append((low, high, state, before, f, rows))
         state, before = (r["end1"], before + r["n1"]) if state else (r["end0"], before + r["n0"])
+        if high == files[f].size:  # the header is no row, a last record without an end is one
+            rows += max(before + (state == 1 or files[f].read(high - 1, high) not in (b"\n", b"\r")) - 1, 0)
     return out
 
 
@@ -151,20 +157,20 @@ def block(file: File, low: int, high: int, state: int, before: int, sep: int) ->
 
 
 class Range(InputPartition):
-    def __init__(self, low: int, high: int, state: int, before: int):
-        self.low, self.high, self.state, self.before = low, high, state, before
+    def __init__(self, low: int, high: int, state: int, before: int, path: str | None = None, rows: int = 0):
+        self.low, self.high, self.state, self.before, self.path, self.rows = low, high, state, before, path, rows
 
 
 class RangeReader(DataSourceReader):
-    def __init__(self, path: str, sep: str, parts: list, names: list[str]):
-        self.path, self.sep, self.parts, self.names = path, sep, parts, names
+    def __init__(self, path: str | list[str], sep: str, parts: list, names: list[str]):
+        self.paths, self.sep, self.parts, self.names = [path] if isinstance(path, str) else path, sep, parts, names
 
     def partitions(self) -> list[Range]:
-        return [Range(*p) for p in self.parts]
+        return [Range(*p[:4], self.paths[p[4]], p[5]) for p in self.parts]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)
-        data, number = block(File(self.path), partition.low, partition.high, partition.state, partition.before, ord(self.sep))
+        data, number = block(File(partition.path or self.paths[0]), partition.low, partition.high, partition.state, partition.before, ord(self.sep))
         text = io.TextIOWrapper(io.BytesIO(data), encoding="utf-8", errors="replace", newline="")
         del data
         width, rows, at = len(self.names), [], number
@@ -175,10 +181,10 @@ class RangeReader(DataSourceReader):
                 rows.append(row if len(row) == width else (row + [None] * width)[:width])
             at += 1
             if len(rows) == 4096:
-                yield self.batch(rows, at)
+                yield self.batch(rows, at + partition.rows)
                 rows = []
         if rows:
-            yield self.batch(rows, at)
+            yield self.batch(rows, at + partition.rows)
 
     def batch(self, rows: list, at: int) -> pa.RecordBatch:
         columns = [pa.array([x or None for x in c], pa.string()) for c in zip(*rows, strict=True)] + [pa.array(np.arange(at - 1 - len(rows), at - 1))]
@@ -186,7 +192,7 @@ class RangeReader(DataSourceReader):
 
 
 class Delimited(DataSource):
-    """Options: path, sep, ranges and columns (both JSON), as ``read`` sets them."""
+    """Options: sep, and files, ranges and columns (JSON), as ``read`` sets them."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,14 +202,16 @@ class Delimited(DataSource):
         return ", ".join(f"`{c.replace('`', '``')}` string" for c in json.loads(self.options["columns"])) + f", {INDEX} long"
 
     def reader(self, schema) -> RangeReader:
-        return RangeReader(self.options["path"], self.options["sep"], json.loads(self.options["ranges"]), json.loads(self.options["columns"]))
+        return RangeReader(json.loads(self.options["files"]), self.options["sep"], json.loads(self.options["ranges"]), json.loads(self.options["columns"]))
 
 
-def read(spark: SparkSession, path: str, sep: str, columns: list[str], each: int = RANGE) -> DataFrame:
-    """The records after the header, as strings under the names given, with their numbers from 0."""
-    parts = plan(spark, path, sep, each)
+def read(spark: SparkSession, path: str | list[str], sep: str, columns: list[str], each: int = RANGE) -> DataFrame:
+    """The records after the header, as strings under the names given, with their numbers from 0; several files, each with a header,
+    are read as one, in their order."""
+    paths = [path] if isinstance(path, str) else path
+    parts = plan(spark, paths, sep, each)
     spark.dataSource.register(Delimited)
-    return spark.read.format(Delimited.name()).option("sep", sep).option("ranges", json.dumps(parts)).option("columns", json.dumps(columns)).option("path", path).load()
+    return spark.read.format(Delimited.name()).option("sep", sep).option("ranges", json.dumps(parts)).option("columns", json.dumps(columns)).option("files", json.dumps(paths)).load()
 
 
 def opens(path: str) -> bool:

@@ -81,3 +81,32 @@ def test_many_tasks_and_quotes(spark, tmp_path):
     ends = got.where("__row_index__ >= 19999").orderBy("__row_index__").collect()
     assert [(x[0], len(x[1]), x[2]) for x in ends] == [("C", 7 + 19_999 % 50, 19_999), ("N", 600_000, 20_000), ("O", 4, 20_001)]
     assert got.where("int(split(id, '\n')[0]) <> __row_index__ and SMILES = 'C'").count() == 0
+
+
+def test_several_files_as_one(spark, tmp_path):
+    """Rows are numbered on over files that end with or without a line end, one without rows among them."""
+    texts = ["id,x\n0,a\n1,\"b\nc\"\n", "id,x\n", "id,x\n2,d\n3,e", "id,x\n4,f\n"]
+    paths = [str(tmp_path / f"{k}.csv") for k in range(4)]
+    for path, t in zip(paths, texts, strict=True):
+        with open(path, "w") as out:
+            out.write(t)
+    for each in (5, 1 << 20):
+        got = sorted(delimited.read(spark, paths, ",", ["id", "x"], each).collect(), key=lambda r: r[2])
+        assert [(r[0], r[2]) for r in got] == [(str(k), k) for k in range(5)] and got[1][1] == "b\nc"
+
+
+def test_no_task_writes_a_whole_file(spark, tmp_path, monkeypatch):
+    """documents are written in pieces by size, ids that are negative or null among them, and numbered by file."""
+    import duckdb
+
+    from sieveline.plans import scale
+
+    rows = [(k - 50, "s", f"{k} " * 50) for k in range(700)] + [(None, None, "x")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scale, "PIECE", 4000, raising=False)
+    found = scale.delimited_documents(spark, str(tmp_path))
+    pieces = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{spark.conf.get('spark.checkpoint.dir')}/delimited-*/").where("length > 0").select("path", "length").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, found.select("file", "row_index", "doc_id", "source", "text_md5").collect()))) == sorted(map(repr, con.execute(scale.ORACLE_SQL["delimited_documents"]).fetchall()))
+    assert len(pieces) > 16 and max(r["length"] for r in pieces) < 16_000
