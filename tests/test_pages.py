@@ -25,6 +25,15 @@ def test_pages_of_hot_and_small_keys(spark):
     assert pages.paged(df.limit(0), ["a", "b"], "seq", F.col("seq")).count() == 0
 
 
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """Neither a range nor a task that makes pages holds more rows as these become more, whatever the session's partitions."""
+    monkeypatch.setattr(pages, "RANGE", 1000, raising=False)
+    df = spark.range(12_000).select(F.lit("hot").alias("value"), "id")
+    found = pages.paged(df, ["value"], "id", F.col("id"), 100)
+    assert found.rdd.getNumPartitions() == 13 and found.count() == 120
+    assert found.agg(F.max(F.size("rows")), F.sum(F.size("rows"))).first()[:] == (100, 12_000)
+
+
 def test_a_value_of_a_million_rows(spark):
     df = spark.range(1_050_000).select(F.when(F.col("id") % 21 == 0, F.col("id")).otherwise(-1).alias("value"), "id")
     sizes = pages.paged(df, ["value"], "id", F.col("id")).where("value = -1").select("page", F.size("rows").alias("n"), F.element_at("rows", 1).alias("r")).collect()
