@@ -87,9 +87,9 @@ def compound_key(strip_salts: bool = True) -> Column:
 
 
 def all_equal(c: Column | str) -> Column:
-    """One distinct value, and null nowhere."""
+    """One distinct value, and null nowhere; by least and greatest, since every further count of distinct values copies all rows."""
     c = F.col(c) if isinstance(c, str) else c
-    return (F.count_distinct(c) == 1) & (F.count(c) == F.count("*"))
+    return (F.min(c) == F.max(c)) & (F.count(c) == F.count("*"))
 
 
 def one_id_multiple_structures(records: DataFrame, strip_salts: bool = True) -> DataFrame:
@@ -117,7 +117,8 @@ def one_structure_multiple_ids(records: DataFrame, strip_salts: bool = True) ->
 def shared_compounds(ids: DataFrame, strip_salts: bool = True) -> DataFrame:
     """Compounds under several identifiers; named by their first row in input order."""
     rows = ids.where(is_parsed()).withColumn("compound_key", compound_key(strip_salts)).where("compound_key is not null")
-    one = distinct_with_null("canonical_smiles", "inchikey") == 1
+    structure = F.struct("canonical_smiles", "inchikey")
+    one = F.min(structure) == F.max(structure)  # nulls within are equal
     kind = F.when(one, "same_structure").when(F.lit(strip_salts) & all_equal("parent_inchikey"), "salt_form").otherwise("stereo")
     first = F.min(F.struct("row_seq", "canonical_smiles", "inchikey"))
     groups = rows.groupBy("id_column", "compound_key").agg(F.count("*").alias("rows"), F.count_distinct("identifier").alias("identifiers"), kind.alias("conflict_type"), first.alias("first"))

@@ -34,6 +34,20 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert found.agg(F.max(F.size("rows")), F.sum(F.size("rows"))).first()[:] == (100, 12_000)
 
 
+def test_kinds_of_conflicts_without_copies_of_rows(spark):
+    """What tells structures apart, nulls among them, in a plan that does not expand rows."""
+    from sieveline.operators import checks
+
+    part = [("a", "S1", "K-1", "K-1", "x"), ("a", None, None, "K-1", "x"), ("b", "S1", "K-1", "P-1", "y"), ("b", "S2", "K-2", "P-1", "y"), ("c", "S1", "K-1", "P-1", None), ("c", "S3", "L-1", "Q-1", None), ("d", None, None, None, None), ("d", "S2", "K-2", "P-1", "y")]
+    df = spark.createDataFrame([(k, "n", i, *r) for k, (i, *r) in enumerate(part)], "row_seq long, id_column string, identifier string, canonical_smiles string, inchikey string, parent_inchikey string, tautomer_key string").withColumn("parse_error", F.lit(None).cast("string"))
+    found = checks.conflicting_identifiers(df)
+    assert {r["identifier"]: (r["conflict_type"], r["structures"]) for r in found.collect()} == {"a": ("salt_form", 2), "b": ("salt_form", 2), "c": ("different_compound", 2), "d": ("different_compound", 2)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    shared = checks.shared_compounds(df)
+    assert "Expand" not in shared._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["compound_key"]: (r["identifiers"], r["conflict_type"]) for r in shared.collect()} == {"P": (3, "salt_form")}
+
+
 def test_a_value_of_a_million_rows(spark):
     df = spark.range(1_050_000).select(F.when(F.col("id") % 21 == 0, F.col("id")).otherwise(-1).alias("value"), "id")
     sizes = pages.paged(df, ["value"], "id", F.col("id")).where("value = -1").select("page", F.size("rows").alias("n"), F.element_at("rows", 1).alias("r")).collect()
