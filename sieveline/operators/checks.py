@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import values as V
+from ..sources.shared import materialise
 from . import pages
 from .records import coarse, distinct_with_null, identifier_rows, is_parsed, representations
 
@@ -54,7 +55,8 @@ def leaked_rows(records: DataFrame, overlaps: DataFrame | None = None) -> DataFr
     long = representations(records)
     overlaps = exact_overlap(records) if overlaps is None else overlaps
     rank = F.when(F.col("representation").isin(V.STEREO_INSENSITIVE), 2).when(F.col("representation").isin(V.SALT_INSENSITIVE), 1).otherwise(0)
-    hit = long.join(overlaps.select("representation", "value"), ["representation", "value"], "left_semi")
+    overlaps = materialise(overlaps.select("representation", "value"))  # of known size, so that few of them do not shuffle all rows
+    hit = long.join(overlaps, ["representation", "value"], "left_semi")
     best = hit.groupBy("loc.pool", "loc.source_file", "loc.row_index").agg(F.min(rank).alias("rank"))
     return best.withColumn("kind", F.element_at(F.array(F.lit("exact"), F.lit("salt_form"), F.lit("stereo")), F.col("rank") + 1))
 

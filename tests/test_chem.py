@@ -2,10 +2,13 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sieveline.chem import molecule as M
 from sieveline.chem.enrich import enrich
 from sieveline.functions import values as V
+from sieveline.operators import checks
+from sieveline.sources.shared import materialise
 
 IBUPROFEN, NICOTINE = "CC(C)Cc1ccc(C(C)C(=O)O)cc1", "CN1CCC[C@H]1c1cccnc1"
 
@@ -70,3 +73,32 @@ def test_matching_on_odd_cycles():
     near = {i: [j for j in range(6) if j != i] for i in range(6)}
     pairs = M.matching(set(near), near)
     assert sorted(itertools.chain(*{tuple(sorted(p)) for p in pairs.items()})) == list(range(6))
+
+
+def pool_of_one_partition(spark):
+    """400 rows of 7 strings, some of them unreadable, in one partition."""
+    strings = ["CCO", "OCC", "CCN.Cl", "", "CC\nO", "C1CC", "C[C@H](N)C(=O)O"]
+    rows = spark.range(0, 400, 1, 1)
+    return rows.select(
+        F.col("id").alias("row_seq"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("pool"), F.lit("a").alias("source_file"), F.col("id").alias("row_index"),
+        F.element_at(F.array(*map(F.lit, strings)), (F.col("id") % 7 + 1).cast("int")).alias("raw_smiles"), F.create_map(F.lit("id"), F.concat(F.lit(" x"), F.col("id") % 3)).alias("raw_identifiers"))
+
+
+def test_rows_of_one_partition_are_dealt_and_strings_described_once(spark):
+    rows = enrich(pool_of_one_partition(spark))
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = rows.groupBy("raw_smiles", "parse_error_category", "is_salt_or_solvate").agg(F.count("*").alias("n"), F.count("fp").alias("fps"), F.count_distinct("inchikey").alias("keys")).collect()
+    assert {r["raw_smiles"]: (r["parse_error_category"], r["is_salt_or_solvate"], r["n"], r["fps"], r["keys"]) for r in found} == {
+        "CCO": (None, False, 58, 58, 1), "OCC": (None, False, 57, 57, 1), "CCN.Cl": (None, True, 57, 57, 1), "": ("empty", False, 57, 0, 0),
+        "CC\nO": ("control_characters", False, 57, 0, 0), "C1CC": ("ring_closure", False, 57, 0, 0), "C[C@H](N)C(=O)O": (None, False, 57, 57, 1)}
+    assert len(found) == 7
+
+
+def test_leaked_rows_join_a_table_of_known_size(spark):
+    rows = materialise(enrich(pool_of_one_partition(spark)))
+    found = checks.leaked_rows(rows)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1  # no overlaps of unknown size
+    leaked = {(r["row_index"], r["kind"]) for r in found.collect()}
+    assert leaked == {(i, "exact") for i in range(400) if i % 7 != 3}
